@@ -189,7 +189,9 @@ def roster_sql(d: Dialect) -> str:
     """Roster rows of every code seen in ``events``; every ninth sweater is listed differently."""
 
     def side(team: str, number: str) -> str:
-        row = d.each(6, f"cast({number} * 10 + i as bigint)")
+        row = d.each(
+            6, f"cast(({number}) * 10 + case when i = 5 then 5 else least(i, 3) end as bigint)"
+        )
         return f"select game_id, {team} as side, {d.rows(row, 'entry')} from plays"
 
     return f"""

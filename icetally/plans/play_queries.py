@@ -203,13 +203,11 @@ def _summary_sql() -> str:
       select playerid, side, {means},
         round(avg(corsi_for_per_es60 - corsi_against_per_es60), 6) as average_corsi_per_60,
         cast(sum(plusminus) as bigint) as plusminus from detail group by all),
-    players as (
+    listed as (
       select playerid, side, position, full_name as name, count(distinct game_id) as games_played,
         round(sum(toi_s) / count(distinct game_id), 6) as toipg from toi group by all)
-    select p.*exclude(side), p.side as team, m.* exclude (playerid, side)
-    from players p left join means m using (playerid, side)""".replace("players as", "roster as", 1).replace(
-        "from players p left", "from roster p left"
-    )
+    select p.* exclude (side), p.side as team, m.* exclude (playerid, side)
+    from listed p left join means m on m.playerid = p.playerid and m.side = p.side"""
 
 
 # ---- clocks and on-ice lists ----------------------------------------------------------------
@@ -324,7 +322,7 @@ def _attach_sql() -> str:
         listed = f"""
           select event_id, i, case i when 0 then 'C' when 1 then 'L' when 2 then 'R' when 5 then 'G'
               else 'D' end || cast({number} as varchar) as code,
-            ({number}) * 10 + i as entry
+            ({number}) * 10 + least(i, 3) + 2 * cast(i = 5 as int) as entry
           from events, lateral (select unnest(range(0, 6)) as i) x where event_id % 11 <> 0"""
         parts.append(f"""{side}_lists as (
           select event_id, string_agg(code, ',' order by i) as {side}_onice_code,
@@ -570,15 +568,12 @@ def _sparse_sql() -> str:
 
 # ---- text documents -------------------------------------------------------------------------
 
-LINES = "case when k = 0 then 'C' else 'D' end"
-
-
 def _document_sql() -> str:
     """One play text per event row, with one to four plays written from its columns."""
     play = (
         "cast(k + 1 as string) || '\\n' || cast(1 + k % 3 as string) || '\\n' || status || '\\n'"
         " || time_elapsed || time || '\\n' || play_type || '\\n' || own_team || ' event ' ||"
-        " cast(k as string) || '\\n' || '\\u00a0' || '\\n\\n' || cast(own_number as string)"
+        " cast(k as string) || ' ft.' || '\\n' || '\\u00a0' || '\\n\\n' || cast(own_number as string)"
         " || '\\nC\\n' || cast(other_number as string) || '\\nG\\n'"
     )
     text = f"'header\\n' || array_join(transform(sequence(0, event_id % 4), k -> {play}), '')"
@@ -597,7 +592,7 @@ def tokenize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZE_SQL = f"""{PLAYS}
 select event_id as game_id, away_team, home_team, cast(k + 1 as varchar) as index,
   cast(1 + k % 3 as varchar) as period, status, play_type as type,
-  own_team || ' event ' || cast(k as varchar) as detail, time, time_elapsed,
+  own_team || ' event ' || cast(k as varchar) || ' ft.' as detail, time, time_elapsed,
   cast(own_number as varchar) || ',C,' || cast(other_number as varchar) || ',G' as on_ice,
   cast((k % 3) * 1200 + (event_id % 20) * 60 + event_id * 7 % 60 as int) as time_elapsed_s,
   2 as num_on_ice
