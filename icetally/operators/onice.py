@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import on_ice_codes
 from ..schemas import PLAY_COLUMNS, PLAY_KEY
-from .skew import salted_join
 
 SIDES = ("home", "away")
 LISTS = {"code": "code", "names": "last_name", "ids": "player", "firstinit": "first_init"}
@@ -102,9 +101,7 @@ def attach_on_ice(
         blank.alias("default_last_name"),
         blank.alias("default_first_init"),
     )
-    matched = salted_join(
-        _entries(coded), roster.unionByName(present), ["game_id", "side", "code"], ["index", "pos"]
-    )
+    matched = _entries(coded).join(roster.unionByName(present), ["game_id", "side", "code"])
     lists = matched.groupBy(*PLAY_KEY).agg(*_lists("home"), *_lists("away"))
     columns = [
         F.col(f"_{side}.{field}").alias(f"{side}_onice_{name}")

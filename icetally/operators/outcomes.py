@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clock_seconds, flag, known, stat
-from .skew import ordered_positions, salted_join
+from .skew import ordered_positions
 
 # Column names of the landing and the published tables.
 SKATER_NUMBERS = [
@@ -113,7 +113,7 @@ def skater_game_stats(playerstats: DataFrame, gameinfo: DataFrame) -> DataFrame:
         *[stat(F.col(c)).alias(c) for c in SKATER_NUMBERS],
         *[clock_seconds(F.col(c)).alias(c) for c in SKATER_CLOCKS],
     )
-    return salted_join(typed, _game_side(gameinfo), ["game_pk"], ["player_id"])
+    return typed.join(_game_side(gameinfo), "game_pk")
 
 
 def outcome_columns(df: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def skater_vs_goaltender(skaters: DataFrame, goaltending: DataFrame) -> DataFram
     opposing = goaltending.select(
         "game_pk", F.col("player_teamtype").alias("opp_player_type"), *pivot
     )
-    joined = salted_join(skaters, opposing, ["game_pk", "opp_player_type"], ["player_id"], "left")
+    joined = skaters.join(opposing, ["game_pk", "opp_player_type"], "left")
     return joined.select(
         F.col("season_code").alias("game_season"),
         F.col("game_type_code").alias("game_type"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import sweaters
-from ..functions.text import digits, field, flag, holds, squeeze
+from ..functions.text import digits, flag, holds, squeeze
 from ..schemas import PARSED_TYPES, SPARSE_EVENT_COLUMNS
 
 Columns = dict[str, Column]
@@ -19,6 +21,40 @@ PENALTY_MARKS = r"\(maj\)|\(\d+\s*min\)"
 OFFENDER = r"([A-Z]{3})\s*#(\d{1,2})\s*([A-Za-z]+)"
 
 
+# Where the text of each code is cut, and where its first and second piece are cut.
+CUTS = {
+    "FAC": ("-", " won ", " vs "),
+    "HIT": (",", " HIT ", None),
+    "BLOCK": (" BLOCKED BY ", None, ","),
+    "MISS": (", ", None, None),
+    "GIVE": (",", None, None),
+    "PENL": ("Drawn By:", ",", None),
+    "GOAL": ("Assists:", ",", "; "),
+    "TAKE": (",", None, None),
+    "SHOT": ("ONGOAL -", None, ","),
+}
+# Phrases that are dropped from a text before it is cut.
+PHRASES = {"GIVE": "GIVEAWAY - ", "TAKE": "TAKEAWAY - "}
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """The pieces of an event text, and those of its first and second piece."""
+
+    cut: Column
+    head: Column
+    tail: Column
+
+    def of(self, pieces: Column, i: int) -> Column:
+        return F.trim(F.get(pieces, F.lit(i)))
+
+
+def _cleaned(code: str, detail: Column) -> Column:
+    if code not in PHRASES:
+        return detail
+    return squeeze(F.replace(detail, F.lit(PHRASES[code]), F.lit(" ")))
+
+
 def _counter(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, SEASON_COUNT, 1), F.lit("")).try_cast("int")
 
@@ -32,82 +68,69 @@ def sweater_place(codes: Column, text: Column) -> Column:
     return F.array_position(sweaters(codes), text).cast("int")
 
 
-def faceoff(detail: Column) -> Columns:
-    result, takers = field(detail, "-", 0), field(detail, "-", 1)
+def faceoff(p: Pieces) -> Columns:
     return {
-        "fo_winning_team": field(result, " won ", 0),
-        "fo_zone": field(result, " won ", 1),
-        "fo_away_player": field(takers, " vs ", 0),
-        "fo_home_player": field(takers, " vs ", 1),
+        "fo_winning_team": p.of(p.head, 0),
+        "fo_zone": p.of(p.head, 1),
+        "fo_away_player": p.of(p.tail, 0),
+        "fo_home_player": p.of(p.tail, 1),
     }
 
 
-def hit(detail: Column) -> Columns:
-    pair = field(detail, ",", 0)
+def hit(p: Pieces) -> Columns:
     return {
-        "hit_location": field(detail, ",", 1),
-        "hitter": field(pair, " HIT ", 0),
-        "hittee": field(pair, " HIT ", 1),
+        "hit_location": p.of(p.cut, 1),
+        "hitter": p.of(p.head, 0),
+        "hittee": p.of(p.head, 1),
     }
 
 
-def block(detail: Column) -> Columns:
-    rest = F.get(F.split(detail, " BLOCKED BY "), F.lit(1))
+def block(p: Pieces) -> Columns:
     return {
-        "shooter": field(detail, " BLOCKED BY ", 0),
-        "blocker": field(rest, ",", 0),
-        "shot_type": field(rest, ",", 1),
-        "block_location": field(rest, ",", 2),
+        "shooter": p.of(p.cut, 0),
+        "blocker": p.of(p.tail, 0),
+        "shot_type": p.of(p.tail, 1),
+        "block_location": p.of(p.tail, 2),
     }
 
 
-def miss(detail: Column) -> Columns:
+def miss(p: Pieces) -> Columns:
     names = ["shooter", "shot_type", "shot_result", "shot_zone", "shot_distance"]
-    return {name: field(detail, ", ", i) for i, name in enumerate(names)}
-
-
-def _possession(detail: Column, phrase: str, role: str) -> Columns:
-    text = squeeze(F.replace(detail, F.lit(phrase), F.lit(" ")))
-    return {f"{role}_player": field(text, ",", 0), f"{role}_zone": field(text, ",", 1)}
+    return {name: p.of(p.cut, i) for i, name in enumerate(names)}
 
 
-def giveaway(detail: Column) -> Columns:
-    return _possession(detail, "GIVEAWAY - ", "giveaway")
+def giveaway(p: Pieces) -> Columns:
+    return {"giveaway_player": p.of(p.cut, 0), "giveaway_zone": p.of(p.cut, 1)}
 
 
-def takeaway(detail: Column) -> Columns:
-    return _possession(detail, "TAKEAWAY - ", "takeaway")
+def takeaway(p: Pieces) -> Columns:
+    return {"takeaway_player": p.of(p.cut, 0), "takeaway_zone": p.of(p.cut, 1)}
 
 
-def penalty(detail: Column) -> Columns:
-    offense = field(detail, "Drawn By:", 0)
-    text = field(offense, ",", 0)
+def penalty(p: Pieces) -> Columns:
+    text = p.of(p.head, 0)
     unmarked = F.trim(F.regexp_replace(text, PENALTY_MARKS, ""))
     return {
-        "penalty_drawn_by": field(detail, "Drawn By:", 1),
+        "penalty_drawn_by": p.of(p.cut, 1),
         "penalty_committed_by": F.regexp_extract(unmarked, OFFENDER, 0),
-        "penalty_zone": field(offense, ",", 1),
+        "penalty_zone": p.of(p.head, 1),
         "penalty_detail": F.trim(F.regexp_replace(unmarked, OFFENDER, "")),
         "maj_flag": flag(text.contains("(maj)")),
         "penalty_duration": F.regexp_extract(text, PENALTY_MINUTES, 1),
     }
 
 
-def goal(detail: Column) -> Columns:
-    scoring = F.get(F.split(detail, "Assists:"), F.lit(0))
-    assists = F.get(F.split(detail, "Assists:"), F.lit(1))
-    scorer = field(scoring, ",", 0)
+def goal(p: Pieces) -> Columns:
+    scorer = p.of(p.head, 0)
     team = F.left(scorer, F.lit(3))
-    first = F.concat_ws(" ", team, field(assists, "; ", 0))
-    second = F.concat_ws(" ", team, field(assists, "; ", 1))
-    first = F.when(field(assists, "; ", 0).isNotNull(), first)
-    second = F.when(field(assists, "; ", 1).isNotNull(), second)
+    first = F.concat(team, F.lit(" "), p.of(p.tail, 0))
+    second = F.concat(team, F.lit(" "), p.of(p.tail, 1))
     return {
         "goal_scorer": _plain(scorer),
         "goal_scorer_team": team,
-        "goal_scorer_shottype": field(scoring, ",", 1),
-        "goal_scorer_shotzone": field(scoring, ",", 2),
-        "goal_scorer_shotdist": field(scoring, ",", 3),
+        "goal_scorer_shottype": p.of(p.head, 1),
+        "goal_scorer_shotzone": p.of(p.head, 2),
+        "goal_scorer_shotdist": p.of(p.head, 3),
         "primary_assist_player": _plain(first),
         "secondary_assist_player": _plain(second),
         "goal_scorer_num_goals": _counter(scorer),
@@ -116,19 +139,18 @@ def goal(detail: Column) -> Columns:
     }
 
 
-def shot(detail: Column) -> Columns:
-    team = F.left(F.get(F.split(detail, "ONGOAL -"), F.lit(0)), F.lit(3))
-    rest = field(detail, "ONGOAL -", 1)
+def shot(p: Pieces) -> Columns:
+    team = F.left(F.get(p.cut, F.lit(0)), F.lit(3))
     return {
         "shooting_team": team,
-        "shooter": F.concat(team, F.lit(" "), field(rest, ",", 0)),
-        "shot_type": field(rest, ",", 1),
-        "shot_zone": field(rest, ",", 2),
-        "shot_distance": field(rest, ",", 3),
+        "shooter": F.concat(team, F.lit(" "), p.of(p.tail, 0)),
+        "shot_type": p.of(p.tail, 1),
+        "shot_zone": p.of(p.tail, 2),
+        "shot_distance": p.of(p.tail, 3),
     }
 
 
-PARSERS: dict[str, Callable[[Column], Columns]] = {
+PARSERS: dict[str, Callable[[Pieces], Columns]] = {
     "FAC": faceoff,
     "HIT": hit,
     "BLOCK": block,
@@ -144,7 +166,7 @@ PARSERS: dict[str, Callable[[Column], Columns]] = {
 ROLES: dict[str, list[str]] = {
     "FAC": [],
     "HIT": ["hitter", "hittee"],
-    "BLOCK": ["blocker", "shooter"],
+    "BLOCK": ["shooter", "blocker"],
     "MISS": ["shooter"],
     "GIVE": ["giveaway_player"],
     "PENL": ["penalty_committed_by", "penalty_drawn_by"],
@@ -152,31 +174,64 @@ ROLES: dict[str, list[str]] = {
     "TAKE": ["takeaway_player"],
     "SHOT": ["shooter"],
 }
+SLOTS = max(len(roles) for roles in ROLES.values())
+
+# Sparse column <- parsed column, per code, where the names differ; a leading "=" is a constant.
+_FACEOFF = {
+    "zone": "fo_zone",
+    "faceoff_win_team": "fo_winning_team",
+    "faceoff_taken_by_away": "fo_away_player",
+    "faceoff_taken_by_home": "fo_home_player",
+    "faceoff_taken_by_away_index": "away_onice_index",
+    "faceoff_taken_by_home_index": "home_onice_index",
+    "faceoff_winner_home": "winner_home",
+}
+_GOAL = {
+    "zone": "goal_scorer_shotzone",
+    "shot_type": "goal_scorer_shottype",
+    "shot_distance": "goal_scorer_shotdist",
+    "shooter": "goal_scorer",
+    "shooter_team": "goal_scorer_team",
+    "home_shooter": "home_goal_scorer",
+    "shooter_onice_index": "goal_scorer_onice_index",
+    "shot_result": "=Goal",
+}
+RENAMED: dict[str, dict[str, str]] = {
+    "FAC": _FACEOFF,
+    "HIT": {"zone": "hit_location"},
+    "BLOCK": {"shot_result": "=Blocked"},
+    "MISS": {"zone": "shot_zone"},
+    "GIVE": {"zone": "giveaway_zone"},
+    "PENL": {"zone": "penalty_zone"},
+    "GOAL": _GOAL,
+    "TAKE": {"zone": "takeaway_zone"},
+    "SHOT": {"zone": "shot_zone", "shot_result": "=On-Goal"},
+}
 
 
 def lineup(role: Column, home_team: Column, home_codes: Column, away_codes: Column) -> Columns:
     """Team, sweater, last name, home flag and place in the own side's on-ice list of a role text."""
-    team = F.left(field(role, " ", 0), F.lit(3))
-    number = F.trim(F.replace(field(role, " ", 1), F.lit("#"), F.lit("")))
+    words = F.split(role, " ")
+    team = F.left(F.trim(F.get(words, F.lit(0))), F.lit(3))
+    number = F.trim(F.replace(F.get(words, F.lit(1)), F.lit("#"), F.lit("")))
     at_home = holds(F.trim(team) == F.trim(home_team))
     own_side = F.when(at_home, home_codes).otherwise(away_codes)
     return {
         "team": team,
         "jn": number,
-        "lastname": field(role, " ", 2),
+        "lastname": F.trim(F.get(words, F.lit(2))),
         "home": at_home,
         "onice_index": sweater_place(own_side, number),
     }
 
 
-def _lineup_here(role: Column | str) -> Columns:
-    role = F.col(role) if isinstance(role, str) else role
+def _lineup_here(role: Column) -> Columns:
     return lineup(role, F.col("home_team"), F.col("home_onice_code"), F.col("away_onice_code"))
 
 
 def append_lineup_info(df: DataFrame, role: str) -> DataFrame:
     """Add the line-up columns of one role to a table of plays with their on-ice lists."""
-    info = _lineup_here(role)
+    info = _lineup_here(F.col(role))
     return df.withColumns(
         {
             f"{role}_team": info["team"],
@@ -188,116 +243,117 @@ def append_lineup_info(df: DataFrame, role: str) -> DataFrame:
     )
 
 
-def _takers(columns: Columns) -> Columns:
+def _takers(winner: Column, away: Column, home: Column) -> Columns:
+    """Places of the two face-off takers, and whether the home team won."""
     return {
-        f"{side}_onice_index": sweater_place(
-            F.col(f"{side}_onice_code"), digits(columns[f"fo_{side}_player"])
-        )
-        for side in ("away", "home")
+        "away_onice_index": sweater_place(F.col("away_onice_code"), digits(away)),
+        "home_onice_index": sweater_place(F.col("home_onice_code"), digits(home)),
+        "winner_home": holds(winner == F.col("home_team")),
     }
 
 
+def _choose(choices: dict[str, Column]) -> Column:
+    """The column of the row's own event code."""
+    chosen = F
+    for code, column in choices.items():
+        chosen = chosen.when(F.col("type") == code, column)
+    return chosen
+
+
+def _cut_rows(df: DataFrame, codes: list[str]) -> tuple[DataFrame, Pieces]:
+    """Cut the text of each row by its code: ``_cut``, and ``_head`` and ``_tail`` from it."""
+    nothing = F.lit(None).cast("array<string>")
+
+    def pieces(source: dict[str, Column], level: int) -> Column:
+        cuts = {c: F.split(source[c], CUTS[c][level]) for c in codes if CUTS[c][level]}
+        return _choose(cuts) if cuts else nothing
+
+    first = {c: F.get("_cut", F.lit(0)) for c in codes}
+    second = {c: F.get("_cut", F.lit(1)) for c in codes}
+    rows = df.withColumn("_cut", pieces({c: _cleaned(c, F.col("detail")) for c in codes}, 0))
+    rows = rows.withColumns({"_head": pieces(first, 1), "_tail": pieces(second, 2)})
+    return rows, Pieces(F.col("_cut"), F.col("_head"), F.col("_tail"))
+
+
 def parse_type(df: DataFrame, code: str) -> DataFrame:
     """Plays of one event code with the columns of its parser and of its roles."""
-    columns = PARSERS[code](F.col("detail"))
+    rows, pieces = _cut_rows(df.where(F.col("type") == code), [code])
+    parsed = rows.withColumns(PARSERS[code](pieces)).drop("_cut", "_head", "_tail")
     if code == "FAC":
-        columns |= _takers(columns)
-    parsed = df.where(F.col("type") == code).withColumns(columns)
+        takers = [F.col(c) for c in ("fo_winning_team", "fo_away_player", "fo_home_player")]
+        parsed = parsed.withColumns(_takers(*takers))
     for role in ROLES[code]:
         parsed = append_lineup_info(parsed, role)
     return parsed
 
 
-def _target_columns(code: str) -> Columns:
-    """Columns of the sparse table that an event code fills."""
-    found = PARSERS[code](F.col("detail"))
-    out: Columns = {}
-
-    def role(source: str, target: str, with_team: bool = True, with_home: bool = True) -> None:
-        info = _lineup_here(found[source])
-        out[target] = found[source]
-        out[f"{target}_onice_index"] = info["onice_index"]
-        if with_team:
-            out[f"{target}_team"] = info["team"]
-        if with_home:
-            out[f"home_{target}"] = info["home"]
-
-    if code in ("SHOT", "MISS"):
-        role("shooter", "shooter")
-        out |= {"zone": found["shot_zone"], "shot_distance": found["shot_distance"]}
-        out["shot_type"] = found["shot_type"]
-        out["shot_result"] = F.lit("On-Goal") if code == "SHOT" else found["shot_result"]
-    elif code == "BLOCK":
-        role("shooter", "shooter")
-        role("blocker", "blocker")
-        out |= {name: found[name] for name in ("shot_type", "block_location")}
-        out["shot_result"] = F.lit("Blocked")
-    elif code == "GOAL":
-        role("goal_scorer", "shooter")
-        role("primary_assist_player", "primary_assist_player", False, False)
-        role("secondary_assist_player", "secondary_assist_player", False, False)
-        out |= {
-            "zone": found["goal_scorer_shotzone"],
-            "shot_type": found["goal_scorer_shottype"],
-            "shot_distance": found["goal_scorer_shotdist"],
-            "shot_result": F.lit("Goal"),
-        }
-        out |= {name: found[name] for name in found if "_num_" in name}
-    elif code == "FAC":
-        places = _takers(found)
-        out = {
-            "zone": found["fo_zone"],
-            "faceoff_win_team": found["fo_winning_team"],
-            "faceoff_taken_by_away": found["fo_away_player"],
-            "faceoff_taken_by_home": found["fo_home_player"],
-            "faceoff_taken_by_away_index": places["away_onice_index"],
-            "faceoff_taken_by_home_index": places["home_onice_index"],
-            "faceoff_winner_home": holds(found["fo_winning_team"] == F.col("home_team")),
-        }
-    elif code == "HIT":
-        role("hitter", "hitter")
-        role("hittee", "hittee", with_home=False)
-        out["zone"] = found["hit_location"]
-    elif code in ("GIVE", "TAKE"):
-        kind = "giveaway" if code == "GIVE" else "takeaway"
-        role(f"{kind}_player", f"{kind}_player")
-        out["zone"] = found[f"{kind}_zone"]
-    elif code == "PENL":
-        role("penalty_committed_by", "penalty_committed_by")
-        role("penalty_drawn_by", "penalty_drawn_by", with_home=False)
-        out["zone"] = found["penalty_zone"]
-        out |= {n: found[n] for n in ("penalty_detail", "maj_flag", "penalty_duration")}
+def _targets(code: str, parsed: Columns) -> Columns:
+    """Columns of the sparse table that an event code fills, from its parsed columns."""
+    renamed = RENAMED[code]
+    out = {}
+    for target in SPARSE_EVENT_COLUMNS.names:
+        source = renamed.get(target, target)
+        if source.startswith("="):
+            out[target] = F.lit(source[1:])
+        elif source in parsed:
+            out[target] = parsed[source]
     return out
 
 
 def sparse_union(plays: DataFrame) -> DataFrame:
     """All plays with the event columns of every code, null where a code does not fill them.
 
-    One projection over one scan: each target column is a choice by event code, so codes without a
-    parser (and rows without a code) keep all event columns null.
+    One scan and no shuffle. Each text is cut once, by the row's own code; the roles of a code go
+    through shared slots, so a row works out at most as many line-up places as it has roles; each
+    target column is then a choice by code. Codes without a parser, and rows without a code, keep
+    all event columns null.
     """
-    by_code = {code: _target_columns(code) for code in PARSED_TYPES}
-    columns: Columns = {}
-    for target in SPARSE_EVENT_COLUMNS:
-        choice = None
-        for code, filled in by_code.items():
-            if target.name in filled:
-                case = F if choice is None else choice
-                choice = case.when(F.col("type") == code, filled[target.name])
-        columns[target.name] = choice.cast(target.dataType)
-    return plays.withColumns(columns)
+    rows, pieces = _cut_rows(plays, PARSED_TYPES)
+    found = {code: PARSERS[code](pieces) for code in PARSED_TYPES}
+    slots = range(SLOTS)
+    texts = {
+        f"_role{i}": _choose(
+            {c: found[c][ROLES[c][i]] for c in PARSED_TYPES if i < len(ROLES[c])}
+        )
+        for i in slots
+    }
+    rows = rows.withColumns(texts)
+    kept = ("team", "home", "onice_index")
+    infos = {}
+    for i in slots:
+        info = _lineup_here(F.col(f"_role{i}"))
+        infos[f"_info{i}"] = F.struct(*[info[k].alias(k) for k in kept])
+    rows = rows.withColumns(infos)
+    filled = {}
+    for code in PARSED_TYPES:
+        parsed = dict(found[code])
+        for i, role in enumerate(ROLES[code]):
+            parsed[role] = F.col(f"_role{i}")
+            parsed[f"{role}_team"] = F.col(f"_info{i}.team")
+            parsed[f"home_{role}"] = F.col(f"_info{i}.home")
+            parsed[f"{role}_onice_index"] = F.col(f"_info{i}.onice_index")
+        if code == "FAC":
+            takers = (parsed[c] for c in ("fo_winning_team", "fo_away_player", "fo_home_player"))
+            parsed |= _takers(*takers)
+        filled[code] = _targets(code, parsed)
+    columns = {
+        field.name: _choose({c: f[field.name] for c, f in filled.items() if field.name in f}).cast(
+            field.dataType
+        )
+        for field in SPARSE_EVENT_COLUMNS
+    }
+    return rows.select(*plays.columns, *[c.alias(name) for name, c in columns.items()])
 
 
 def sparse_union_by_branch(plays: DataFrame) -> DataFrame:
-    """The same table as a union of one filtered frame per code; kept to check and time the above."""
+    """The same table as a union of one parsed frame per code; kept to check and time the above."""
     names = {f.name: f.dataType for f in SPARSE_EVENT_COLUMNS}
     parts = []
     for code in PARSED_TYPES:
-        filled = _target_columns(code)
-        columns = {n: filled.get(n, F.lit(None)).cast(t) for n, t in names.items()}
-        parts.append(plays.where(F.col("type") == code).withColumns(columns))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        parsed = parse_type(plays, code)
+        filled = _targets(code, {c: F.col(c) for c in parsed.columns})
+        columns = [filled.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()]
+        parts.append(parsed.select(*plays.columns, *columns))
     other = ~F.col("type").isin(PARSED_TYPES) | F.col("type").isNull()
-    return out.unionByName(plays.where(other), allowMissingColumns=True)
+    parts.append(plays.where(other))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)

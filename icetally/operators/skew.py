@@ -1,8 +1,9 @@
 """Joins and running counts that hold when one key carries a large share of the rows.
 
-Adaptive execution already splits skewed join partitions and turns a join into a broadcast join when
-the measured size of a side allows it, so nothing here forces a broadcast. These helpers cover what
-it does not: joins whose output partitioning is reused, and window functions over a hot key.
+Adaptive execution already splits skewed partitions of sort-merge joins and turns a join into a
+broadcast join when the measured size of a side allows it; joins of two large tables rely on that,
+and nothing in this package forces a broadcast. These helpers cover the rest: joins of many rows per
+key to a far smaller table, and window functions over a hot key.
 """
 
 from __future__ import annotations

@@ -407,6 +407,7 @@ def _expected() -> dict[str, dict[str, str]]:
             "fo_home_player": "home_team || ' #' || cast(home_number as varchar) || ' ' || home_name",
             "away_onice_index": _taker_sql("away"),
             "home_onice_index": _taker_sql("home"),
+            "winner_home": "own_home",
         },
         "HIT": {"hitter": OWN_SQL, "hittee": OTHER_SQL, "hit_location": "zone"}
         | _lineup_sql("hitter", "own")
@@ -501,37 +502,8 @@ def _lineup_position_sql() -> str:
     return f"{PLAYS} select event_id, {OWN_SQL} as actor, {columns} from plays"
 
 
-# Sparse column <- parser column, where the names differ, per code.
-RENAMED = {
-    "SHOT": {"zone": "shot_zone", "shot_result": "'On-Goal'"},
-    "MISS": {"zone": "shot_zone"},
-    "BLOCK": {"shot_result": "'Blocked'"},
-    "GOAL": {
-        "zone": "goal_scorer_shotzone",
-        "shot_type": "goal_scorer_shottype",
-        "shot_distance": "goal_scorer_shotdist",
-        "shooter": "goal_scorer",
-        "shooter_team": "goal_scorer_team",
-        "home_shooter": "home_goal_scorer",
-        "shooter_onice_index": "goal_scorer_onice_index",
-        "shot_result": "'Goal'",
-    },
-    "FAC": {
-        "zone": "fo_zone",
-        "faceoff_win_team": "fo_winning_team",
-        "faceoff_taken_by_away": "fo_away_player",
-        "faceoff_taken_by_home": "fo_home_player",
-        "faceoff_taken_by_away_index": "away_onice_index",
-        "faceoff_taken_by_home_index": "home_onice_index",
-        "faceoff_winner_home": "own_home",
-    },
-    "HIT": {"zone": "hit_location"},
-    "GIVE": {"zone": "giveaway_zone"},
-    "TAKE": {"zone": "takeaway_zone"},
-    "PENL": {"zone": "penalty_zone"},
-}
 # What a parser yields from a missing text.
-ON_MISSING = {"faceoff_winner_home": "false", "maj_flag": "0", "shot_result": None}
+ON_MISSING = {"maj_flag": "0"}
 
 
 def sparse_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,11 +517,11 @@ def _sparse_sql() -> str:
         cases = []
         for code in PARSED_TYPES:
             expected = EXPECTED[code]
-            source = RENAMED[code].get(target, target)
-            expression = expected.get(source, source if source != target else None)
+            source = play_ops.RENAMED[code].get(target, target)
+            constant = source.startswith("=")
+            expression = f"'{source[1:]}'" if constant else expected.get(source)
             if expression is None:
                 continue
-            constant = expression in ("'On-Goal'", "'Blocked'", "'Goal'")
             if constant:
                 missing = expression
             elif target.startswith("home_") or target == "faceoff_winner_home":
