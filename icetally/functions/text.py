@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 MISSING = "None"  # how an absent value is spelled in the all-string landing tables
-STAT_TYPE = "decimal(38,9)"
+STAT_TYPE = "decimal(18,9)"  # up to nine digits before the point, kept as a long
 
 
 def field(text: Column, separator: str, position: int) -> Column:

@@ -176,9 +176,9 @@ DECISIONS = {
 def _head_coach(side: str) -> Column:
     """Name of the head coach; null without one, an error with several."""
     coaches = F.filter(
-        F.col(f"doc.liveData.boxscore.teams.{side}.coaches"), lambda c: c["position.code"] == "HC"
+        F.col(f"doc.liveData.boxscore.teams.{side}.coaches"), lambda c: c["position"]["code"] == "HC"
     )
-    names = F.transform(coaches, lambda c: c["person.fullName"])
+    names = F.transform(coaches, lambda c: c["person"]["fullName"])
     several = F.raise_error(F.concat(F.lit("multiple head coaches in game "), "id")).cast("string")
     return F.when(F.size(names) > 1, several).otherwise(F.get(names, F.lit(0)))
 
