@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import cards, feeds
-from ..schemas import GOALIE_STATS, SKATER_STATS
+from ..schemas import GOALIE_STATS, LIVE_FEED, SKATER_STATS
 from ..sources import readers, sinks
 from . import adapters as a
 
@@ -142,40 +142,29 @@ def feed_payloads(spark: SparkSession, sf_dir: str, all_final: bool = True) -> D
     )
     rows = orders.join(games, "game_pk")
 
-    def player(k: int) -> str:
-        number = f"(o_orderkey * 10 + {k})"
-        info = f"""named_struct('id', {number}, 'fullName', 'Player ' || cast({number} as string),
-          'active', o_custkey % 2 = 0, 'rosterStatus', 'Y', 'currentTeam', named_struct('id', {k}),
-          'primaryPosition', named_struct('code', '{"G" if k % 2 else "C"}'))"""
-        return info
-
-    def boxed(k: int) -> str:
-        number = f"(o_orderkey * 10 + {k})"
-        goalie = k % 2
-        kind = "goalieStats" if goalie else "skaterStats"
-        values = (
-            "'timeOnIce', '59:30', 'saves', o_custkey % 30, 'decision', if(o_custkey % 2 = 0, 'W', 'L')"
-            if goalie
-            else "'goals', o_custkey % 4, 'assists', o_custkey % 3, 'evenTimeOnIce', '12:07',"
-            " 'faceOffPct', if(o_custkey % 5 = 0, null, 52.5)"
-        )
-        both = {"goalieStats": "null", "skaterStats": "null"}
-        both[kind] = f"named_struct({values})"
-        stats = ", ".join(f"'{n}', {v}" for n, v in both.items())
-        return f"""named_struct('person', named_struct('id', {number}, 'fullName',
-            'Player ' || cast({number} as string), 'rosterStatus', 'Y'),
-          'jerseyNumber', if({number} % 7 = 0, null, cast({number} % 99 as string)),
-          'position', named_struct('code', '{"G" if goalie else "C"}',
-            'name', '{"Goalie" if goalie else "Center"}'),
-          'stats', named_struct({stats}))"""
-
-    def side(name: str, ks) -> str:
-        by_key = ", ".join(
-            f"map('ID' || cast(o_orderkey * 10 + {k} as string), to_json({boxed(k)}))" for k in ks
-        )
+    number = "(o_orderkey * 10 + k)"
+    position = "if(k % 2 = 1, 'G', 'C')"
+    info = f"""named_struct('id', {number}, 'fullName', 'Player ' || cast({number} as string),
+      'active', o_custkey % 2 = 0, 'rosterStatus', 'Y', 'currentTeam', named_struct('id', k),
+      'primaryPosition', named_struct('code', {position}))"""
+    skater = """if(k % 2 = 1, null, named_struct('goals', o_custkey % 4, 'assists', o_custkey % 3,
+      'evenTimeOnIce', '12:07', 'faceOffPct', if(o_custkey % 5 = 0, null, 52.5)))"""
+    goalie = """if(k % 2 = 0, null, named_struct('timeOnIce', '59:30', 'saves', o_custkey % 30,
+      'decision', if(o_custkey % 2 = 0, 'W', 'L')))"""
+    boxed = f"""named_struct('person', named_struct('id', {number}, 'fullName',
+        'Player ' || cast({number} as string), 'rosterStatus', 'Y'),
+      'jerseyNumber', if({number} % 7 = 0, null, cast({number} % 99 as string)),
+      'position', named_struct('code', {position}, 'name', if(k % 2 = 1, 'Goalie', 'Center')),
+      'stats', named_struct('skaterStats', {skater}, 'goalieStats', {goalie}))"""
+
+    def by_key(value: str, first: int, last: int) -> str:
+        entry = f"struct('ID' || cast({number} as string), {value})"
+        return f"map_from_entries(transform(sequence({first}, {last}), k -> {entry}))"
+
+    def side(name: str, first: int, last: int) -> str:
         return f"""named_struct('teamStats', named_struct('teamSkaterStats',
             named_struct('goals', {name}_goals, 'shots', o_custkey % 40, 'hits', o_custkey % 20)),
-          'players', map_concat({by_key}),
+          'players', {by_key(boxed, first, last)},
           'coaches', array(named_struct('person', named_struct('fullName', head_coach_{name}),
               'position', named_struct('code', if(o_custkey % 10 = 0, 'AC', 'HC')))))"""
 
@@ -201,9 +190,6 @@ def feed_payloads(spark: SparkSession, sf_dir: str, all_final: bool = True) -> D
         else "case o_orderstatus when 'O' then 'In Progress' else 'Final' end"
     )
     message = "1" if all_final else "case o_orderstatus when 'P' then 2 when 'F' then 1 end"
-    infos = ", ".join(
-        f"map('ID' || cast(o_orderkey * 10 + {k} as string), to_json({player(k)}))" for k in range(4)
-    )
     payload = f"""named_struct('messageNumber', {message},
       'gameData', named_struct(
         'game', named_struct('pk', game_pk, 'season', season, 'type', game_type),
@@ -211,26 +197,21 @@ def feed_payloads(spark: SparkSession, sf_dir: str, all_final: bool = True) -> D
         'status', named_struct('detailedState', {state}, 'startTimeTBD', o_custkey % 2 = 1),
         'teams', named_struct('away', named_struct('id', o_custkey % 30, 'name', team_away_name),
           'home', named_struct('id', o_custkey % 31, 'name', team_home_name)),
-        'players', map_concat({infos}),
+        'players', {by_key(info, 0, 3)},
         'venue', named_struct('id', if(o_custkey % 8 = 0, null, o_custkey % 40), 'name', name)),
       'liveData', named_struct(
         'decisions', named_struct('winner', named_struct('id', winning_goaltender_id),
           'firstStar', named_struct('id', first_star_id)),
-        'boxscore', named_struct('teams', named_struct('away', {side("away", (0, 1))},
-          'home', {side("home", (2, 3))}), 'officials', {officials}),
+        'boxscore', named_struct('teams', named_struct('away', {side("away", 0, 1)},
+          'home', {side("home", 2, 3)}), 'officials', {officials}),
         'plays', named_struct('allPlays', {plays}),
         'linescore', named_struct(
           'periods', if(o_custkey % 4 = 0, array({regulation}, {period("OVERTIME", 4, "ot4")}),
             array({regulation})),
           'shootoutInfo', named_struct('away', named_struct('attempts', 3, 'scores', so_goals_away),
             'home', named_struct('attempts', 3, 'scores', so_goals_home)))))"""
-    # The player maps are written entry by entry; unquote them so that they nest as objects.
-    text = f"to_json({payload})"
-    unquoted = F.regexp_replace(F.expr(text), r'"\{', "{")
-    unquoted = F.regexp_replace(unquoted, r'\}"', "}")
     return rows.select(
-        F.col("o_orderkey").cast("string").alias("id"),
-        F.replace(unquoted, F.lit('\\"'), F.lit('"')).alias("payload"),
+        F.col("o_orderkey").cast("string").alias("id"), F.expr(f"to_json({payload})").alias("payload")
     )
 
 
@@ -241,7 +222,8 @@ def complete_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.complete_feeds(feed_payloads(spark, sf_dir))
+    """Parsed feeds, all of finished games."""
+    return feeds.parse(feed_payloads(spark, sf_dir), LIVE_FEED)
 
 
 INFO_COLUMNS = [
