@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Coefficients of the Chebyshev fit of erfc (Press et al., Numerical Recipes,
 # section 6.2), relative error below 1.2e-7 everywhere, highest power first.
@@ -54,7 +54,7 @@ def _exact_p(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2.0 * ways[upper:].sum() / ways.sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_two_sided(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Exact p-value where ``u`` is given; null elsewhere. One value per tested statistic."""
     return pd.Series(

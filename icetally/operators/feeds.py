@@ -22,7 +22,7 @@ from ..schemas import (
 SIDES = ("away", "home")
 
 
-def parse(payloads: DataFrame, schema) -> DataFrame:
+def parse(payloads: DataFrame, schema: str) -> DataFrame:
     """Read the JSON payload with a declared schema; absent keys are null."""
     return payloads.withColumn("doc", F.from_json("payload", schema))
 
@@ -363,7 +363,7 @@ def feed_plays(feeds: DataFrame) -> DataFrame:
 
 def teams(payloads: DataFrame) -> DataFrame:
     """One flat row per team of the team listing payloads."""
-    return parse(payloads, f"struct<teams:array<{TEAM_LISTING.simpleString()}>>").select(
+    return parse(payloads, f"teams array<struct<{TEAM_LISTING}>>").select(
         F.explode("doc.teams").alias("t")
     ).select(
         F.col("t.id").alias("team_id"),

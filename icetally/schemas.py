@@ -8,8 +8,20 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "names": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _columns(text: str) -> T.StructType:
+    """Flat schema from ``name type`` pairs; usable without a running session."""
+    pairs = (pair.split() for pair in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # Play table, first twelve columns of every play-level table.
@@ -34,7 +46,7 @@ PARSED_TYPES = ["SHOT", "GOAL", "FAC", "BLOCK", "GIVE", "HIT", "MISS", "PENL", "
 ATTEMPT_TYPES = ["GOAL", "SHOT", "BLOCK", "MISS"]
 
 # Event columns of the sparse play table.
-SPARSE_EVENT_COLUMNS = _struct(
+SPARSE_EVENT_COLUMNS = _columns(
     """
     zone string, shot_type string, shot_distance string, shooter string, shooter_team string,
     home_shooter boolean, shooter_onice_index int, shot_result string,
@@ -59,18 +71,18 @@ SPARSE_EVENT_COLUMNS = _struct(
 )
 
 # Box score keys of forwards and defensemen, and of goalies.
-SKATER_BOX = _struct(
+SKATER_BOX = _columns(
     """
-    playerId bigint, sweaterNumber bigint, name map<string,string>, position string, goals bigint,
+    playerId bigint, sweaterNumber bigint, name names, position string, goals bigint,
     assists bigint, points bigint, plusMinus bigint, pim bigint, hits bigint, blockedShots bigint,
     powerPlayGoals bigint, powerPlayPoints bigint, shorthandedGoals bigint, shPoints bigint,
     shots bigint, faceoffs string, faceoffWinningPctg double, toi string, powerPlayToi string,
     shorthandedToi string
     """
 )
-GOALIE_BOX = _struct(
+GOALIE_BOX = _columns(
     """
-    playerId bigint, sweaterNumber bigint, name map<string,string>, position string,
+    playerId bigint, sweaterNumber bigint, name names, position string,
     evenStrengthShotsAgainst string, powerPlayShotsAgainst string, shorthandedShotsAgainst string,
     saveShotsAgainst string, savePctg string, evenStrengthGoalsAgainst bigint,
     powerPlayGoalsAgainst bigint, shorthandedGoalsAgainst bigint, pim bigint, goalsAgainst bigint,
@@ -80,25 +92,21 @@ GOALIE_BOX = _struct(
 
 _SKATERS = f"array<{SKATER_BOX.simpleString()}>"
 _SIDE_BOX = f"struct<forwards:{_SKATERS},defense:{_SKATERS},goalies:array<map<string,string>>>"
-BOX_SCORE = _struct(
-    f"""
+BOX_SCORE = f"""
     id bigint, season string, gameType string, gameDate string, venue string, startTimeUTC string,
     easternUTCOffset string, venueUTCOffset string, gameScheduleState string, period string,
     gameOutcome struct<lastPeriodType:string>,
     awayTeam map<string,string>, homeTeam map<string,string>,
     boxscore struct<playerByGameStats:struct<awayTeam:{_SIDE_BOX},homeTeam:{_SIDE_BOX}>>
     """
-)
 
 # Keys of the team listing.
-TEAM_LISTING = _struct(
-    """
+TEAM_LISTING = """
     id bigint, name string, venue struct<name:string,city:string>, abbreviation string,
     teamName string, locationName string, firstYearOfPlay string,
     division struct<id:bigint,name:string>, conference struct<id:bigint,name:string>,
     shortName string, franchiseId bigint
     """
-)
 
 # Keys of the live game feed, all read as text.
 SKATER_STATS = [
@@ -214,8 +222,7 @@ _PLAY = _text_struct(
     ),
     coordinates=_text_struct("x", "y"),
 )
-LIVE_FEED = _struct(
-    f"""
+LIVE_FEED = f"""
     messageNumber bigint,
     gameData struct<
       game:{_text_struct("pk", "season", "type")},
@@ -234,7 +241,6 @@ LIVE_FEED = _struct(
         periods:array<struct<periodType:string,num:int,away:{_PERIOD_SIDE},home:{_PERIOD_SIDE}>>,
         shootoutInfo:struct<away:{_SHOOTOUT_SIDE},home:{_SHOOTOUT_SIDE}>>>
     """
-)
 
 # Statistics compared with and without a team-mate.
 IMPACT_STATISTICS = [
