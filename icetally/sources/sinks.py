@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import MISSING
 
@@ -77,7 +77,9 @@ def write_bucketed(
     Readers that filter on the bucket skip the other directories. Each bucket is spread over several
     tasks by a hash of the row, so a hot key does not make one task write a whole bucket.
     """
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(tasks_per_bucket))
+    nested = (T.MapType, T.ArrayType, T.StructType)
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, nested)]
+    part = F.pmod(F.xxhash64(*plain), F.lit(tasks_per_bucket))
     spread = with_bucket(df, key, buckets, name).repartition(
         buckets * tasks_per_bucket, F.col(name), part
     )
