@@ -74,12 +74,10 @@ def _lists(which: str) -> list[Column]:
     ]
 
 
-def attach_on_ice(
-    plays: DataFrame, forwards: DataFrame, defense: DataFrame, goalies: DataFrame
-) -> DataFrame:
+def attach_on_ice(plays: DataFrame, *rosters: DataFrame) -> DataFrame:
     """Plays with the code, last name, id and first initial of the players on the ice, per side.
 
-    The four lists of a side stay aligned. Codes that are not on the side's roster are dropped. A
+    ``rosters`` are the box score tables of forwards, defensemen and goalies. The four lists of a side stay aligned. Codes that are not on the side's roster are dropped. A
     side without codes gets empty lists if it has a roster at all; a side with nothing to match
     gets null lists, and plays where that holds for both sides are left out. Plays are identified
     by (game_id, index). Only the narrow exploded rows are joined and grouped; the play columns are
@@ -91,7 +89,7 @@ def attach_on_ice(
             **{f"_{s}_codes": on_ice_codes(F.col(f"{s}_onice_array1")) for s in SIDES},
         }
     )
-    roster = roster_key(forwards, defense, goalies)
+    roster = roster_key(*rosters)
     blank = F.lit(None).cast("string")
     present = roster.select("game_id", "side").distinct().select(
         "game_id",

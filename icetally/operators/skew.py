@@ -88,7 +88,7 @@ def running_counts(
     step = F.floor(
         F.try_divide(F.col(value).cast("double") - F.col("_low").cast("double"), width)
     )
-    placed = counts.join(ranges, list(keys)).withColumn(
+    placed = salted_join(counts, ranges, list(keys), [value]).withColumn(
         "_range", F.coalesce(F.least(step, F.lit(RANGES - 1)), F.lit(0)).cast("int")
     )
     per_range = placed.groupBy(*keys, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in tallies])

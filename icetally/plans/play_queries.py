@@ -304,13 +304,7 @@ def attach_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("player_id").alias("playerId"),
         F.create_map(F.lit("default"), "full_name").alias("name"),
     )
-    goalie, defense = F.col("position") == "G", F.col("position") == "D"
-    rows = onice.attach_on_ice(
-        _raw_for_roster(spark, sf_dir),
-        roster.where(~goalie & ~defense),
-        roster.where(defense),
-        roster.where(goalie),
-    )
+    rows = onice.attach_on_ice(_raw_for_roster(spark, sf_dir), roster)
     lists = [f"{s}_onice_{n}" for s in onice.SIDES for n in onice.LISTS]
     return rows.select("game_id", "index", *[F.array_join(c, ",").alias(c) for c in lists])
 

@@ -132,6 +132,10 @@ def test_tenure_and_report(spark):
     assert len(report) == 2 * 17
     everything = impact.tenure_games(rows, pairs, full_careers=True)
     assert everything.count() == 5 + 4 + 4  # the second pair keeps its games as well
+    kept = impact.rejected_only(
+        impact.value_counts(impact.samples(games)), impact.impact_report(games, alpha=1.1)
+    )
+    assert kept.count() == impact.value_counts(impact.samples(games)).count()
     named = impact.named_report(impact.impact_report(games), "Al One", "Bo Two")
     assert "average_with_two" in named.columns and named.count() == 17
     sentences = impact.result_sentences(impact.impact_report(games)).collect()

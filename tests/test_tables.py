@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from icetally.operators import cards, feeds, outcomes
-from icetally.plans import jobs
+from icetally.plans import jobs, match_queries
 from icetally.sources import readers, sinks
 from icetally.streaming import arrivals
 
@@ -212,3 +212,17 @@ def test_feed_jobs_and_arrivals(spark, tmp_path):
     load()
     load()
     assert sorted(r["game_pk"] for r in spark.read.parquet(f"{root}/info").collect()) == ["1", "2"]
+
+
+def test_match_up_and_profile_jobs(spark, tmp_path):
+    root = str(tmp_path)
+    stats, games = match_queries.landing(spark, "/root/testdata/sf0.001")
+    stats.write.parquet(f"{root}/landing/playerstats")
+    games.write.parquet(f"{root}/landing/gameinfo")
+    jobs.match_ups(spark, f"{root}/landing", f"{root}/out")
+    rows = spark.read.parquet(f"{root}/out/skater_vs_goaltender")
+    assert rows.count() > 0
+    jobs.teammate_profiles(spark, f"{root}/out", f"{root}/out", [("Player 1", "Player 3")])
+    reports = spark.read.parquet(f"{root}/out/reports").collect()
+    assert {r["pair"] for r in reports} == {"1_3"} and len(reports) == 2 * 17
+    assert spark.read.parquet(f"{root}/out/sentences").count() == 2
