@@ -440,9 +440,9 @@ def card_pages(spark: SparkSession, sf_dir: str, position: str, header_by: str)
 def page_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four kinds of card page; attributes as rows, and pages that are no cards."""
     parts = []
-    for gameyear in ("NHL20", "NHL23"):
+    for gameyear in ("E20", "E23"):
         for position in ("skater", "goalie"):
-            header_by = "class" if gameyear == "NHL23" else "id"
+            header_by = "class" if gameyear == "E23" else "id"
             pages = card_pages(spark, sf_dir, position, header_by)
             found, other = cards.card_table(pages, gameyear, position)
             rows = found.select("*", F.explode("attributes").alias("attribute", "value"))
@@ -453,7 +453,7 @@ def page_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _attributes_sql() -> str:
     parts = []
-    for gameyear in ("NHL20", "NHL23"):
+    for gameyear in ("E20", "E23"):
         for position, size, price in (("skater", "size", "price"), ("goalie", "Size", "Price")):
             attributes = {
                 "brand": "lower(p_brand)",

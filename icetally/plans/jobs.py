@@ -12,7 +12,9 @@ from ..operators import attempts, cards, feeds, impact, onice, outcomes, plays,
 from ..sources import readers, sinks
 
 
-def _new_games(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], mode: str):
+def _new_games(
+    spark: SparkSession, rows: DataFrame, path: str, keys: list[str], mode: str
+) -> DataFrame:
     """Rows to write: all of them, or in append mode those whose key is not stored."""
     if mode == "overwrite":
         return rows.dropDuplicates(keys)
@@ -37,14 +39,15 @@ def ingest_games(
         "raw_defense": (defense, ["game_id", "playerId"]),
         "raw_goalies": (goalies, ["game_id", "playerId"]),
     }
-    fresh = {}
     for name, (rows, keys) in outputs.items():
-        fresh[name] = _new_games(spark, rows, f"{out}/{name}", keys, mode)
-        sinks.write_table(fresh[name], f"{out}/{name}", mode)
+        path = f"{out}/{name}"
+        sinks.write_table(_new_games(spark, rows, path, keys, mode), path, mode)
     stored = {name: readers.read_table(spark, f"{out}/{name}") for name in outputs}
-    on_ice = onice.attach_on_ice(*stored.values())
     enriched = f"{out}/plays_with_onice"
-    sinks.write_table(_new_games(spark, on_ice, enriched, ["game_id", "index"], mode), enriched, mode)
+    # Only plays without their players yet are enriched.
+    pending = _new_games(spark, stored["raw_plays"], enriched, ["game_id", "index"], mode)
+    rosters = [stored[name] for name in ("raw_forwards", "raw_defense", "raw_goalies")]
+    sinks.write_table(onice.attach_on_ice(pending, *rosters), enriched, mode)
 
 
 def format_plays(spark: SparkSession, out: str) -> None:

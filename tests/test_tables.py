@@ -90,7 +90,7 @@ def test_cards(spark):
         '<table><tr class="stat_row"><td id="speed">91</td><td id="speed">92</td></tr></table>'
     )
     rows = spark.createDataFrame([(1, page), (2, "<html></html>")], "id long, html string")
-    found, other = cards.card_table(rows, "NHL23", "skater")
+    found, other = cards.card_table(rows, "E23", "skater")
     card = found.first()
     assert (card["player_first_name"], card["player_last_name"]) == ("Ann", "van Berg")
     assert card["attributes"] == {"team": "tab", "speed": "92"}
