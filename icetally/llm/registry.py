@@ -1,9 +1,15 @@
 """Queries of the operators in this package and their SQL (none where SQL can't express them)."""
 
 from icetally.llm.binary_output import op10_token_id_output
+from icetally.llm.decontaminate import op7_benchmark_decontamination
 from icetally.llm.packing import op1_best_fit_packing
+from icetally.llm.simhash import op3_simhash_near_dedup
+from icetally.llm.substrings import op2_substring_dedup
 
 REGISTERED = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_substring_dedup": (op2_substring_dedup, None),
+    "op3_simhash_near_dedup": (op3_simhash_near_dedup, None),
+    "op7_benchmark_decontamination": (op7_benchmark_decontamination, None),
     "op10_token_id_output": (op10_token_id_output, None),
 }
