@@ -2,6 +2,7 @@
 
 from icetally.llm.binary_output import op10_token_id_output
 from icetally.llm.decontaminate import op7_benchmark_decontamination
+from icetally.llm.embeddings import op8_embedding_near_dedup
 from icetally.llm.packing import op1_best_fit_packing
 from icetally.llm.simhash import op3_simhash_near_dedup
 from icetally.llm.substrings import op2_substring_dedup
@@ -11,5 +12,6 @@ REGISTERED = {
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_simhash_near_dedup": (op3_simhash_near_dedup, None),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, None),
+    "op8_embedding_near_dedup": (op8_embedding_near_dedup, None),
     "op10_token_id_output": (op10_token_id_output, None),
 }
