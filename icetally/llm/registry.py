@@ -6,11 +6,13 @@ from icetally.llm.embeddings import op8_embedding_near_dedup
 from icetally.llm.packing import op1_best_fit_packing
 from icetally.llm.simhash import op3_simhash_near_dedup
 from icetally.llm.substrings import op2_substring_dedup
+from icetally.llm.toxicity import op6_toxicity
 
 REGISTERED = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_simhash_near_dedup": (op3_simhash_near_dedup, None),
+    "op6_toxicity": (op6_toxicity, None),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, None),
     "op8_embedding_near_dedup": (op8_embedding_near_dedup, None),
     "op10_token_id_output": (op10_token_id_output, None),
