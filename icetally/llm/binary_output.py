@@ -36,7 +36,7 @@ INDEX_MAGIC = 0x184D2A50
 
 NO_ID = -(2**63)
 MANIFEST = "file string, first_id long, n_docs long, n_tokens long, part int"
-READ = "file string, doc_id long, local long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def write_file(target, documents: Iterator[tuple[int | None, bytes]], level: int = 3) -> dict:
@@ -126,31 +126,31 @@ def encode_files(
     return ordered.mapInArrow(write, MANIFEST)
 
 
-def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every document of the files: ``file``, ``doc_id``, ``local`` (ids before it in its file),
-    ``n_tokens``, ``ids_crc32``. Checksums are verified."""
+def read_files(files: DataFrame, folder: str) -> DataFrame:
+    """Every document of the files (``file``, ``base``: ids in the files before it): ``doc_id``,
+    ``start`` (ids before it), ``n_tokens``, ``ids_crc32``. Checksums are verified."""
     schema = pa.schema(
-        [("file", pa.string()), ("doc_id", pa.int64()), ("local", pa.int64()),
-         ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+        [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
+         ("ids_crc32", pa.int64())]
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = pafs.FileSystem.from_uri(folder)
 
         def records() -> Iterator[tuple]:
-            for (file,) in rows(batches, "file"):
+            for file, start in rows(batches, "file", "base"):
                 with filesystem.open_input_file(f"{base}/{file}") as source:
-                    reader, local = SeekableReader(source), 0
+                    reader = SeekableReader(source)
                     for i, doc_id in enumerate(reader.doc_ids.tolist()):
                         content = reader.document(i)
                         n = len(content) // 4
                         held = None if doc_id == NO_ID else doc_id
-                        yield file, held, local, n, zlib.crc32(content)
-                        local += n
+                        yield held, start, n, zlib.crc32(content)
+                        start += n
 
         yield from batched(records(), schema)
 
-    return manifest.select("file").mapInArrow(read, READ)
+    return files.select("file", "base").mapInArrow(read, READ)
 
 
 def read_documents(manifest: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
@@ -192,16 +192,18 @@ def encode_and_read_back(docs: DataFrame, vocabulary: str = "word_bpe_49k.json")
     and empty texts are the end id alone; documents without id come last; rows that share an id
     follow each other in any order. An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     folder = scratch.path("ids")
     manifest = scratch.write(encode_files(docs, folder, vocabulary), "manifest")
     # One row per file, so one task is enough.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    spread = manifest.repartition("file")
-    return read_files(spread, folder).join(offsets, "file").select(
-        "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
+    files = manifest.select(
+        "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")
     )
+    # The number of tasks is stated, so that few bytes of manifest don't become one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_files(files.repartition(parts, "file"), folder)
 
 
 def op10_token_id_output(spark, sf_dir: str) -> DataFrame:

@@ -118,22 +118,32 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Entry]:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[Entry]:
-    """All sequences for a histogram of lengths: fitted patterns first, then the residual."""
-    left = {length: n for length, n in counts.items() if n}
-    out: list[Entry] = []
-    if capacity in left:
-        out.append((left.pop(capacity), ((capacity, 1),)))
-    found = patterns(sorted(left), capacity)
-    fitted = repeat_counts(found, left)
-    for i in sorted(range(len(found)), key=lambda i: -fitted[i]):
-        use = [(length, found[i].count(length)) for length in sorted(set(found[i]), reverse=True)]
-        n = min([round(fitted[i]), *(left[length] // k for length, k in use)])
-        if n <= 0:
-            continue
-        out.append((n, tuple(use)))
-        for length, k in use:
-            left[length] -= n * k
-    return out + best_fit({length: n for length, n in left.items() if n}, capacity)
+    """All sequences for a histogram of lengths: fitted patterns first, then the residual.
+
+    Where only few lengths occur, patterns that fill sequences can leave a residual that doesn't
+    pack, so smaller shares of the fitted counts are tried too, and the fewest sequences win.
+    """
+    there = {length: n for length, n in counts.items() if n}
+    whole: list[Entry] = []
+    if capacity in there:
+        whole.append((there.pop(capacity), ((capacity, 1),)))
+    found = patterns(sorted(there), capacity)
+    fitted = repeat_counts(found, there)
+    order = sorted(range(len(found)), key=lambda i: -fitted[i])
+
+    def rounded(share: float) -> list[Entry]:
+        left, out = dict(there), []
+        for i in order:
+            use = [(n, found[i].count(n)) for n in sorted(set(found[i]), reverse=True)]
+            n = min([round(share * fitted[i]), *(left[length] // k for length, k in use)])
+            if n > 0:
+                out.append((n, tuple(use)))
+                for length, k in use:
+                    left[length] -= n * k
+        return out + best_fit({length: n for length, n in left.items() if n}, capacity)
+
+    tried = [rounded(share) for share in (1.0, 0.75, 0.5, 0.25, 0.0)]
+    return whole + min(tried, key=lambda entries: sum(bins for bins, _ in entries))
 
 
 class Slots:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
+from array import array
 
-import numpy as np
-
-WORD_CACHE = 400_000
+WORD_CACHE = 700_000
 """Words whose ids a worker remembers; beyond that it forgets them all and starts anew."""
 
 
@@ -33,6 +32,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.known: dict[str, bytes] = {"": b""}
+        self.letters = byte_letters()
+        # Does this vocabulary work word by word, and are its words' letters bytes?
+        probe = ["strasse", "été", "x", "größe,"]
+        self.by_word = self._whole(" ".join(probe)) == [i for w in probe for i in self._whole(w)]
+        self.direct = self.by_word and all(self._stem(w) == self._whole(w) for w in probe[:3])
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _stem(self, stem: str) -> list[int]:
+        """Ids of lower-case letters, by the vocabulary's merges alone."""
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(stem)]
 
     @classmethod
     def of(cls, name: str) -> "Encoder":
@@ -42,37 +55,53 @@ class Encoder:
         return cls._open[name]
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        if not self.by_word:
+            return array("I", self._whole(text)).tobytes()
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in known})
-        out = b"".join([known[w] for w in words])
-        if len(known) > WORD_CACHE:
-            known.clear()
-            known[""] = b""
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode each lower-case stem once: case is dropped, and a comma or stop after letters
-        is a token of its own, so the forms of a word share the work."""
-        stems = {w: plain_stem(w) for w in new}
-        ask = {s for s in stems.values() if s not in self.known}
-        ask.update(w[-1] for w, s in stems.items() if s != w and w[-1] in ",.")
-        ask = [s for s in ask if s not in self.known]
-        coded = self.tokenizer.encode_batch(ask, add_special_tokens=False)
-        ids = {s: np.array(c.ids, "<u4").tobytes() for s, c in zip(ask, coded)}
-        self.known.update(ids)
-        for w, s in stems.items():
-            if w != s:
-                tail = self.known[w[-1]] if w[-1] in ",." else b""
-                self.known[w] = self.known[s] + tail
+        words = text.replace("\n", " ").split(" ")
+        parts = list(map(known.get, words))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    if words[i] not in known:
+                        self._learn(words[i])
+                    parts[i] = known[words[i]]
+            if len(known) > WORD_CACHE:
+                known.clear()
+                known[""] = b""
+        return b"".join(parts)
+
+    def _learn(self, word: str) -> None:
+        """Case is dropped, and a comma or stop after letters is a token of its own, so the forms
+        of a word share the work."""
+        known, stem = self.known, plain_stem(word)
+        if not self.direct or not stem:
+            known[word] = array("I", self._whole(word)).tobytes()
+            return
+        if stem not in known:
+            known[stem] = array("I", self._stem(stem)).tobytes()
+        if stem != word:
+            tail = word[-1]
+            if tail not in ",.":
+                known[word] = known[stem]
+                return
+            if tail not in known:
+                known[tail] = array("I", self._whole(tail)).tobytes()
+            known[word] = known[stem] + known[tail]
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others by the
+    characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
 def plain_stem(word: str) -> str:
-    """The word in lower case without one closing comma or stop, if its letters are Latin-1."""
+    """The word in lower case without one closing comma or stop, if its letters are Latin-1; else
+    nothing."""
     stem = word[:-1] if word[-1] in ",." else word
     if stem.isalpha() and max(stem) < "\u0100":
         return stem.lower()
-    return word
+    return ""

@@ -38,10 +38,17 @@ def test_plan_places_every_piece():
         for length, k in use:
             placed[length] += bins * k
     assert placed == counts
-    # No two pieces over half of a sequence share one.
-    bound = -(-sum(n * c for n, c in counts.items()) // 128)
-    bound = max(bound, sum(c for n, c in counts.items() if n > 64))
-    assert sum(bins for bins, _ in entries) <= 1.02 * bound + 1
+    plain = sum(bins for bins, _ in packing.best_fit(counts, 128))
+    assert sum(bins for bins, _ in entries) <= plain
+
+
+def test_many_lengths_fill_the_sequences():
+    rng = np.random.default_rng(3)
+    counts = {}
+    for length in np.minimum(rng.lognormal(6.3, 0.9, 60_000).astype(int) + 1, 2048):
+        counts[int(length)] = counts.get(int(length), 0) + 1
+    used = sum(bins for bins, _ in packing.plan(counts, 2048))
+    assert used <= 1.002 * sum(n * c for n, c in counts.items()) / 2048 + 1
 
 
 def check_packed(rows, capacity, want):
