@@ -220,7 +220,8 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tu
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """``doc_id``, ``n_words``, ``spans`` (word positions that a window covers), ``items``.
+    """``doc_id``, ``h1`` and ``h2`` (hash of the text), ``n_words``, ``spans`` (word positions that
+    a window covers), ``items``.
 
     One row for each row of ``docs``. Null texts have no words; an item with fewer words than a
     window is one window, one without words none; an item without id covers words and is named
@@ -240,7 +241,7 @@ def contamination(
         scratch.drop(f"hits-{n}")
     key = ["doc_id", "h1", "h2", "n_words"]
     if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "spans", "items")
+        return parts[0].select(*key, "spans", "items")
     # Rows that are alike have alike results in each block: merge them once, then repeat them.
     times = parts[0].groupBy(*key).agg(F.count("*").alias("times"))
     every = parts[0].select(*key, "spans", "items", F.lit(0).alias("block"))
@@ -252,9 +253,9 @@ def contamination(
     )
     same = [merged[k].eqNullSafe(times[k]) for k in key]
     repeated = merged.join(times, same).select(
-        merged["doc_id"], merged["n_words"], "spans", "items", F.explode(F.sequence(F.lit(1), "times"))
+        *[merged[k] for k in key], "spans", "items", F.explode(F.sequence(F.lit(1), "times"))
     )
-    return repeated.select("doc_id", "n_words", joined_spans().alias("spans"), "items")
+    return repeated.select(*key, joined_spans().alias("spans"), "items")
 
 
 def joined_spans():
@@ -267,6 +268,15 @@ def joined_spans():
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
+    found = contamination(docs, benchmark).where("size(spans) > 0")
+    found = found.select("doc_id", "h1", "h2").distinct()
+    h1, h2 = hash128(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (h1 == found["h1"]) & (h2 == found["h2"])
+    return docs.join(found, same, "left_anti")
+
+
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     found = contamination(
         spark.read.parquet(f"{sf_dir}/documents.parquet"),

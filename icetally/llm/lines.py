@@ -172,6 +172,18 @@ def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
 
 
+def without_copied_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` with shortened texts and ``n_chars``, if there, counted anew. Rows that had lines and
+    have none left are copies and go; rows without lines stay as they are."""
+    found = without_repeats(docs, min_lines).where("n_removed < n_lines or n_lines = 0")
+    changed = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        short = F.length("kept_text").cast(kind)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, short).otherwise(F.col("row.n_chars"))
+    return found.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(

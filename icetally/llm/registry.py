@@ -6,6 +6,7 @@ from icetally.llm.embeddings import op8_embedding_near_dedup
 from icetally.llm.lines import OP5_SQL, op5_line_dedup
 from icetally.llm.packing import op1_best_fit_packing
 from icetally.llm.personal import op9_personal_data
+from icetally.llm.quotations import op4_chat_formatting
 from icetally.llm.simhash import op3_simhash_near_dedup
 from icetally.llm.substrings import op2_substring_dedup
 from icetally.llm.toxicity import op6_toxicity
@@ -14,6 +15,7 @@ REGISTERED = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_simhash_near_dedup": (op3_simhash_near_dedup, None),
+    "op4_chat_formatting": (op4_chat_formatting, None),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op6_toxicity": (op6_toxicity, None),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, None),

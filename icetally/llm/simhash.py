@@ -16,7 +16,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from icetally.llm.shared import Scratch, batched, components, rows, text_bytes
@@ -248,6 +248,20 @@ def groups(docs: DataFrame, radius: int = 3) -> DataFrame:
     return found.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of their group; one row if that id
+    is repeated. Rows without id are no part of a group and stay."""
+    found = groups(docs, radius)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("__id").orderBy(F.xxhash64("row.text"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"))
+    first = whole.join(kept.withColumnRenamed("doc_id", "__id"), "__id").withColumn(
+        "nth", F.row_number().over(order)
+    )
+    single = first.where("nth = 1").select("row.*")
+    return single.unionByName(docs.where("doc_id is null"))
+
+
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(

@@ -179,7 +179,7 @@ def train(
     n_chars = (chars >= 0).sum(axis=1)
     step = 0
     # Two passes over a large sample, more over a small one.
-    for _ in range(max(2, min(25, round(160 * batch / n)))):
+    for _ in range(max(2, min(60, round(250 * batch / n)))):
         order = rng.permutation(n)
         for a in range(0, n, batch):
             own = order[a : a + batch]
@@ -189,7 +189,10 @@ def train(
             mean = (p["char"][np.maximum(chars, 0)[safe]] * (chars[safe] >= 0)[..., None]).sum(axis=2)
             mean = mean / n_chars[safe][..., None]
             x = np.concatenate((lo[own].T[..., None], p["word"][word_row[safe]], mean), axis=2)
-            x = x * mask[..., None]
+            # Half of the learned inputs are hidden at a time, so that no word is learned by heart.
+            shown = np.ones(x.shape)
+            shown[..., 1:] = np.where(rng.random(ids.shape) < 0.5, 0.0, 2.0)[..., None]
+            x = x * mask[..., None] * shown
             cell_mask = mask[..., None]
             gates = {w: list(x @ p[f"W{w}"] + p[f"c{w}"]) for w in "fb"}
             sf, hf = recur(gates["f"], cell_mask, p["Uf"], True)
@@ -216,7 +219,7 @@ def train(
                 g[f"W{w}"] = np.einsum("tnd,tng->dg", x, back)
                 g[f"c{w}"] = back.sum(axis=(0, 1))
                 dx = dx + back @ p[f"W{w}"].T
-            dx = dx * mask[..., None]
+            dx = dx * mask[..., None] * shown
             g["word"] = np.zeros_like(p["word"])
             np.add.at(g["word"], word_row[safe], dx[..., 1 : 1 + WORD_DIM])
             g["char"] = np.zeros_like(p["char"])
@@ -467,6 +470,22 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return found.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below the threshold."""
+
+    def keep(batches):
+        reader = model.reader()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            each = ((i, (t.as_py() or "").encode()) for i, t in enumerate(texts))
+            logit = np.empty(batch.num_rows)
+            for i, x in reader.score(each):
+                logit[i] = x
+            yield batch.filter(pa.array(model.probability(logit) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
