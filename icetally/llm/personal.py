@@ -10,7 +10,9 @@ agree on are added. The fixed matches always stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -101,12 +103,12 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
 
 def look_alikes(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[int]]]:
     """Numbers and addresses that no fixed pattern covers, with the kinds that they could be."""
-    spans = sorted((a, b) for a, _, b in taken)
+    starts = sorted(a for a, _, _ in taken)
+    reach = list(accumulate((b for _, _, b in sorted(taken)), max))
 
     def is_free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in spans) if len(spans) < 50 else not any(
-            x < b and a < y for x, y in spans
-        )
+        before = bisect_left(starts, b)
+        return not before or reach[before - 1] <= a
 
     for m in NUMBER_LIKE.finditer(text):
         n = len(digits_of(m.group())) if m.end() - m.start() >= 7 else 0
