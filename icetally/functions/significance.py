@@ -38,20 +38,23 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def _exact_p(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of U without ties, from the number of subsets with each rank sum."""
+    """Two-sided exact p of U without ties, from the number of subsets with each rank sum.
+
+    The numbers are whole ones of any size, so far tails neither vanish nor turn negative.
+    """
     small, size = min(n1, n2), n1 * n2 + 1
-    ways = np.zeros(size)
-    ways[0] = 1.0
+    ways = np.zeros(size, dtype=object)
+    ways[0] = 1
     # Gaussian binomial coefficient as a product of (1 - q^(n+i)) / (1 - q^i).
     for i in range(1, small + 1):
         top = max(n1, n2) + i
         if top < size:
             ways[top:] -= ways[:-top].copy()
-        padded = np.zeros(-(-size // i) * i)
+        padded = np.zeros(-(-size // i) * i, dtype=object)
         padded[:size] = ways
         ways = padded.reshape(-1, i).cumsum(axis=0).ravel()[:size]
     upper = int(max(u, n1 * n2 - u))
-    return float(min(1.0, 2.0 * ways[upper:].sum() / ways.sum()))
+    return min(1.0, 2 * ways[upper:].sum() / ways.sum())
 
 
 @F.pandas_udf(T.DoubleType())

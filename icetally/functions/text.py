@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 MISSING = "None"  # how an absent value is spelled in the all-string landing tables
-STAT_TYPE = "decimal(18,9)"  # up to nine digits before the point, kept as a long
+STAT_TYPE = "decimal(38,9)"  # fixed value: 29 digits before the point, 9 behind it
 
 
 def field(text: Column, separator: str, position: int) -> Column:
@@ -54,23 +57,44 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-# Named character references that occur in the report pages, "&amp;" last.
-NAMED_ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": "\u00a0",
-    "&amp;": "&",
-}
+# Character references with a closing semicolon, from the standard library's table.
+NAMED_ENTITIES = {f"&{name}": char for name, char in html5.items() if name.endswith(";")}
+COMMON_ENTITIES = ["&lt;", "&gt;", "&quot;", "&apos;", "&nbsp;"]
+
+
+def _named_entities(text: Column) -> Column:
+    """Replace named references, ``&amp;`` last; unknown names stay."""
+    for reference in COMMON_ENTITIES:
+        text = F.replace(text, F.lit(reference), F.lit(NAMED_ENTITIES[reference]))
+    done = {"&amp;", *COMMON_ENTITIES}
+    rare = F.from_json(
+        F.lit(json.dumps({k[1:-1]: v for k, v in NAMED_ENTITIES.items() if k not in done})),
+        "map<string,string>",
+    )
+    pieces = F.split(text, "&")
+
+    def decode(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        char = F.try_element_at(rare, name)
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+    later = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(later, decode), ""))
+    other = F.rlike(text, F.lit("&(?!amp;)[A-Za-z][A-Za-z0-9]*;"))
+    text = F.when(other, decoded).otherwise(text)
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def _numeric_entities(text: Column) -> Column:
-    """Replace decimal references such as ``&#233;`` by their character."""
+    """Replace references such as ``&#233;`` and ``&#xe9;`` by their character."""
 
     def decode(piece: Column) -> Column:
-        code = F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
-        number = F.nullif(code, F.lit("")).try_cast("int")
+        code = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        number = F.when(
+            F.lower(F.left(code, F.lit(1))) == "x",
+            F.conv(F.substring(code, 2, 6), 16, 10).try_cast("int"),
+        ).otherwise(F.nullif(code, F.lit("")).try_cast("int"))
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         readable = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
         rest = F.substring(piece, F.length(code) + 2, F.length(piece))
@@ -89,12 +113,11 @@ def html_text(html: Column) -> Column:
     bare = F.regexp_replace(bare, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", "")
     bare = F.regexp_replace(bare, r"(?s)<[!/?a-zA-Z][^>]*>", "")
     bare = _numeric_entities(bare)
-    for reference, char in NAMED_ENTITIES.items():
-        bare = F.replace(bare, F.lit(reference), F.lit(char))
-    return bare
+    return _named_entities(bare)
 
 
 def html_links(html: Column) -> Column:
-    """Targets of all anchors, in page order."""
+    """Targets of all anchors outside comments, in page order."""
+    html = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
     anchor = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
     return F.regexp_extract_all(html, F.lit(anchor), F.lit(1))

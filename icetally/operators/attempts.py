@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import empty_strings
 from ..functions.text import clock_seconds, holds
 from ..schemas import ATTEMPT_TYPES
-from .skew import salted_join
 
 # Names of the eight counts, by event code.
 COUNT_NAMES = {"SHOT": "shots", "GOAL": "goals", "MISS": "misses", "BLOCK": "blocks"}
@@ -22,6 +21,7 @@ DIRECTIONS = ("for", "against")
 COUNTS = [f"{kind}_{way}" for kind in COUNT_NAMES.values() for way in DIRECTIONS]
 KNOWN = "known_"  # prefix of counts over plays with both on-ice lists known
 
+# Columns of the box score that the ice time is taken from.
 TOI_COLUMNS = [
     "game_id",
     "playerid",
@@ -103,20 +103,32 @@ def _tallies(known_only: bool) -> list[Column]:
 
 def on_ice_attempts(plays: DataFrame, status: str | None = None) -> DataFrame:
     """Counts per game, team and player on the ice, over all plays and over plays with known lists."""
+    return _counts(plays, status).where(F.col("player_id").isNotNull())
+
+
+def _counts(plays: DataFrame, status: str | None) -> DataFrame:
+    """The counts of players, and of whole teams under a null player, from one reading."""
+    on_ice = F.filter("players", lambda p: p.isNotNull())
+    anybody = F.array(F.lit(None).cast("string"))
     return (
         _attempts(plays, status)
-        .withColumn("player_id", F.explode("players"))
-        .where(F.col("player_id").isNotNull())
+        .withColumn("player_id", F.explode(F.concat(on_ice, anybody)))
         .groupBy("game_id", "team", "player_id")
         .agg(*_tallies(False), *_tallies(True))
     )
 
 
-def team_attempts(plays: DataFrame, status: str | None = None) -> DataFrame:
-    """Counts per game and team, over all plays and over plays with known lists."""
-    return (
-        _attempts(plays, status).groupBy("game_id", "team").agg(*_tallies(False), *_tallies(True))
-    )
+def _beside_team(counts: DataFrame, own: dict[str, Column], team: dict[str, Column]) -> DataFrame:
+    """Columns of each player and of the player's team. A window has a game and team, some tens
+    of players."""
+    whole = Window.partitionBy("game_id", "team")
+    totals = {
+        name: F.max(F.when(F.col("player_id").isNull(), value)).over(whole)
+        for name, value in team.items()
+    }
+    columns = [value.alias(name) for name, value in {**own, **totals}.items()]
+    rows = counts.select("game_id", "team", "player_id", *columns)
+    return rows.where(F.col("player_id").isNotNull())
 
 
 def _total(way: str, prefix: str = "") -> Column:
@@ -142,13 +154,11 @@ def off_ice_attempts(plays: DataFrame, status: str | None = None) -> DataFrame:
 
     Covers players seen on the ice in that game; games without off-ice attempts are left out.
     """
-    on = on_ice_attempts(plays, status).select(
-        "game_id", "team", "player_id", *[F.col(KNOWN + c).alias(f"_{c}") for c in COUNTS]
+    both = _beside_team(
+        _counts(plays, status),
+        {f"_{c}": F.col(KNOWN + c) for c in COUNTS},
+        {f"{c}_team": F.col(KNOWN + c) for c in COUNTS},
     )
-    whole = team_attempts(plays, status).select(
-        "game_id", "team", *[F.col(KNOWN + c).alias(f"{c}_team") for c in COUNTS]
-    )
-    both = salted_join(on, whole, ["game_id", "team"], ["player_id"])
     counts = {c: F.col(f"{c}_team") - F.col(f"_{c}") for c in COUNTS}
     rows = both.select("game_id", "team", "player_id", *[v.alias(c) for c, v in counts.items()])
     return with_totals(rows).where(F.col("corsi_for") + F.col("corsi_against") > 0)
@@ -156,18 +166,11 @@ def off_ice_attempts(plays: DataFrame, status: str | None = None) -> DataFrame:
 
 def player_attempts_by_game(plays: DataFrame, status: str | None = None) -> DataFrame:
     """On-ice and off-ice shares and their difference, per game, team and player."""
-    on = on_ice_attempts(plays, status).select(
-        "game_id",
-        "team",
-        "player_id",
-        *[_total(way).alias(f"corsi_{way}") for way in DIRECTIONS],
-        *[F.col(f"goals_{way}") for way in DIRECTIONS],
-        *[_total(way, KNOWN).alias(f"_on_{way}") for way in DIRECTIONS],
-    )
-    whole = team_attempts(plays, status).select(
-        "game_id", "team", *[_total(way, KNOWN).alias(f"_team_{way}") for way in DIRECTIONS]
-    )
-    both = salted_join(on, whole, ["game_id", "team"], ["player_id"])
+    own = {f"corsi_{way}": _total(way) for way in DIRECTIONS}
+    own |= {f"goals_{way}": F.col(f"goals_{way}") for way in DIRECTIONS}
+    own |= {f"_on_{way}": _total(way, KNOWN) for way in DIRECTIONS}
+    team_columns = {f"_team_{way}": _total(way, KNOWN) for way in DIRECTIONS}
+    both = _beside_team(_counts(plays, status), own, team_columns)
     off = {f"rel_corsi_{way}": F.col(f"_team_{way}") - F.col(f"_on_{way}") for way in DIRECTIONS}
     return (
         both.withColumns(off)
@@ -219,8 +222,8 @@ def game_detail(
     )
 
 
-# Averaged columns of the player summary, with the one that is renamed.
-AVERAGED = [
+# Measures of the player summary in their published order; plus-minus is summed.
+MEASURES = [
     "corsi_for",
     "corsi_against",
     "corsi",
@@ -232,11 +235,13 @@ AVERAGED = [
     "rel_corsi",
     "rel_corsi_for_pct",
     "corsi_for_relative_pct",
+    "plusminus",
     "toi_s",
     "evenstrengthtoi_s",
     "corsi_for_per_es60",
     "corsi_against_per_es60",
 ]
+AVERAGED = [c for c in MEASURES if c != "plusminus"]
 
 
 def team_summary(detail: DataFrame, toi: DataFrame, team: str | None = None) -> DataFrame:
@@ -247,16 +252,13 @@ def team_summary(detail: DataFrame, toi: DataFrame, team: str | None = None) ->
         F.sum("plusminus").alias("plusminus"),
     )
     players = players_key(toi, team).drop("toi_s")
-    first, later = AVERAGED[:11], AVERAGED[11:]
     return players.join(means, ["playerid", "side"], "left").select(
         "playerid",
         "name",
         "position",
         "games_played",
         "toipg",
-        *first,
-        "plusminus",
-        *later,
+        *MEASURES,
         "average_corsi_per_60",
         F.col("side").alias("team"),
     )

@@ -51,11 +51,12 @@ def card_rows(pages: DataFrame, position: str, header_by: str) -> DataFrame:
     """
     full = F.nullif(F.regexp_extract("html", HEADER[header_by], 1), F.lit(""))
     entries = F.concat(_bio(_area(BIO_TABLE)), _stats(position))
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"]
-        ),
+    # The first position of a name in the reversed list is its last one; one scan per attribute.
+    backwards = F.reverse(entries)
+    names = F.transform(backwards, lambda e: e["name"])
+    last = F.transform(
+        F.array_distinct(names),
+        lambda name: F.get(backwards, (F.array_position(names, name) - 1).cast("int")),
     )
     return pages.select(
         F.col("id").alias("player_id"),

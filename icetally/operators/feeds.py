@@ -139,6 +139,19 @@ def align_by_name(parts: list[DataFrame]) -> DataFrame:
 # ---- live feed payloads --------------------------------------------------------------------
 
 
+def readable_feeds(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payloads (``id, payload``) that parse with a game key and at most one head coach a side, and
+    the rest. A payload without data (of that message number) is readable."""
+    doc = F.from_json("payload", f"{LIVE_FEED}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    checked = payloads.withColumn("doc", doc)
+    single = [F.coalesce(F.size(_head_coaches(side)) <= 1, F.lit(True)) for side in SIDES]
+    no_data = F.coalesce(F.col("doc.messageNumber") == 2, F.lit(False))
+    keyed = F.col("doc.gameData.game.pk").isNotNull()
+    sound = F.col("doc").isNotNull() & F.col("doc._broken").isNull() & (no_data | keyed)
+    passed = F.coalesce(sound & single[0] & single[1], F.lit(False))
+    return checked.where(passed).drop("doc"), checked.where(~passed).drop("doc")
+
+
 def complete_feeds(payloads: DataFrame) -> DataFrame:
     """Parsed feeds of finished games; feeds without data are dropped."""
     no_data = F.coalesce(F.col("doc.messageNumber") == 2, F.lit(False))
@@ -151,6 +164,7 @@ def _truth(text: Column) -> Column:
     return F.when(text.isin("true", "false"), F.initcap(text)).otherwise(text)
 
 
+# Names of team statistics, decisions and period values in the payloads.
 TEAM_STAT_NAMES = {
     "goals": "goals",
     "pim": "pim",
@@ -173,14 +187,17 @@ DECISIONS = {
 }
 
 
-def _head_coach(side: str) -> Column:
-    """Name of the head coach; null without one, an error with several."""
+def _head_coaches(side: str) -> Column:
     coaches = F.filter(
         F.col(f"doc.liveData.boxscore.teams.{side}.coaches"), lambda c: c["position"]["code"] == "HC"
     )
-    names = F.transform(coaches, lambda c: c["person"]["fullName"])
-    several = F.raise_error(F.concat(F.lit("multiple head coaches in game "), "id")).cast("string")
-    return F.when(F.size(names) > 1, several).otherwise(F.get(names, F.lit(0)))
+    return F.transform(coaches, lambda c: c["person"]["fullName"])
+
+
+def _head_coach(side: str) -> Column:
+    """Name of the head coach; null without one, and with several (see ``readable_feeds``)."""
+    names = _head_coaches(side)
+    return F.when(F.size(names) == 1, F.get(names, F.lit(0)))
 
 
 def _period(kind: str, number: int, side: str, key: str) -> Column:
@@ -213,6 +230,20 @@ def _period_columns() -> list[Column]:
     return columns
 
 
+def overtime_goals() -> list[Column]:
+    """Goals of all overtimes, as the winner needs them; null without overtime."""
+
+    def scored(side: str) -> Column:
+        overtimes = F.filter(
+            F.col("doc.liveData.linescore.periods"), lambda p: p["periodType"] == "OVERTIME"
+        )
+        goals = F.transform(overtimes, lambda p: F.coalesce(p[side]["goals"].cast("int"), F.lit(0)))
+        total = F.aggregate(goals, F.lit(0), lambda a, b: a + b)
+        return F.when(F.size(overtimes) > 0, total).alias(f"overtime_{side}_goals")
+
+    return [scored(side) for side in SIDES]
+
+
 def unknown_period_types(feeds: DataFrame) -> DataFrame:
     """Feeds listing a period that is neither regulation nor overtime, to be looked into."""
     known = ["REGULAR", "OVERTIME", "SHOOTOUT"]
@@ -262,6 +293,7 @@ def game_info(feeds: DataFrame) -> DataFrame:
         *stats,
         *[_head_coach(side).alias(f"head_coach_{side}") for side in SIDES],
         *_period_columns(),
+        *overtime_goals(),
     )
 
 

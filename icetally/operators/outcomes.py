@@ -66,6 +66,7 @@ GAME_COLUMNS = [
     "head_coach_away",
     "head_coach_home",
 ]
+OVERTIME_GOALS = ("overtime_away_goals", "overtime_home_goals")
 GAME_KEY_PARTS = ["game_season", "game_type", "game_number"]
 
 
@@ -90,6 +91,7 @@ def _game_side(gameinfo: DataFrame) -> DataFrame:
         F.col("season").alias("season_code"),
         *GAME_COLUMNS,
         *[stat(F.col(c)).alias(c) for c in PERIOD_GOALS],
+        *[stat(F.col(c)).alias(c) for c in OVERTIME_GOALS if c in gameinfo.columns],
     )
 
 
@@ -127,7 +129,10 @@ def outcome_columns(df: DataFrame) -> DataFrame:
 
     home, away = regulation("home"), regulation("away")
     so_home, so_away = F.col("so_goals_home"), F.col("so_goals_away")
-    overtime = leader(F.col("ot4_home_goals"), F.col("ot4_away_goals"), F.lit("so"))
+    # Landing tables without the goals of all overtimes have those of the first one.
+    every = set(OVERTIME_GOALS) <= set(df.columns)
+    ot_away, ot_home = OVERTIME_GOALS if every else ("ot4_away_goals", "ot4_home_goals")
+    overtime = leader(F.col(ot_home), F.col(ot_away), F.lit("so"))
     return df.withColumns(
         {
             "regulation_home": home,
@@ -214,6 +219,7 @@ def goalie_game_stats(playerstats: DataFrame) -> DataFrame:
     )
 
 
+# Columns of a goalie and their published names.
 GOALIE_PIVOT = {
     "player_rosterStatus": "roster_status",
     "player_id": "player_id",
@@ -231,14 +237,22 @@ def game_goaltending(goalies: DataFrame, gameinfo: DataFrame) -> DataFrame:
     Several other goalies give several rows, as several rows are what the match-up table publishes.
     """
     side = ["game_pk", "player_teamtype"]
-
-    def prefixed(prefix: str) -> list[Column]:
-        return [F.col(c).alias(f"{prefix}_{n}") for c, n in GOALIE_PIVOT.items()]
-
     decided = F.coalesce(known(F.col("gt_decision")), F.lit("")).isin("W", "L")
-    record = goalies.where(decided).select(*GAME_KEY_PARTS, *side, *prefixed("decision"))
-    other = goalies.where(~decided).select(*side, *prefixed("non_decision"))
-    return record.join(other, side, "left").join(_game_side(gameinfo), "game_pk")
+    goalie = F.struct(*GAME_KEY_PARTS, *[F.col(c).alias(n) for c, n in GOALIE_PIVOT.items()])
+    # A game and side has a handful of goalies, so one grouping lists them; no self-join.
+    listed = goalies.groupBy(*side).agg(
+        F.collect_list(F.when(decided, goalie)).alias("record"),
+        F.collect_list(F.when(~decided, goalie)).alias("other"),
+    )
+    met = listed.select(*side, F.explode("record").alias("decision"), "other")
+    met = met.select(*side, "decision", F.explode_outer("other").alias("non_decision"))
+    pivot = [
+        F.col(f"{prefix}.{n}").alias(f"{prefix}_{n}")
+        for prefix in ("decision", "non_decision")
+        for n in GOALIE_PIVOT.values()
+    ]
+    parts = [F.col(f"decision.{c}").alias(c) for c in GAME_KEY_PARTS]
+    return met.select(*parts, *side, *pivot).join(_game_side(gameinfo), "game_pk")
 
 
 def skater_vs_goaltender(skaters: DataFrame, goaltending: DataFrame) -> DataFrame:

@@ -66,7 +66,59 @@ def ordered_positions(
     return numbered.withColumns(positions).drop("_inside", *[f"_before_{n}" for n in scopes])
 
 
-RANGES = 64
+FAN = 1024
+
+
+def overall_positions(
+    df: DataFrame, name: str, block: str, order: Sequence[str | Column], levels: int = 4
+) -> DataFrame:
+    """``row_number()`` over all rows, for a whole-numbered ``block`` that keeps the order.
+
+    Rows are numbered within their block. The rows before a block are summed up level by level in
+    groups of ``FAN`` neighbours, so that no window has more than that many rows as long as blocks
+    stay below ``FAN`` to the power of ``levels``.
+    """
+    blocks = df.groupBy(block).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = blocks.select(
+        block, F.col(block).alias("_node"), "_rows", F.lit(0).cast("bigint").alias("_before")
+    )
+    for _ in range(levels):
+        parent = F.floor(F.col("_node") / FAN)
+        nodes = offsets.groupBy("_node").agg(F.sum("_rows").alias("_held"))
+        earlier = Window.partitionBy("_parent").orderBy("_node")
+        earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+        ahead = nodes.withColumn("_parent", parent).select(
+            "_node", "_parent", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_ahead")
+        )
+        offsets = offsets.join(ahead, "_node").select(
+            block, F.col("_parent").alias("_node"), "_rows", (F.col("_before") + F.col("_ahead")).alias("_before")
+        )
+    inside = Window.partitionBy(block).orderBy(*order)
+    numbered = df.withColumn("_inside", F.row_number().over(inside))
+    placed = numbered.join(offsets.select(block, "_before"), block)
+    return placed.withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+
+
+CUTS = 255
+PER_RANGE = 4096
+
+
+def value_ranges(
+    counts: DataFrame, keys: Sequence[str], value: str, tallies: Sequence[str]
+) -> DataFrame:
+    """Adds ``_range`` and ``<tally>_all``: ranges of each key's distinct values, cut at measured
+    quantiles, as many as the number of values needs."""
+    ranges = counts.groupBy(*keys).agg(
+        F.percentile_approx(
+            value, F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), F.lit(20 * CUTS)
+        ).alias("_cuts"),
+        F.least(F.ceil(F.count(F.lit(1)) / PER_RANGE), F.lit(CUTS + 1)).alias("_parts"),
+        *[F.sum(t).alias(f"{t}_all") for t in tallies],
+    )
+    passed = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    return counts.join(ranges, list(keys)).withColumn(
+        "_range", F.floor(passed * F.col("_parts") / (CUTS + 1)).cast("int")
+    ).drop("_cuts", "_parts")
 
 
 def running_counts(
@@ -75,22 +127,12 @@ def running_counts(
     """Running totals of ``tallies`` over ascending distinct ``value`` per key.
 
     ``counts`` has one row per key and distinct value. Adds ``<tally>_below`` (rows with a smaller
-    value) and ``<tally>_all`` (rows of the key). The value range of each key is cut into equal
-    ranges so that no task sorts all distinct values of a key.
+    value) and ``<tally>_all`` (rows of the key). The values of each key are cut at measured
+    quantiles of its distinct values, into as many ranges as their number needs, so that outliers
+    don't leave all others in one range and no task sorts all distinct values of a key.
     """
     whole = Window.partitionBy(*keys)
-    ranges = counts.groupBy(*keys).agg(
-        F.min(value).alias("_low"),
-        F.max(value).alias("_high"),
-        *[F.sum(t).alias(f"{t}_all") for t in tallies],
-    )
-    width = (F.col("_high").cast("double") - F.col("_low").cast("double")) / RANGES
-    step = F.floor(
-        F.try_divide(F.col(value).cast("double") - F.col("_low").cast("double"), width)
-    )
-    placed = salted_join(counts, ranges, list(keys), [value]).withColumn(
-        "_range", F.coalesce(F.least(step, F.lit(RANGES - 1)), F.lit(0)).cast("int")
-    )
+    placed = value_ranges(counts, keys, value, tallies)
     per_range = placed.groupBy(*keys, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in tallies])
     earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
@@ -108,6 +150,6 @@ def running_counts(
     )
     joined = running.join(offsets, [*keys, "_range"])
     below = {f"{t}_below": F.col(f"_{t}_before") + F.col(f"_{t}_inside") for t in tallies}
-    helpers = ["_low", "_high", "_range"]
+    helpers = ["_range"]
     helpers += [f"_{t}_{part}" for t in tallies for part in ("before", "inside")]
     return joined.withColumns(below).drop(*helpers)

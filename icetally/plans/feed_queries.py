@@ -6,8 +6,6 @@ the checking SQL reads the same rows directly.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -545,6 +543,25 @@ def bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("hashmod").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def bucket_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of the buckets that hold for any good hash: all are used, and no key has two."""
+    rows = sinks.with_bucket(a.view(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    by_key = rows.groupBy("o_orderkey").agg(
+        F.min("hashmod").alias("low"), F.max("hashmod").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    return by_key.agg(
+        F.countDistinct("low").alias("buckets"),
+        F.min("low").alias("lowest"),
+        F.max("high").alias("highest"),
+        F.sum("n").alias("rows"),
+        F.count_if(F.col("low") != F.col("high")).alias("split_keys"),
+    )
+
+
+BUCKET_CHECKS_SQL = """
+select 50 as buckets, 0 as lowest, 49 as highest, count(*) as rows, 0 as split_keys from orders"""
+
+
 def stringify_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.view(spark, sf_dir, "part").selectExpr(
         "p_partkey", "if(p_size % 5 = 0, null, p_size) as arena_id", "if(p_size > 40, null, p_name) as p_name"
@@ -559,9 +576,8 @@ select cast(p_partkey as varchar) as p_partkey,
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names; a local one only where none is set."""
-    root = sinks.shared_directory(spark) or tempfile.mkdtemp(prefix="tables-")
-    return os.path.join(root, f"roundtrip-{uuid.uuid4().hex}")
+    """A new folder below the one that all executors share."""
+    return f"{sinks.shared_directory(spark)}/roundtrip-{uuid.uuid4().hex}"
 
 
 def roundtrip_write(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -630,6 +646,7 @@ QUERIES = {
     "incremental_rows": (incremental_rows, INCREMENTAL_SQL),
     "batches": (batches, BATCHES_SQL),
     "bucket_sizes": (bucket_sizes, None),
+    "bucket_checks": (bucket_checks, BUCKET_CHECKS_SQL),
     "stringify_fill": (stringify_fill, STRINGIFY_SQL),
     "roundtrip_write": (roundtrip_write, ROUNDTRIP_SQL),
 }

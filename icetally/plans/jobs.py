@@ -6,6 +6,8 @@ key, so a job that was interrupted or run twice adds each game once.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import attempts, cards, feeds, impact, onice, outcomes, plays, playtext
@@ -21,6 +23,20 @@ def _new_games(
     return readers.incremental_rows(rows, readers.read_table(spark, path), keys)
 
 
+def _write_new(
+    spark: SparkSession, rows: DataFrame, path: str, keys: list[str], mode: str
+) -> None:
+    """Write or append the rows whose key is not stored; the first append makes the table."""
+    if mode == "append" and not _exists(spark, path):
+        mode = "overwrite"
+    sinks.write_table(_new_games(spark, rows, path, keys, mode), path, mode)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def ingest_games(
     spark: SparkSession, payload_path: str, page_path: str, out: str, mode: str = "overwrite"
 ) -> None:
@@ -29,7 +45,7 @@ def ingest_games(
     landed = readers.read_table(spark, payload_path)
     readable = F.get_json_object("payload", "$.id").isNotNull()
     payloads, rejected = readers.quarantine(landed, readable)
-    sinks.write_table(rejected, f"{out}/rejected", mode)
+    _write_new(spark, rejected, f"{out}/rejected", ["id"], mode)
     pages = playtext.page_text(readers.read_table(spark, page_path))
     tokenized = playtext.tokenize_plays(feeds.plays_documents(payloads, pages))
     forwards, defense, goalies = feeds.box_score_tables(payloads)
@@ -74,18 +90,43 @@ def attempt_metrics(
     rows = readers.read_table(spark, f"{source}/plays_sparse_detail")
     detail_path = f"{target}/team_player_game_detail"
     detail = attempts.game_detail(rows, toi, team)
+    keys = ["game_id", "team", "player_id"]
+    if mode == "append" and _exists(spark, detail_path):
+        # A team that was loaded before adds only its new games.
+        detail = readers.incremental_rows(detail, readers.read_table(spark, detail_path), keys)
     sinks.write_bucketed(detail, detail_path, "player_id", name="hashed_player_id", mode=mode)
     # The summary reads the written detail, so the metrics are computed once.
     written = readers.read_table(spark, detail_path)
     if team is not None:
         written = written.where(F.col("team") == team)
     summary = attempts.team_summary(written, toi, team)
-    sinks.write_balanced(summary, f"{target}/team_player_summary", mode)
+    summary_path = f"{target}/team_player_summary"
+    if mode == "append":
+        # A team's summary covers all of its games, so it replaces the one written before.
+        sinks.write_pairs(summary, summary_path, ["team"])
+    else:
+        summary.hint("rebalance", F.col("team")).write.mode(mode).partitionBy("team").parquet(summary_path)
 
 
-def load_feeds(spark: SparkSession, payload_path: str, out: str, mode: str = "overwrite") -> None:
-    """Live feeds (``id, payload``) of finished games to the all-string landing tables."""
-    finished = feeds.complete_feeds(readers.read_table(spark, payload_path))
+def load_feeds(
+    spark: SparkSession,
+    payload_path: str,
+    out: str,
+    mode: str = "overwrite",
+    team_path: str | None = None,
+) -> None:
+    """Live feeds (``id, payload``) of finished games to the all-string landing tables. Payloads that
+    can't be read, or name several head coaches, go to ``rejected``. Team listings (``id, payload``)
+    give the table of teams."""
+    readable, rejected = feeds.readable_feeds(readers.read_table(spark, payload_path))
+    _write_new(spark, rejected, f"{out}/rejected", ["id"], mode)
+    if team_path is not None:
+        listed = sinks.stringify(feeds.teams(readers.read_table(spark, team_path)))
+        _write_new(spark, listed, f"{out}/teams", ["team_id"], mode)
+    # The payloads are parsed once; every table is cut from the parsed rows.
+    staging = f"{sinks.shared_directory(spark)}/feeds-{uuid.uuid4().hex}"
+    sinks.write_table(feeds.complete_feeds(readable).drop("payload"), staging)
+    finished = readers.read_table(spark, staging)
     outputs = {
         "gameinfo": (feeds.game_info(finished), ["game_pk"]),
         "playerstats": (feeds.player_stats(finished), ["index_val"]),
@@ -117,13 +158,20 @@ def teammate_profiles(
     """Impact reports and result sentences of any number of pairs."""
     rows = readers.read_table(spark, f"{source}/skater_vs_goaltender")
     wanted = impact.player_pairs(spark, pairs)
-    tenures = impact.tenure(impact.teammate_games(rows, wanted))
+    tenure_path = f"{target}/tenures"
+    sinks.write_table(impact.tenure(impact.teammate_games(rows, wanted)), tenure_path)
+    # The chain of match-ups is read once for the tenures and once for the games.
+    tenures = readers.read_table(spark, tenure_path)
     impact.check_tenure(tenures)
     games_path = f"{target}/tenure_games"
-    sinks.write_table(impact.tenure_games(rows, wanted, full_careers), games_path)
+    games = impact.tenure_games(rows, wanted, full_careers, tenures)
+    sinks.write_table(games, games_path)
     report = impact.impact_report(readers.read_table(spark, games_path), alpha)
     sinks.write_reports(report, tenures, f"{target}/reports")
-    sinks.write_table(impact.result_sentences(report, alpha), f"{target}/sentences")
+    sentences = impact.result_sentences(report, alpha).withColumn(
+        "pair", sinks.pair_name(F.col("player_a"), F.col("player_b"))
+    )
+    sinks.write_pairs(sentences, f"{target}/sentences", ["pair"])
 
 
 def load_cards(
@@ -131,5 +179,6 @@ def load_cards(
 ) -> None:
     """Card pages (``id, html``) of one edition; pages that are no cards are listed in ``rejected``."""
     found, other = cards.card_table(readers.read_table(spark, page_path), gameyear, position)
-    sinks.write_table(found, f"{out}/{position}s", mode)
-    sinks.write_table(other, f"{out}/rejected", mode)
+    keys = ["player_id", "gameyear"]
+    _write_new(spark, found, f"{out}/{position}s", keys, mode)
+    _write_new(spark, other, f"{out}/rejected", keys, mode)

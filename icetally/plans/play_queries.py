@@ -591,6 +591,8 @@ def _page_text_sql() -> str:
         ("&quot;", '"'),
         ("&apos;", "''"),
         ("&nbsp;", " "),
+        ("&copy;", "©"),
+        ("&middot;", "·"),
         ("&amp;", "&"),
     ]:
         text = f"replace({text}, '{reference}', '{char}')"
@@ -599,7 +601,7 @@ def _page_text_sql() -> str:
 
 PAGE_LINKS_SQL = """
 select page_id, cast(generate_subscripts(l, 1) - 1 as int) as place, unnest(l) as href
-from (select page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1) as l
+from (select page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1) as l
   from pages)"""
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.skew import ordered_positions
+from ..operators.skew import overall_positions
 
 # Season types, and the number of match-ups in each playoff round.
 SEASON_TYPES = {"PR": "01", "R": "02", "P": "03"}
@@ -39,7 +39,7 @@ def season_ids(seasons: DataFrame) -> DataFrame:
     """Numbered game ids of seasons given as ``year, season_type, games``."""
     number = F.explode(F.sequence(F.lit(1), F.col("games").cast("int"))).alias("number")
     rows = seasons.where(F.col("games") > 0).select("year", "season_type", number)
-    key = F.concat(F.col("year").cast("string"), "season_type", F.lpad("number", 4, "0"))
+    key = F.concat(F.col("year").cast("string"), "season_type", F.lpad("number", F.greatest(F.length("number"), F.lit(4)), F.lit("0")))
     return rows.select("year", "season_type", key.alias("game_id"))
 
 
@@ -102,21 +102,23 @@ def after_mark(arrived: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def batches(
-    ids: DataFrame,
-    batch_size: int,
-    n_batches: int | None = None,
-    key: str = "id",
-    block_width: int = 1_000_000,
+    ids: DataFrame, batch_size: int, key: str = "id", block_width: int = 1_000_000
 ) -> DataFrame:
-    """Batch number of each unique id, in id order; ids beyond ``n_batches`` batches are left out.
+    """Batch number of each unique id, in id order.
 
-    Positions are counted over id blocks of ``block_width``, so no task sorts all ids.
+    Positions are counted over id blocks of ``block_width`` and groups of blocks, so no task sorts
+    all ids or all blocks.
     """
     blocked = ids.withColumn("_block", F.floor(F.col(key) / block_width))
-    placed = ordered_positions(blocked, {"_position": []}, "_block", [key])
+    placed = overall_positions(blocked, "_position", "_block", [key])
     batch = F.floor((F.col("_position") - 1) / batch_size).cast("int")
-    out = placed.withColumn("batch", batch).drop("_block", "_position")
-    return out if n_batches is None else out.where(F.col("batch") < n_batches)
+    return placed.withColumn("batch", batch).drop("_block", "_position")
+
+
+def first_batches(batched: DataFrame, n_batches: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the first ``n_batches`` batches, and the rows left for a later run."""
+    first = F.col("batch") < n_batches
+    return batched.where(first), batched.where(~first)
 
 
 def quarantine(rows: DataFrame, readable: Column) -> tuple[DataFrame, DataFrame]:

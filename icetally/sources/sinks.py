@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import MISSING
 
 NO_ARENA = -999  # fixed value: id of an arena without one
-COMPACTED_FILES = 10  # fixed value: files per compacted dataset
 BUCKETS = 50  # fixed value: buckets of the analysis inputs
 
 # Datasets that are compacted; the last two arrive as CSV.
@@ -27,9 +26,10 @@ def write_balanced(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.hint("rebalance").write.mode(mode).parquet(path)
 
 
-def compact(df: DataFrame, path: str, files: int = COMPACTED_FILES) -> None:
-    """Rewrite a dataset as a given number of files of equal size."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def compact(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Rewrite a dataset as files of equal size: as many as its size needs, or a given number."""
+    even = df.hint("rebalance") if files is None else df.repartition(files)
+    even.write.mode("overwrite").parquet(path)
 
 
 def manifest() -> list[tuple[str, str, str]]:
@@ -43,7 +43,7 @@ def compact_all(
     source_root: str,
     target_root: str,
     entries: Iterable[tuple[str, str, str]] | None = None,
-    files: int = COMPACTED_FILES,
+    files: int | None = None,
 ) -> None:
     """Compact every dataset of the list; CSV sources become parquet."""
     for source, kind, target in entries if entries is not None else manifest():
@@ -69,20 +69,15 @@ def write_bucketed(
     key: str = "game_id",
     buckets: int = BUCKETS,
     name: str = "hashmod",
-    tasks_per_bucket: int = 4,
     mode: str = "overwrite",
 ) -> None:
     """Write one directory per bucket of ``key``.
 
-    Readers that filter on the bucket skip the other directories. Each bucket is spread over several
-    tasks by a hash of the row, so a hot key does not make one task write a whole bucket.
+    Readers that filter on the bucket skip the other directories. Rows are rebalanced by bucket:
+    adaptive execution splits a bucket that is larger than the advisory size over several tasks and
+    joins small ones, so neither a hot key nor the size of the data overloads a task.
     """
-    nested = (T.MapType, T.ArrayType, T.StructType)
-    plain = [f.name for f in df.schema if not isinstance(f.dataType, nested)]
-    part = F.pmod(F.xxhash64(*plain), F.lit(tasks_per_bucket))
-    spread = with_bucket(df, key, buckets, name).repartition(
-        buckets * tasks_per_bucket, F.col(name), part
-    )
+    spread = with_bucket(df, key, buckets, name).hint("rebalance", F.col(name))
     spread.write.mode(mode).partitionBy(name).parquet(path)
 
 
@@ -92,6 +87,13 @@ def pair_name(player_a: Column, player_b: Column) -> Column:
     return F.array_join(F.array_sort(F.array(*names)), "_")
 
 
+def write_pairs(df: DataFrame, path: str, parts: list[str]) -> None:
+    """Replace the folders of the pairs in ``df`` and leave those of other pairs."""
+    spread = df.repartition(*[F.col(p) for p in parts])
+    writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*parts).parquet(path)
+
+
 def write_reports(report: DataFrame, tenures: DataFrame, path: str) -> None:
     """Write impact reports under pair, player and range of games."""
     bounds = tenures.select(
@@ -103,7 +105,7 @@ def write_reports(report: DataFrame, tenures: DataFrame, path: str) -> None:
             "player": F.col("player_last_name"),
         }
     )
-    rows.write.mode("overwrite").partitionBy("pair", "player", "games").parquet(path)
+    write_pairs(rows, path, ["pair", "player", "games"])
 
 
 def stringify(df: DataFrame) -> DataFrame:
@@ -117,6 +119,8 @@ def fill_arena(df: DataFrame, column: str = "arena_id") -> DataFrame:
     return df.fillna({column: NO_ARENA})
 
 
-def shared_directory(spark: SparkSession) -> str | None:
-    """The cluster's shared folder for intermediate tables, if the session names one."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+def shared_directory(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share: the one that the session
+    names, or its warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from icetally.functions.significance import normal_two_sided
+from icetally.functions.significance import _exact_p, normal_two_sided
 from icetally.operators import impact, skew
 
 
@@ -43,13 +43,28 @@ def test_normal_tail(spark):
     [([1, 5, 9, 20], [2, 3, 11, 12, 30]), ([7], [1, 2, 3, 4]), ([10, 11, 12], [1, 2, 3, 4, 5, 6])],
 )
 def test_exact_p_matches_enumeration(spark, x, y):
-    row = impact.rank_test(counts(spark, x, y), ["statistic"]).first()
+    row = impact.rank_test(counts(spark, x, y), ["statistic"], method="exact").first()
     assert row["mann_whitney_u"] == brute_u(x, y)
     assert row["p_value"] == pytest.approx(brute_exact(x, y))
     back = impact.rank_test(counts(spark, y, x), ["statistic"]).first()
     assert row["mann_whitney_u"] + back["mann_whitney_u"] == len(x) * len(y)
 
 
+def test_exact_far_tail_is_not_negative():
+    assert _exact_p(8000, 8, 1000) == pytest.approx(2 / math.comb(1008, 8))
+
+
+def test_one_outlier_leaves_the_ranges_even(spark):
+    values = [*range(20_000), 10**15]
+    frame = spark.createDataFrame([("k", v, 1) for v in values], "key string, value long, rows long")
+    running = skew.running_counts(frame, ["key"], "value", ["rows"])
+    assert running.where("rows_below <> least(value, 20000)").count() == 0
+    assert "_range" not in running.columns
+    placed = skew.value_ranges(frame, ["key"], "value", ["rows"])
+    sizes = [r["count"] for r in placed.groupBy("_range").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+
+
 def test_ties_means_and_medians(spark):
     x, y = [0, 0, 1, 2, 2, 2, 5, 40], [0, 1, 1, 1, 3, 5, 5, -4, 9]
     row = impact.rank_test(counts(spark, x, y), ["statistic"]).first()
