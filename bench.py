@@ -24,6 +24,7 @@ HEADLINE = [
     "sparse_union",
     "versus_opponent",
     "rank_test",
+    "impact_report",
     "tokenize_text",
     "page_text",
 ]

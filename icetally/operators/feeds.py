@@ -78,6 +78,13 @@ def box_score_tables(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     )
 
 
+def readable_box_score(payload: str = "payload") -> Column:
+    """Whether a payload parses with the declared types and has a game id."""
+    broken = {"columnNameOfCorruptRecord": "_broken"}
+    doc = F.from_json(payload, f"{BOX_SCORE}, _broken string", broken)
+    return doc["id"].isNotNull() & doc["_broken"].isNull()
+
+
 def game_header(payloads: DataFrame) -> DataFrame:
     """One row per game."""
     return parse(payloads, BOX_SCORE).select(

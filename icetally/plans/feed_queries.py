@@ -408,6 +408,29 @@ select event_id, case when event_type = 'error' then 'rejected' else 'ok' end as
   case when event_type = 'error' then null else cast(json_extract_string(props, '$.k') as int) end as k
 from events"""
 
+
+def feed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feed per order; of seven, one is cut off, one mistyped, and one names two head coaches."""
+    coach = "named_struct('person', named_struct('fullName', o_orderpriority), 'position', named_struct('code', 'HC'))"
+    document = f"""to_json(named_struct(
+      'gameData', named_struct('game', named_struct('pk', o_orderkey)),
+      'liveData', named_struct('boxscore', named_struct('teams', named_struct('home',
+        named_struct('coaches', if(o_orderkey % 7 = 2, array({coach}, {coach}), array({coach}))))))))"""
+    payload = f"""case o_orderkey % 7 when 0 then left({document}, 40)
+      when 1 then '{{"gameData": 7}}' else {document} end"""
+    rows = a.view(spark, sf_dir, "orders").selectExpr(
+        "cast(o_orderkey as string) as id", f"{payload} as payload"
+    )
+    readable, rejected = feeds.readable_feeds(rows)
+    return readable.select("id", F.lit("ok").alias("state")).unionByName(
+        rejected.select("id", F.lit("rejected").alias("state"))
+    )
+
+
+FEED_QUARANTINE_SQL = """
+select cast(o_orderkey as varchar) as id,
+  case when o_orderkey % 7 in (0, 1, 2) then 'rejected' else 'ok' end as state from orders"""
+
 # ---- cards ----------------------------------------------------------------------------------
 
 
@@ -642,6 +665,7 @@ QUERIES = {
     "quarantine": (quarantined, QUARANTINE_SQL),
     "page_attributes": (page_attributes, _attributes_sql()),
     "id_ranges": (id_ranges, ID_RANGES_SQL),
+    "feed_quarantine": (feed_quarantine, FEED_QUARANTINE_SQL),
     "high_water_mark": (high_water_mark, HIGH_WATER_SQL),
     "incremental_rows": (incremental_rows, INCREMENTAL_SQL),
     "batches": (batches, BATCHES_SQL),

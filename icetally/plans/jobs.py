@@ -43,10 +43,12 @@ def ingest_games(
     """Box scores (``id, payload``) and play pages (``game_id, html``) to raw tables and plays with
     the players on the ice. Unreadable payloads go to ``rejected`` and stop nothing."""
     landed = readers.read_table(spark, payload_path)
-    readable = F.get_json_object("payload", "$.id").isNotNull()
-    payloads, rejected = readers.quarantine(landed, readable)
+    payloads, rejected = readers.quarantine(landed, feeds.readable_box_score())
     _write_new(spark, rejected, f"{out}/rejected", ["id"], mode)
-    pages = playtext.page_text(readers.read_table(spark, page_path))
+    # Only pages and stored plays of this run's games are worked on.
+    games = feeds.game_header(payloads).select("game_id").distinct()
+    landed_pages = readers.read_table(spark, page_path).join(games, "game_id", "left_semi")
+    pages = playtext.page_text(landed_pages)
     tokenized = playtext.tokenize_plays(feeds.plays_documents(payloads, pages))
     forwards, defense, goalies = feeds.box_score_tables(payloads)
     outputs = {
@@ -61,7 +63,10 @@ def ingest_games(
     stored = {name: readers.read_table(spark, f"{out}/{name}") for name in outputs}
     enriched = f"{out}/plays_with_onice"
     # Only plays without their players yet are enriched.
-    pending = _new_games(spark, stored["raw_plays"], enriched, ["game_id", "index"], mode)
+    pending = stored["raw_plays"].join(games, "game_id", "left_semi")
+    if mode == "append":
+        done = readers.read_table(spark, enriched).join(games, "game_id", "left_semi")
+        pending = readers.incremental_rows(pending, done, ["game_id", "index"])
     rosters = [stored[name] for name in ("raw_forwards", "raw_defense", "raw_goalies")]
     sinks.write_table(onice.attach_on_ice(pending, *rosters), enriched, mode)
 

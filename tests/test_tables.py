@@ -222,7 +222,8 @@ def play_page(game):
 
 def test_jobs_end_to_end(spark, tmp_path):
     root = str(tmp_path)
-    payloads(spark, box_score(1), ("9", "not json")).write.parquet(f"{root}/box1")
+    odd = [("9", "not json"), ("x9", '{"id": "x9"}'), ("10", '{"id": 10, "awayTeam": 7}')]
+    payloads(spark, box_score(1), *odd).write.parquet(f"{root}/box1")
     payloads(spark, box_score(1), box_score(2)).write.parquet(f"{root}/box2")
     pages = spark.createDataFrame([play_page(1), play_page(2)], "game_id long, html string")
     pages.write.parquet(f"{root}/pages")
@@ -231,7 +232,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     jobs.ingest_games(spark, f"{root}/box2", f"{root}/pages", f"{root}/raw", "append")
     plays = spark.read.parquet(f"{root}/raw/plays_with_onice")
     assert plays.count() == 4 and spark.read.parquet(f"{root}/raw/raw_forwards").count() == 12
-    assert spark.read.parquet(f"{root}/raw/rejected").count() == 1
+    assert spark.read.parquet(f"{root}/raw/rejected").count() == 3
     jobs.format_plays(spark, f"{root}/raw")
     jobs.prepare_attempts(spark, f"{root}/raw", f"{root}/ready", 5)
     jobs.attempt_metrics(spark, f"{root}/ready", f"{root}/out")
