@@ -82,7 +82,8 @@ def vector_array(column) -> np.ndarray:
 
 
 def placed(classes: DataFrame, cells: Cells) -> DataFrame:
-    """A row for each cell of each class: ``cell``, ``home``, ``cells`` and the class."""
+    """A row for each cell of each class: ``cell``, ``home`` and the class, and in the home cell
+    ``cells``, the list of all of them."""
 
     def take(batches):
         for batch in batches:
@@ -91,14 +92,17 @@ def placed(classes: DataFrame, cells: Cells) -> DataFrame:
                 own = batch.filter(pa.array(dims == dim))
                 home, there = cells.places(vector_array(own.column("vector")))
                 row, cell = np.nonzero(there)
-                lists = [np.flatnonzero(t).astype(np.int32) for t in there]
                 picked = own.take(pa.array(row))
+                # Only a row at home is asked where else it is.
+                sizes = np.where(cell == home[row], there.sum(axis=1)[row], 0)
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                visited = np.nonzero(there)[1].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         picked.column("name"), picked.column("n"), picked.column("dim"),
                         picked.column("vector"), pa.array(cell.astype(np.int32)),
                         pa.array(home[row].astype(np.int32)),
-                        pa.array([lists[r] for r in row], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(visited)),
                     ],
                     names=["name", "n", "dim", "vector", "cell", "home", "cells"],
                 )
@@ -125,17 +129,16 @@ def compare(threshold: float):
         close = rows[left] @ rows[right].T >= threshold
         if kind == "self":
             np.fill_diagonal(close, False)
-        if kind == "guest":
-            # The guest's home sees the pair too if this row is a guest there.
-            cell = table.column("cell")[0].as_py()
-            width = int(home.max()) + 1
-            visits = np.zeros((len(left), width), bool)
-            lists = table.column("cells").to_pylist()
-            for r, i in enumerate(left):
-                there = np.array(lists[i], dtype=np.int64)
-                visits[r, there[there < width]] = True
-            close &= (cell < home[right])[None, :] | ~visits[:, home[right]]
         i, j = np.nonzero(close)
+        if kind == "guest" and len(i):
+            # The guest's home sees the pair too if this row is a guest there; the smaller cell counts.
+            cell = table.column("cell")[0].as_py()
+            rows_hit, at = np.unique(left[i], return_inverse=True)
+            visits = np.zeros((len(rows_hit), int(home.max()) + 1), bool)
+            for r, cells in enumerate(table.column("cells").take(pa.array(rows_hit)).to_pylist()):
+                visits[r, [c for c in cells if c < visits.shape[1]]] = True
+            mine = (cell < home[right[j]]) | ~visits[at, home[right[j]]]
+            i, j = i[mine], j[mine]
         if not len(i):
             return schema.empty_table()
         counts = np.zeros(len(name), dtype=np.int64)
