@@ -22,9 +22,6 @@ from icetally.llm.shared import Scratch, batched, rows, text_bytes
 
 SAMPLE = 8_000
 """Labelled rows that the model is fitted on, chosen by a hash of their id."""
-TRAIN_WINDOWS = 64
-"""Windows of a training row among which its worst one is looked for, spread over the whole text;
-only training looks at so few."""
 LENGTH, STRIDE = 32, 16
 BUCKETS = 1 << 18
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, LOOK = 4096, 2048, 4, 4, 8, 8
@@ -390,16 +387,19 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
         def records():
             for doc_id, label, text in rows(batches, "doc_id", "label", "text"):
                 words = split_words(text)
-                starts = np.append(np.arange(0, max(1, len(words) - LENGTH), STRIDE), max(0, len(words) - LENGTH))
-                if len(starts) > TRAIN_WINDOWS:
-                    starts = starts[np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(int)]
-                cut = [words[a : a + LENGTH] for a in np.unique(starts)]
-                odds = [without(label, c) for c in cut]
-                worst = max(range(len(cut)), key=lambda i: (odds[i].max(initial=-9), odds[i].sum()))
-                yield label, cut[worst], odds[worst]
-                other = hash(doc_id) % len(cut)
+                odds = without(label, words)
+                last = max(0, len(words) - LENGTH)
+                starts = np.append(np.arange(0, last, STRIDE), last)
+                worst, best = 0, (-np.inf, 0.0)
+                for a in starts.tolist():
+                    own = odds[a : a + LENGTH]
+                    value = (own.max(initial=-9), own.sum())
+                    if value > best:
+                        worst, best = a, value
+                yield label, words[worst : worst + LENGTH], odds[worst : worst + LENGTH]
+                other = int(starts[hash(doc_id) % len(starts)])
                 if label < 0.5 and other != worst:
-                    yield label, cut[other], odds[other]
+                    yield label, words[other : other + LENGTH], odds[other : other + LENGTH]
 
         yield from batched(records(), schema)
 
