@@ -110,6 +110,15 @@ def unpacked(packed: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(packed).split() if packed else []
 
 
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where each different key stands first, ascending."""
+    order = np.lexsort((np.arange(len(keys[0])), *keys))
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return np.sort(order[new])
+
+
 class Columns:
     """Collects numpy columns and gives them out as record batches of some 100,000 rows."""
 
@@ -130,7 +139,8 @@ class Columns:
 
 
 def anchor_rows(texts: DataFrame, window: int) -> DataFrame:
-    """``anchor``, ``ord`` (the document's place in the order of ids), ``uid``, ``pos``."""
+    """``anchor``, ``ord`` (the document's place in the order of ids), ``uid``, ``pos``: the first
+    position of each anchor in a document, however often the document repeats it."""
     length = window - PERIOD + 1
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +149,8 @@ def anchor_rows(texts: DataFrame, window: int) -> DataFrame:
             values = word_hashes(unpacked(packed))
             at = cover_positions(len(values) - length + 1)
             hashes = rolling.at(rolling.sums(values), at, length).view(np.int64)
+            once = firsts(hashes)
+            hashes, at = hashes[once], at[once]
             same = np.full(len(at), ord_, np.int64), np.full(len(at), uid, np.int64)
             out.add(hashes, *same, at.astype(np.int64))
             yield from out.take()
@@ -192,15 +204,17 @@ def runs(
 
 
 def shared_rows(frame: DataFrame, keys: tuple[str, ...], later_only: bool) -> DataFrame:
-    """A key has about one row for each document that has it, so no task gets a whole group of
-    documents; sorted runs stream through, whatever their length."""
+    """A key has one row for each document that has it, so it is a small part of the rows even if
+    all documents have it; sorted runs stream through, whatever their length."""
     spread = frame.repartition(*keys).sortWithinPartitions(*keys, "ord")
     found = spread.mapInArrow(lambda b: runs(b, keys, later_only), "uid long, pos long")
     return found.groupBy("uid").agg(F.collect_list("pos").alias("places"))
 
 
 def window_rows(texts: DataFrame, window: int) -> DataFrame:
-    """Windows that hold a shared anchor: ``k1``, ``k2``, ``ord``, ``uid``, ``pos``."""
+    """Windows that hold a shared anchor: ``k1``, ``k2``, ``ord``, ``uid``, ``pos``, the first of
+    equal ones in a document."""
+    length = window - PERIOD + 1
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Rolling(MULTIPLIERS[0]), Rolling(MULTIPLIERS[1])
@@ -208,12 +222,17 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
         for uid, ord_, packed, places in rows(batches, "uid", "ord", "packed", "places"):
             values = word_hashes(unpacked(packed))
             edge = np.zeros(len(values) + 2, dtype=np.int64)
-            at = np.array(places, dtype=np.int64)
+            sums = one.sums(values)
+            covered = cover_positions(len(values) - length + 1)
+            anchors = one.at(sums, covered, length)
+            at = covered[np.isin(anchors, one.at(sums, np.array(places, dtype=np.int64), length))]
             np.add.at(edge, np.maximum(at - PERIOD + 1, 0), 1)
             np.add.at(edge, at + 1, -1)
             starts = np.flatnonzero(np.cumsum(edge)[: len(values) - window + 1] > 0)
-            k1 = one.at(one.sums(values), starts, window).view(np.int64)
+            k1 = one.at(sums, starts, window).view(np.int64)
             k2 = two.at(two.sums(second(values)), starts, window).view(np.int64)
+            once = firsts(k1, k2)
+            k1, k2, starts = k1[once], k2[once], starts[once]
             same = np.full(len(starts), ord_, np.int64), np.full(len(starts), uid, np.int64)
             out.add(k1, k2, *same, starts)
             yield from out.take()
@@ -232,11 +251,18 @@ def removed_rows(texts: DataFrame, window: int) -> DataFrame:
     )
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = Rolling(MULTIPLIERS[0]), Rolling(MULTIPLIERS[1])
+
         def records() -> Iterator[tuple]:
             for uid, packed, places in rows(batches, "uid", "packed", "places"):
                 words = unpacked(packed)
+                values = word_hashes(words)
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                at = np.array(places, dtype=np.int64)
+                # The windows of the document that are equal to those found.
+                starts, found = np.arange(len(words) - window + 1), np.array(places, dtype=np.int64)
+                k1 = one.at(one.sums(values), starts, window)
+                k2 = two.at(two.sums(second(values)), starts, window)
+                at = starts[np.isin(k1, k1[found]) & np.isin(k2, k2[found])]
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + window, -1)
                 gone = np.cumsum(edge)[:-1] > 0

@@ -65,6 +65,18 @@ def test_windows_of_a_hot_passage_across_batches(spark):
     assert got == sorted(repeated_brute(rows, 50))
 
 
+def test_windows_that_a_document_repeats(spark):
+    rows = [(0, "er " * 400), (1, "a b " + "er " * 90 + "c " + "er " * 70), (2, "x y " * 200), (3, "z " + "y x " * 60)]
+    rows += [(4, "er " * 49), (5, ("er " * 49 + "q ") * 5), (6, ("er " * 49 + "q ") * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[:4] for r in substrings.repeated_windows(frame).collect())
+    assert got == sorted(repeated_brute(rows, 50))
+    one = substrings.anchor_rows(
+        spark.createDataFrame([(1, 1, 400, substrings.zstandard.compress(b"er " * 400))], "uid long, ord long, n_words long, packed binary"), 50
+    )
+    assert one.count() == 1
+
+
 def fingerprint_brute(text):
     words = SPACED.findall(lower_ascii(text))
     if not words:
