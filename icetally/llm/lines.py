@@ -146,25 +146,37 @@ def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     runs = scratch.write(later_runs(docs, scratch, min_lines), "runs")
-    kept = runs.groupBy("k1", "k2").agg(
-        F.max("total").alias("total"), F.flatten(F.collect_list("positions")).alias("gone")
+    gone = runs.groupBy("k1", "k2").agg(
+        F.max("total").alias("total"),
+        F.array_sort(F.flatten(F.collect_list("positions"))).alias("gone"),
     )
-    kept = kept.select(
+    gone = scratch.write(gone, "gone")
+    # A flag for each line: those kept before each deleted one, that one, and those after the last.
+    before = F.transform(
+        "gone",
+        lambda at, i: F.concat(
+            F.array_repeat(F.lit(True), at - F.when(i > 0, F.get("gone", i - 1)).otherwise(-1) - 1),
+            F.array(F.lit(False)),
+        ),
+    )
+    after = F.array_repeat(F.lit(True), F.col("total") - 1 - F.element_at("gone", -1))
+    flags = gone.select(
         "k1",
         "k2",
         F.size("gone").cast("long").alias("n_removed"),
-        F.array_except(F.sequence(F.lit(0), F.col("total") - 1), F.col("gone")).alias("kept"),
+        F.concat(F.flatten(before), after).alias("kept"),
     )
+    flags = scratch.write(flags, "flags")
     text = F.coalesce("text", F.lit(""))
     k1, k2 = hash128(F.col("doc_id"), text)
-    lines = F.split(text, "\n")
-    counted = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    # The array of lines is made below the join, so that picking from it doesn't split again.
+    full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     whole = docs.select(
-        F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"), lines.alias("lines"), counted.alias("n_lines")
+        F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"), F.size(full).cast("long").alias("n_lines")
     )
-    picked = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
-    return whole.join(kept, ["k1", "k2"], "left").select(
+    # The flags grow with the documents, so they are merged at every size and never broadcast.
+    joined = whole.join(flags.hint("merge"), ["k1", "k2"], "left")
+    picked = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: F.get("kept", i)), "\n")
+    return joined.select(
         "row",
         F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(picked).alias("kept_text"),
         "n_lines",
