@@ -9,26 +9,44 @@ prefix leave, and the doubling ends when all have.
 
 The suffixes that share a rank are an interval of the suffix array whose longest common prefixes have
 at least that many lines. The intervals of ``min_lines`` lines tell which runs are copies: each
-member but the first starts one, and neighbouring members join to maximal runs.
+member but the first starts one, and neighbouring members join to maximal runs. With ``min_words``
+the intervals of fewer lines count too, where those lines hold that many words: a long passage on one
+or two lines is a copy as well. The pipeline's line stage uses that wider rule; the query keeps to the
+three lines of its SQL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from icetally.llm.shared import Scratch, hash128
 
 MIN_LINES = 3
+MIN_WORDS = 50
+"""Words that make a copy of a run of fewer lines, where the wider rule is asked for."""
 NO_ID = 2**63 - 1
 """Orders rows without id behind all others."""
 
 PLACE = ["k1", "k2", "n"]
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
+def lines_for_words(words: Column, most: int, min_words: int) -> Column:
+    """For each line the smallest number of lines from it on, up to ``most``, that hold
+    ``min_words`` words; null if none does."""
+    held, needed = words, F.transform(words, lambda w: F.when(w >= min_words, 1))
+    for k in range(2, most + 1):
+        # Past the last line there is null, and so is the sum.
+        held = F.zip_with(held, F.slice(words, k, F.size(words)), lambda a, b: a + b)
+        reached = F.transform(held, lambda w: F.when(w >= min_words, k))
+        needed = F.zip_with(needed, reached, lambda one, other: F.coalesce(one, other))
+    return needed
+
+
+def line_rows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """Lines that hold more than white space: their document (``k1``, ``k2``, ``ord``), number ``n``
-    among them, position, and the 128-bit id of the line."""
+    among them, position, and the 128-bit id of the line. With ``min_words`` also ``needed``, the
+    number of lines under ``min_lines`` that hold so many words."""
     text = F.coalesce("text", F.lit(""))
     k1, k2 = hash128(F.col("doc_id"), text)
     lines = docs.select(
@@ -40,9 +58,19 @@ def line_rows(docs: DataFrame) -> DataFrame:
     )
     held = F.transform("lines", lambda line, at: F.struct(at.alias("pos"), line.alias("line")))
     held = F.filter(held, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
+    extra = []
+    if min_words is not None and min_lines > 1:
+        words = F.transform(held, lambda x: F.regexp_count(x["line"], F.lit(r"[^\x20\x09-\x0D]+")))
+        needed = lines_for_words(words, min_lines - 1, min_words)
+        held = F.zip_with(
+            held, needed, lambda x, n: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), n.alias("needed"))
+        )
+        extra = [F.col("x.needed").alias("needed")]
     each = lines.select("k1", "k2", "ord", F.size("lines").alias("total"), F.posexplode(held).alias("n", "x"))
     h1, h2 = hash128(F.col("x.line"))
-    return each.select("k1", "k2", "ord", "total", "n", F.col("x.pos").alias("pos"), h1.alias("h1"), h2.alias("h2"))
+    return each.select(
+        "k1", "k2", "ord", "total", "n", F.col("x.pos").alias("pos"), h1.alias("h1"), h2.alias("h2"), *extra
+    )
 
 
 def ranked(groups: DataFrame, order: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -69,10 +97,12 @@ def next_rank(suffixes: DataFrame, distance: int) -> DataFrame:
     return suffixes.withColumn("then", F.first("rank").over(ahead))
 
 
-def suffix_levels(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
+def suffix_levels(
+    docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int | None = None
+) -> list[DataFrame]:
     """The suffixes that share their first 1, 2, 4, ... lines with others, with their ranks by
     those lines; one table for each length, until no suffix shares more."""
-    lines = scratch.write(line_rows(docs), "lines")
+    lines = scratch.write(line_rows(docs, min_lines, min_words), "lines")
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("size")).where("size > 1")
     again = lines.join(often.select("h1", "h2"), ["h1", "h2"]).dropDuplicates(PLACE)
     again = scratch.write(again, "repeated")
@@ -108,18 +138,28 @@ def intervals(levels: list[DataFrame], length: int) -> DataFrame:
     return both.where("then is not null").withColumnRenamed("rank", "head")
 
 
-def later_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
-    """Maximal runs of lines that are copies of earlier ones: ``k1``, ``k2``, ``total`` (lines of the
-    document), ``first`` and ``stop`` (line numbers), ``n_run``, and ``positions`` in the text."""
-    levels = suffix_levels(docs, scratch)
-    members = scratch.write(intervals(levels, min_lines), "intervals")
+def copy_starts(members: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """The lines (``n``) that are deleted because a run of ``length`` lines is a copy."""
+    members = scratch.write(members, f"intervals-{length}")
     place = F.struct("ord", "k1", "k2", "n")
     heads = scratch.write(
-        members.groupBy("head", "then").agg(F.min(place).alias("earliest")), "heads"
+        members.groupBy("head", "then").agg(F.min(place).alias("earliest")), f"heads-{length}"
     )
     copies = members.join(heads, ["head", "then"]).where(place > F.col("earliest"))
-    # Each copy deletes min_lines lines from its start; the lines of a document are put together.
-    starts = copies.select("k1", "k2", "total", F.explode(F.sequence("n", F.col("n") + (min_lines - 1))).alias("n"))
+    # Each copy deletes so many lines from its start; the lines of a document are put together.
+    return copies.select("k1", "k2", "total", F.explode(F.sequence("n", F.col("n") + (length - 1))).alias("n"))
+
+
+def later_runs(
+    docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int | None = None
+) -> DataFrame:
+    """Maximal runs of lines that are copies of earlier ones: ``k1``, ``k2``, ``total`` (lines of the
+    document), ``first`` and ``stop`` (line numbers), ``n_run``, and ``positions`` in the text."""
+    levels = suffix_levels(docs, scratch, min_lines, min_words)
+    starts = copy_starts(intervals(levels, min_lines), min_lines, scratch)
+    for length in range(1, min_lines if min_words is not None else 1):
+        wordy = intervals(levels, length).where(F.col("needed") <= length)
+        starts = starts.union(copy_starts(wordy, length, scratch))
     gone = starts.distinct()
     place_of = scratch.spark.read.parquet(scratch.path("repeated")).select(*PLACE, "pos")
     gone = gone.join(place_of, PLACE)
@@ -133,19 +173,22 @@ def later_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) ->
     )
 
 
-def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None
+) -> DataFrame:
     """Every row of ``docs`` (as the struct ``row``) with its text without later copies of line runs.
 
     ``kept_text`` (null for a null text), ``n_lines`` (lines with more than white space),
     ``n_removed``. A run of at least ``min_lines`` lines that also starts earlier, in a smaller
     ``doc_id`` or higher up in the same text, is deleted; blank lines are not counted and stay.
+    With ``min_words`` so is a run of fewer lines that hold at least so many words together.
     A line repeated on and on leaves its first copy. Rows without id come after all others; rows
     with the same id and text are one document and come back alike, and different texts with one
     id, or without one, are ordered by a hash. Any other columns are kept as
     they are, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    runs = scratch.write(later_runs(docs, scratch, min_lines), "runs")
+    runs = scratch.write(later_runs(docs, scratch, min_lines, min_words), "runs")
     gone = runs.groupBy("k1", "k2").agg(
         F.max("total").alias("total"),
         F.array_sort(F.flatten(F.collect_list("positions"))).alias("gone"),
@@ -184,10 +227,13 @@ def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
 
 
-def without_copied_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def without_copied_lines(
+    docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS
+) -> DataFrame:
     """``docs`` with shortened texts and ``n_chars``, if there, counted anew. Rows that had lines and
-    have none left are copies and go; rows without lines stay as they are."""
-    found = without_repeats(docs, min_lines).where("n_removed < n_lines or n_lines = 0")
+    have none left are copies and go; rows without lines stay as they are. Runs of fewer than
+    ``min_lines`` lines count as copies from ``min_words`` words on."""
+    found = without_repeats(docs, min_lines, min_words).where("n_removed < n_lines or n_lines = 0")
     changed = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -58,6 +58,46 @@ def test_runs(spark, min_lines):
     assert found.select("row.*").columns == frame.columns
 
 
+def wide_brute(rows, min_lines, min_words):
+    """Kept texts where a run of fewer lines counts too, if it holds so many words."""
+    split = {d: [(i, x) for i, x in enumerate(t.split("\n")) if FULL.search(x)] for d, t in rows}
+    seen, gone = set(), {d: set() for d in split}
+    for d, own in sorted(split.items()):
+        for a in range(len(own)):
+            for length in range(1, min_lines + 1):
+                run = own[a : a + length]
+                lines_ = tuple(x for _, x in run)
+                words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines_)
+                if len(run) < length or (length < min_lines and words < min_words):
+                    continue
+                if lines_ in seen:
+                    gone[d].update(i for i, _ in run)
+                seen.add(lines_)
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+
+
+@pytest.mark.parametrize("min_lines", [1, 3, 4])
+def test_long_passages_on_few_lines(spark, min_lines):
+    """A passage of 50 words is a copy on one line or two, alone or within a document."""
+    rnd = random.Random(21)
+    line = lambda n: " ".join(f"w{rnd.randint(0, 300)}" for _ in range(n))
+    one, left, right, short = line(66), line(30), line(20), line(49)
+    rows = [(0, f"{line(4)}\n{one}\n{line(5)}\n{left}\n\n{right}\nend\n{short}"), (1, one)]
+    rows += [(2, f"own\n{one}\nmine"), (3, f"{left}\n{right}"), (4, f"{left}\n{line(3)}\n{right}"), (5, short)]
+    rows += [(6, f"{one}\n{left}\n{one}\n{left}"), (7, f"x\n{left}\n \n{right}\ny"), (8, f"{one} "), (9, "")]
+    pool = [line(n) for n in (3, 10, 25, 40, 49, 50, 60, 24, 26, 1)]
+    rows += [(20 + i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 6)))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["row"]["doc_id"]: r["kept_text"] for r in lines.without_repeats(frame, min_lines, 50).collect()}
+    assert got == wide_brute(rows, min_lines, 50)
+    if min_lines == 3:
+        assert (got[2], got[3], got[5], got[7]) == ("own\nmine", "", short, "x\n \ny")
+        stay = {r["doc_id"]: r["text"] for r in lines.without_copied_lines(frame).collect()}
+        assert stay == {d: t for d, t in got.items() if t.strip() or d == 9}
+    plan = lines.without_copied_lines(frame)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_main_path_is_native(spark):
     frame = spark.createDataFrame(make(), "doc_id long, text string")
     plan = lines.without_repeats(frame)._jdf.queryExecution().toString()
