@@ -1,0 +1,138 @@
+"""Near-duplicates by shared five-word shingles: MinHash finds the candidates, whole sets decide.
+
+A text is the set of its shingles' hashes. Texts whose ``ROWS`` minima agree in one of ``BANDS``
+bands meet there, which two texts of similarity 0.8 miss with a chance of 0.0004, and more similar
+ones more rarely. Only texts that meet another one send their sets, and the similarity is counted
+on these, never estimated. Bands with many texts are cut into chunks and compared chunk against
+chunk; texts that are connected in a block already aren't compared again, so a group of near copies
+costs little more than its spanning links.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby, repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from icetally.llm.shared import Scratch, batched, components, rows, text_bytes
+
+WIDTH = 5
+THRESHOLD = 0.8
+BANDS, ROWS = 20, 5
+CHUNK = 512
+"""Texts of a band that are compared as one side of a block."""
+
+_random = np.random.default_rng(5)
+TIMES = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+PLUS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None]
+
+
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The different XXH64 of all word shingles, sorted; a shorter text is one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1]))
+    n = max(1, len(words) - width + 1)
+    cut = (joined[s:e] for s, e in zip(starts[:n].tolist(), (ends[len(words) - n :] - 1).tolist()))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), "<u8", n))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key for each band, from the minima of its rows."""
+    low = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for a in range(0, len(hashes), 4096):
+        np.minimum(low, (hashes[None, a : a + 4096] * TIMES + PLUS).min(axis=1), out=low)
+    keys = [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``keys`` of the texts that have words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = ((doc_id, shingle_set(text)) for doc_id, text in rows(batches, "doc_id", "text"))
+        yield from batched(((doc_id, band_keys(own)) for doc_id, own in sets if len(own)), schema)
+
+    return text_bytes(docs).mapInArrow(take, "doc_id long, keys array<long>")
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``hashes``: the whole set as bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((doc_id, shingle_set(text).tobytes()) for doc_id, text in rows(batches, "doc_id", "text"))
+        yield from batched(found, schema, 200)
+
+    return text_bytes(docs).mapInArrow(take, "doc_id long, hashes binary")
+
+
+def spanning(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect what all similar pairs of the sets connect."""
+    sizes = np.array([len(s) for s in sets])
+    group = np.arange(len(sets))
+    out = []
+    for a in range(len(sets) - 1):
+        short, long = np.minimum(sizes, sizes[a]), np.maximum(sizes, sizes[a])
+        open_ = (group != group[a]) & (short + 1e-9 >= threshold * long)
+        open_[: a + 1] = False
+        for b in np.flatnonzero(open_).tolist():
+            if group[a] == group[b]:
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if common + 1e-9 >= threshold * (sizes[a] + sizes[b] - common):
+                group[group == group[b]] = group[a]
+                out.append((a, b))
+    return out
+
+
+def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a stream that is sorted by block."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def records() -> Iterator[tuple]:
+        stream = rows(batches, "key", "i", "j", "doc_id", "hashes")
+        for _, block in groupby(stream, key=lambda r: r[:3]):
+            names, sets = zip(*((r[3], np.frombuffer(r[4], "<u8")) for r in block))
+            yield from ((names[a], names[b]) for a, b in spanning(list(sets), threshold))
+
+    yield from batched(records(), schema)
+
+
+def links(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Spanning links (a, b) between the ids of similar texts. Every id stands in one row."""
+    keyed = scratch.write(sketches(docs).select("doc_id", F.explode("keys").alias("key")), "bands")
+    sizes = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
+    member = keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int"))
+    member = scratch.write(member.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")), "met")
+    wanted = member.select("doc_id").distinct()
+    sets = scratch.write(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "sets")
+    # With several chunks, a chunk meets every other one; its own pairs are in each such block.
+    partner = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
+        F.array_except(F.sequence(F.lit(0), F.col("chunks") - 1), F.array("mine"))
+    )
+    blocks = member.withColumn("partner", F.explode(partner)).select(
+        "key", F.least("mine", "partner").alias("i"), F.greatest("mine", "partner").alias("j"), "doc_id"
+    )
+    spread = blocks.join(sets, "doc_id").select("key", "i", "j", "doc_id", "hashes")
+    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return scratch.write(spread.mapInArrow(lambda batches: block_links(batches, threshold), "a long, b long"), "links")
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, whose ids are all different, without those that links of similar texts
+    connect to a smaller id. Rows without id or without words are no part of a group and stay."""
+    scratch = Scratch(docs.sparkSession)
+    docs = scratch.write(docs, "docs")
+    found = links(docs.where("doc_id is not null"), scratch, threshold)
+    roots = components(found, scratch, "roots").where("node <> root").select("node")
+    return docs.join(roots, docs["doc_id"] == roots["node"], "left_anti")

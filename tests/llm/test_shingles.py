@@ -1,0 +1,62 @@
+"""The pipeline's near-duplicate stage against all pairs of five-word sets."""
+
+import random
+
+import corpus_pipeline
+from icetally.llm import shingles
+from test_text_matching import fingerprint_brute, smallest_reachable
+
+
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[a : a + 5]) for a in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def make():
+    rnd = random.Random(31)
+    words = [f"v{i}" for i in range(900)]
+    rows = []
+    for _ in range(40):
+        base = [rnd.choice(words) for _ in range(rnd.choice([8, 60, 150, 400, 1200]))]
+        rows.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), round(len(copy) * rnd.choice([0.005, 0.01, 0.015, 0.02, 0.04]))):
+                copy[at] = rnd.choice(words)
+            rows.append("  ".join(copy).title())
+    hot = [rnd.choice(words) for _ in range(200)]
+    for i in range(40):
+        at = rnd.randrange(200)
+        rows.append(" ".join([*hot[:at], f"x{i}", f"y{i}", *hot[at + 2 :], f"z{i}"]))
+    rows += ["", " \n", "one", "one two", "one two three four five six"]
+    rnd.shuffle(rows)
+    return [*enumerate(rows), (None, rows[0]), (1000, None)]
+
+
+def test_stage_takes_five_words(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "CHUNK", 8)
+    rows = make()
+    frame = spark.createDataFrame([("x", t, d) for d, t in rows], "key string, text string, doc_id long").repartition(6)
+    out = corpus_pipeline.near_duplicate_stage(spark, frame, "")
+    assert out.columns == frame.columns
+    prints = [(d, fingerprint_brute(t)) for d, t in rows if d is not None]
+    linked = [(a, b) for a, f in prints for b, g in prints if a < b and bin(f ^ g).count("1") <= 3]
+    root = smallest_reachable({d for d, _ in prints}, linked)
+    left = [(d, five_words(t)) for d, t in rows if d is not None and root[d] == d]
+    linked = [(a, b) for a, f in left for b, g in left if a < b and similar(f, g)]
+    assert len(linked) > 30
+    root = smallest_reachable({d for d, _ in left}, linked)
+    want = [(d, t) for d, t in rows if d is None or root.get(d) == d]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_spanning_links_connect_what_all_pairs_do():
+    sets = [shingles.shingle_set(t.encode()) for _, t in make() if t and t.strip()]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if similar(set(sets[a].tolist()), set(sets[b].tolist()))]
+    found = shingles.spanning(sets, 0.8)
+    names = set(range(len(sets)))
+    assert smallest_reachable(names, found) == smallest_reachable(names, pairs)
