@@ -25,10 +25,9 @@ CELL = 512
 MOST_CELLS = 2048
 CHUNK = 1024
 """Vectors on one side of a blocked product; larger cells are cut into such chunks."""
-SLACK = 4.5
-"""Width of the border, in deviations of a random step of the threshold's length. A pair is missed
-only if the step between its vectors goes further than that towards the other cell. A width of the
-square root of the dimension is exact."""
+BORDER = 0.5
+"""Width of the border on each side, in steps of the threshold's length. A step across a border has
+one end within half its length of it, and one end that is a guest is enough, so no pair is missed."""
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -71,8 +70,7 @@ class Cells:
         home = np.argmax(cosines, axis=1)
         behind = cosines[np.arange(len(rows)), home][:, None] - cosines
         apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))[home]
-        width = min(1.0, SLACK / np.sqrt(rows.shape[1])) * self.step
-        return home, behind <= width * apart + 1e-9
+        return home, behind <= BORDER * self.step * apart + 1e-9
 
 
 def vector_array(column) -> np.ndarray:

@@ -68,6 +68,24 @@ def test_links(spark, monkeypatch, cell):
         assert got == want
 
 
+def test_no_pair_of_wide_vectors_is_lost():
+    """Vectors of 768 dimensions that differ in four of them: one end of each pair visits the other's home."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(600, 4))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    step = rng.normal(size=base.shape)
+    step -= (step * base).sum(axis=1, keepdims=True) * base
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    near = 0.952 * base + np.sqrt(1 - 0.952**2) * step
+    rows = np.pad(np.concatenate((base, near)), ((0, 0), (0, 764)))
+    cells = embeddings.Cells(list(rows), len(rows), 0.95, 40)
+    home, there = cells.places(rows)
+    i, j = np.nonzero(np.triu(rows @ rows.T >= 0.95, 1))
+    apart = home[i] != home[j]
+    assert apart.sum() > 100
+    assert (there[i, home[j]] | there[j, home[i]]).all()
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.links(none).collect() == []
