@@ -1,5 +1,6 @@
 """Queries of the operators in this package and their SQL (none where SQL can't express them)."""
 
+from icetally.llm.alignment import op12_cross_tokenizer_alignment
 from icetally.llm.binary_output import op10_token_id_output
 from icetally.llm.decontaminate import op7_benchmark_decontamination
 from icetally.llm.embeddings import op8_embedding_near_dedup
@@ -22,4 +23,5 @@ REGISTERED = {
     "op8_embedding_near_dedup": (op8_embedding_near_dedup, None),
     "op9_personal_data": (op9_personal_data, None),
     "op10_token_id_output": (op10_token_id_output, None),
+    "op12_cross_tokenizer_alignment": (op12_cross_tokenizer_alignment, None),
 }
