@@ -43,11 +43,16 @@ def plain(rows):
         ends_a = dict(zip(np.cumsum([len(x) for x in bytes_a]).tolist(), ids_a))
         ends_b = dict(zip(np.cumsum([len(x) for x in bytes_b]).tolist(), ids_b))
         common = sorted(ends_a.keys() & ends_b.keys())
-        groups, start = [], 0
-        for end in common:
-            side = [",".join(str(i) for e, i in sorted(x.items()) if start < e <= end) for x in (ends_a, ends_b)]
-            groups.append("|".join(side))
-            start = end
+        sides = []
+        for ends in (ends_a, ends_b):
+            side, now = [], []
+            for end, i in sorted(ends.items()):
+                now.append(str(i))
+                if end in ends_a and end in ends_b:
+                    side.append(",".join(now))
+                    now = []
+            sides.append(side)
+        groups = [f"{x}|{y}" for x, y in zip(*sides)]
         links.append([(ends_a[e], ends_b[e]) for e in common])
         out.append([doc_id, len(ids_a), len(ids_b), len(common), len(common), ";".join(groups)])
     counts = Counter(x for own in links for x in own)
