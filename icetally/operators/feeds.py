@@ -70,7 +70,7 @@ def box_score_goalies(docs: DataFrame) -> DataFrame:
 
 def box_score_tables(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Forwards, defensemen and goalies of all box scores."""
-    docs = parse(payloads, BOX_SCORE)
+    docs = parsed(payloads, BOX_SCORE)
     return (
         box_score_skaters(docs, "forwards"),
         box_score_skaters(docs, "defense"),
@@ -78,16 +78,40 @@ def box_score_tables(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     )
 
 
-def readable_box_score(payload: str = "payload") -> Column:
-    """Whether a payload parses with the declared types and has a game id."""
+def checked_box_scores(payloads: DataFrame) -> DataFrame:
+    """``id``, ``doc``, ``readable`` and, of rows that aren't, ``payload``: whether a payload parses
+    with the declared types and has a game id."""
+    return _checked(payloads, BOX_SCORE, F.col("doc.id").isNotNull())
+
+
+def _checked(payloads: DataFrame, schema: str, sound: Column) -> DataFrame:
+    """Payloads parsed once, with the verdict. Rows with the same id stay."""
     broken = {"columnNameOfCorruptRecord": "_broken"}
-    doc = F.from_json(payload, f"{BOX_SCORE}, _broken string", broken)
-    return doc["id"].isNotNull() & doc["_broken"].isNull()
+    parsed = payloads.withColumn("doc", F.from_json("payload", f"{schema}, _broken string", broken))
+    whole = F.col("doc").isNotNull() & F.col("doc._broken").isNull()
+    verdict = F.coalesce(whole & sound, F.lit(False))
+    return parsed.select(
+        "id", F.col("doc").dropFields("_broken").alias("doc"), verdict.alias("readable"),
+        F.when(~verdict, F.col("payload")).alias("payload"),
+    )
+
+
+def readable_rows(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed rows (``id, doc``), and the payloads (``id, payload``) that can't be read."""
+    return (
+        checked.where("readable").select("id", "doc"),
+        checked.where(~F.col("readable")).select("id", "payload"),
+    )
+
+
+def parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """The rows if they hold parsed documents already, else parsed here."""
+    return rows if "doc" in rows.columns else parse(rows, schema)
 
 
 def game_header(payloads: DataFrame) -> DataFrame:
     """One row per game."""
-    return parse(payloads, BOX_SCORE).select(
+    return parsed(payloads, BOX_SCORE).select(
         F.col("doc.id").alias("game_id"),
         F.col("doc.season").alias("game_season"),
         F.col("doc.gameType").alias("game_type"),
@@ -110,14 +134,14 @@ def game_teams(payloads: DataFrame) -> DataFrame:
             for s in SIDES
         ]
     )
-    return parse(payloads, BOX_SCORE).select(
+    return parsed(payloads, BOX_SCORE).select(
         F.col("doc.id").cast("string").alias("game_id"), F.inline(teams)
     )
 
 
 def plays_documents(payloads: DataFrame, texts: DataFrame) -> DataFrame:
     """Play texts (``game_id, text``) with the team abbreviations of their box score."""
-    docs = parse(payloads, BOX_SCORE).select(
+    docs = parsed(payloads, BOX_SCORE).select(
         F.col("doc.id").alias("game_id"),
         *[
             F.try_element_at(F.col(f"doc.{s}Team"), F.lit("abbrev")).alias(f"{s}_team")
@@ -146,24 +170,30 @@ def align_by_name(parts: list[DataFrame]) -> DataFrame:
 # ---- live feed payloads --------------------------------------------------------------------
 
 
-def readable_feeds(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Payloads (``id, payload``) that parse with a game key and at most one head coach a side, and
-    the rest. A payload without data (of that message number) is readable."""
-    doc = F.from_json("payload", f"{LIVE_FEED}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
-    checked = payloads.withColumn("doc", doc)
+def checked_feeds(payloads: DataFrame) -> DataFrame:
+    """``id``, ``doc``, ``readable`` and, of rows that aren't, ``payload``: whether a payload parses
+    with a game key and at most one head coach a side. One without data (of that message number) is
+    readable."""
     single = [F.coalesce(F.size(_head_coaches(side)) <= 1, F.lit(True)) for side in SIDES]
     no_data = F.coalesce(F.col("doc.messageNumber") == 2, F.lit(False))
     keyed = F.col("doc.gameData.game.pk").isNotNull()
-    sound = F.col("doc").isNotNull() & F.col("doc._broken").isNull() & (no_data | keyed)
-    passed = F.coalesce(sound & single[0] & single[1], F.lit(False))
-    return checked.where(passed).drop("doc"), checked.where(~passed).drop("doc")
+    return _checked(payloads, LIVE_FEED, (no_data | keyed) & single[0] & single[1])
 
 
-def complete_feeds(payloads: DataFrame) -> DataFrame:
+def readable_feeds(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed feeds (``id, doc``) that can be read, and the payloads (``id, payload``) of the rest."""
+    return readable_rows(checked_feeds(payloads))
+
+
+def finished(docs: DataFrame) -> DataFrame:
     """Parsed feeds of finished games; feeds without data are dropped."""
     no_data = F.coalesce(F.col("doc.messageNumber") == 2, F.lit(False))
-    final = F.col("doc.gameData.status.detailedState") == "Final"
-    return parse(payloads, LIVE_FEED).where(~no_data & final)
+    return docs.where(~no_data & (F.col("doc.gameData.status.detailedState") == "Final"))
+
+
+def complete_feeds(payloads: DataFrame) -> DataFrame:
+    """Payloads of finished games, parsed."""
+    return finished(parsed(payloads, LIVE_FEED))
 
 
 def _truth(text: Column) -> Column:

@@ -549,6 +549,28 @@ select distinct g.* from games g left join marks m using (season, game_type)
 where (last_pk is null or game_pk > last_pk) and game_pk not in (select game_pk from stored)"""
 
 
+def season_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``incremental_rows``, for one season and type and a stored table with season folders: the
+    season's games up to the middle of its first year are stored, and all of its games arrive."""
+    root = scratch(spark)
+    games = _games(spark, sf_dir)
+    sinks.write_seasons(games.where(F.substring("game_start", 6, 5) < "07-01"), f"{root}/gameinfo", "game_pk")
+    stored = readers.read_table(spark, f"{root}/gameinfo")
+    arrived = games.where(F.col("season").startswith("1995") & (F.col("game_type") == "R"))
+    arrived = arrived.withColumn(readers.SEASON_FOLDER, readers.season_of(F.col("game_pk")))
+    mark = readers.high_water_mark(stored, "1995", "R")
+    past = readers.after_last(arrived, mark, "game_pk")
+    return readers.incremental_rows(past, stored).drop(readers.SEASON_FOLDER)
+
+
+SEASON_INCREMENT_SQL = f"""
+with games as (select game_pk, season, game_type, game_start from ({a.gameinfo_sql(a.DUCK)}) g
+  where left(season, 4) = '1995' and game_type = 'R'),
+stored as (select * from games where substring(game_start, 6, 5) < '07-01')
+select distinct * from games
+where game_pk > coalesce((select max(game_pk) from stored), '') and game_pk not in (select game_pk from stored)"""
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = a.view(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
     return readers.batches(ids, 100, block_width=64)
@@ -668,6 +690,7 @@ QUERIES = {
     "feed_quarantine": (feed_quarantine, FEED_QUARANTINE_SQL),
     "high_water_mark": (high_water_mark, HIGH_WATER_SQL),
     "incremental_rows": (incremental_rows, INCREMENTAL_SQL),
+    "season_increment": (season_increment, SEASON_INCREMENT_SQL),
     "batches": (batches, BATCHES_SQL),
     "bucket_sizes": (bucket_sizes, None),
     "bucket_checks": (bucket_checks, BUCKET_CHECKS_SQL),

@@ -14,22 +14,24 @@ from ..operators import attempts, cards, feeds, impact, onice, outcomes, plays,
 from ..sources import readers, sinks
 
 
-def _new_games(
-    spark: SparkSession, rows: DataFrame, path: str, keys: list[str], mode: str
-) -> DataFrame:
-    """Rows to write: all of them, or in append mode those whose key is not stored."""
-    if mode == "overwrite":
-        return rows.dropDuplicates(keys)
-    return readers.incremental_rows(rows, readers.read_table(spark, path), keys)
-
-
 def _write_new(
-    spark: SparkSession, rows: DataFrame, path: str, keys: list[str], mode: str
+    spark: SparkSession, rows: DataFrame, path: str, keys: list[str], mode: str, seasons: bool = True
 ) -> None:
-    """Write or append the rows whose key is not stored; the first append makes the table."""
-    if mode == "append" and not _exists(spark, path):
-        mode = "overwrite"
-    sinks.write_table(_new_games(spark, rows, path, keys, mode), path, mode)
+    """Write all rows, or in append mode those whose key is not stored; the first append makes the
+    table. With ``seasons``, the first key begins with the year of the season and the table has a
+    folder for each."""
+    if mode == "append" and _exists(spark, path):
+        stored = readers.read_table(spark, path)
+        seasons = seasons and readers.SEASON_FOLDER in stored.columns
+        if seasons:
+            rows = rows.withColumn(readers.SEASON_FOLDER, readers.season_of(F.col(keys[0])))
+        rows = readers.incremental_rows(rows, stored, keys)
+    else:
+        mode, rows = "overwrite", rows.dropDuplicates(keys)
+    if seasons:
+        sinks.write_seasons(rows, path, keys[0], mode)
+    else:
+        sinks.write_table(rows, path, mode)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -42,15 +44,18 @@ def ingest_games(
 ) -> None:
     """Box scores (``id, payload``) and play pages (``game_id, html``) to raw tables and plays with
     the players on the ice. Unreadable payloads go to ``rejected`` and stop nothing."""
-    landed = readers.read_table(spark, payload_path)
-    payloads, rejected = readers.quarantine(landed, feeds.readable_box_score())
-    _write_new(spark, rejected, f"{out}/rejected", ["id"], mode)
+    # The payloads are parsed once; every table is cut from the parsed rows.
+    staging = f"{sinks.shared_directory(spark)}/box-{uuid.uuid4().hex}"
+    checked = feeds.checked_box_scores(readers.read_table(spark, payload_path))
+    sinks.write_table(checked, staging)
+    docs, rejected = feeds.readable_rows(readers.read_table(spark, staging))
+    _write_new(spark, rejected, f"{out}/rejected", ["id"], mode, seasons=False)
     # Only pages and stored plays of this run's games are worked on.
-    games = feeds.game_header(payloads).select("game_id").distinct()
-    landed_pages = readers.read_table(spark, page_path).join(games, "game_id", "left_semi")
-    pages = playtext.page_text(landed_pages)
-    tokenized = playtext.tokenize_plays(feeds.plays_documents(payloads, pages))
-    forwards, defense, goalies = feeds.box_score_tables(payloads)
+    games = feeds.game_header(docs).select("game_id").distinct()
+    landed_pages = readers.read_table(spark, page_path)
+    pages = playtext.page_text(landed_pages.join(games, "game_id", "left_semi"))
+    tokenized = playtext.tokenize_plays(feeds.plays_documents(docs, pages))
+    forwards, defense, goalies = feeds.box_score_tables(docs)
     outputs = {
         "raw_plays": (playtext.raw_plays(tokenized), ["game_id", "index"]),
         "raw_forwards": (forwards, ["game_id", "playerId"]),
@@ -58,29 +63,35 @@ def ingest_games(
         "raw_goalies": (goalies, ["game_id", "playerId"]),
     }
     for name, (rows, keys) in outputs.items():
-        path = f"{out}/{name}"
-        sinks.write_table(_new_games(spark, rows, path, keys, mode), path, mode)
+        _write_new(spark, rows, f"{out}/{name}", keys, mode)
     stored = {name: readers.read_table(spark, f"{out}/{name}") for name in outputs}
-    enriched = f"{out}/plays_with_onice"
+    # Pages whose box score hasn't landed yet are listed, to be ingested with it later.
+    waiting = landed_pages.select("game_id").join(games, "game_id", "left_anti")
+    done = stored["raw_forwards"].select("game_id").distinct()
+    sinks.write_table(waiting.join(done, "game_id", "left_anti"), f"{out}/waiting_pages")
     # Only plays without their players yet are enriched.
-    pending = stored["raw_plays"].join(games, "game_id", "left_semi")
-    if mode == "append":
-        done = readers.read_table(spark, enriched).join(games, "game_id", "left_semi")
-        pending = readers.incremental_rows(pending, done, ["game_id", "index"])
-    rosters = [stored[name] for name in ("raw_forwards", "raw_defense", "raw_goalies")]
-    sinks.write_table(onice.attach_on_ice(pending, *rosters), enriched, mode)
+    games = games.withColumn(readers.SEASON_FOLDER, readers.season_of(F.col("game_id")))
+    pending, *rosters = (readers.same_seasons(stored[name], games) for name in outputs)
+    pending = pending.join(games.select("game_id"), "game_id", "left_semi")
+    enriched_path = f"{out}/plays_with_onice"
+    if mode == "append" and _exists(spark, enriched_path):
+        pending = readers.incremental_rows(pending, readers.read_table(spark, enriched_path), ["game_id", "index"])
+    rosters = [r.drop(readers.SEASON_FOLDER) for r in (rosters[0], rosters[1], rosters[2])]
+    enriched = onice.attach_on_ice(pending.drop(readers.SEASON_FOLDER), *rosters)
+    _write_new(spark, enriched, enriched_path, ["game_id", "index"], mode)
+    sinks.remove(spark, staging)
 
 
 def format_plays(spark: SparkSession, out: str) -> None:
     """Plays with the players on the ice to the sparse play table."""
-    rows = readers.read_table(spark, f"{out}/plays_with_onice")
+    rows = readers.landing_table(spark, f"{out}/plays_with_onice")
     sinks.write_table(plays.sparse_union(rows), f"{out}/plays_sparse_detail")
 
 
 def prepare_attempts(spark: SparkSession, source: str, target: str, buckets: int) -> None:
     """Bucketed copies of the analysis inputs."""
     for name in ("plays_sparse_detail", "raw_forwards", "raw_defense"):
-        rows = readers.read_table(spark, f"{source}/{name}")
+        rows = readers.landing_table(spark, f"{source}/{name}")
         sinks.write_bucketed(rows, f"{target}/{name}", "game_id", buckets)
 
 
@@ -123,31 +134,53 @@ def load_feeds(
     """Live feeds (``id, payload``) of finished games to the all-string landing tables. Payloads that
     can't be read, or name several head coaches, go to ``rejected``. Team listings (``id, payload``)
     give the table of teams."""
-    readable, rejected = feeds.readable_feeds(readers.read_table(spark, payload_path))
-    _write_new(spark, rejected, f"{out}/rejected", ["id"], mode)
-    if team_path is not None:
-        listed = sinks.stringify(feeds.teams(readers.read_table(spark, team_path)))
-        _write_new(spark, listed, f"{out}/teams", ["team_id"], mode)
+    load_feed_rows(spark, readers.read_table(spark, payload_path), out, mode, team_path)
+
+
+def update_feeds(
+    spark: SparkSession, payload_path: str, out: str, year: str, game_type: str, team_path: str | None = None
+) -> None:
+    """The games of a season and type (``PR``, ``R`` or ``P``) past the last stored one, appended.
+    Only that season's folder is read for the mark, and only payloads past it are parsed."""
+    prefix = f"{year}{readers.SEASON_TYPES[game_type]}"
+    landed = readers.read_table(spark, payload_path).where(F.col("id").startswith(prefix))
+    if _exists(spark, f"{out}/gameinfo"):
+        gameinfo = readers.read_table(spark, f"{out}/gameinfo")
+        landed = readers.after_last(landed, readers.high_water_mark(gameinfo, year, game_type))
+    load_feed_rows(spark, landed, out, "append", team_path)
+
+
+def load_feed_rows(
+    spark: SparkSession, landed: DataFrame, out: str, mode: str, team_path: str | None = None
+) -> None:
+    """What ``load_feeds`` does, for payloads that were read before."""
     # The payloads are parsed once; every table is cut from the parsed rows.
     staging = f"{sinks.shared_directory(spark)}/feeds-{uuid.uuid4().hex}"
-    sinks.write_table(feeds.complete_feeds(readable).drop("payload"), staging)
-    finished = readers.read_table(spark, staging)
+    sinks.write_table(feeds.checked_feeds(landed), staging)
+    docs, rejected = feeds.readable_rows(readers.read_table(spark, staging))
+    _write_new(spark, rejected, f"{out}/rejected", ["id"], mode, seasons=False)
+    if team_path is not None:
+        listed = sinks.stringify(feeds.teams(readers.read_table(spark, team_path)))
+        _write_new(spark, listed, f"{out}/teams", ["team_id"], mode, seasons=False)
+    finished = feeds.finished(docs)
     outputs = {
         "gameinfo": (feeds.game_info(finished), ["game_pk"]),
         "playerstats": (feeds.player_stats(finished), ["index_val"]),
         "playerinfo": (feeds.player_info(finished), ["index_val"]),
         "officials": (feeds.officials(finished), ["game_id", "official_id"]),
+        "plays": (feeds.feed_plays(finished), ["index_val"]),
+        "odd_periods": (feeds.unknown_period_types(finished), ["id"]),
     }
     for name, (rows, keys) in outputs.items():
-        landed = sinks.stringify(rows)
-        sinks.write_table(_new_games(spark, landed, f"{out}/{name}", keys, mode), f"{out}/{name}", mode)
+        _write_new(spark, sinks.stringify(rows), f"{out}/{name}", keys, mode)
+    sinks.remove(spark, staging)
 
 
 def match_ups(spark: SparkSession, source: str, target: str) -> None:
     """Landing tables to the skater-versus-goaltender table."""
     rows = outcomes.match_up_table(
-        readers.read_table(spark, f"{source}/playerstats"),
-        readers.read_table(spark, f"{source}/gameinfo"),
+        readers.landing_table(spark, f"{source}/playerstats"),
+        readers.landing_table(spark, f"{source}/gameinfo"),
     )
     sinks.write_table(rows, f"{target}/skater_vs_goaltender")
 
@@ -185,5 +218,5 @@ def load_cards(
     """Card pages (``id, html``) of one edition; pages that are no cards are listed in ``rejected``."""
     found, other = cards.card_table(readers.read_table(spark, page_path), gameyear, position)
     keys = ["player_id", "gameyear"]
-    _write_new(spark, found, f"{out}/{position}s", keys, mode)
-    _write_new(spark, other, f"{out}/rejected", keys, mode)
+    _write_new(spark, found, f"{out}/{position}s", keys, mode, seasons=False)
+    _write_new(spark, other, f"{out}/rejected", keys, mode, seasons=False)

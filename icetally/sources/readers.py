@@ -13,6 +13,9 @@ SEASON_TYPES = {"PR": "01", "R": "02", "P": "03"}
 PLAYOFF_MATCHUPS = {1: 8, 2: 4, 3: 2, 4: 1}
 PLAYOFF_GAMES = 7
 
+SEASON_FOLDER = "load_season"
+"""Partition column of stored tables; it follows from the game key."""
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet scan, with a declared schema where there is one."""
@@ -77,21 +80,54 @@ def high_water_marks(gameinfo: DataFrame) -> DataFrame:
 def high_water_mark(gameinfo: DataFrame, year: str, game_type: str) -> DataFrame:
     """The mark of one season (by its first year) and game type."""
     chosen = F.col("season").startswith(year) & (F.col("game_type") == game_type)
+    if SEASON_FOLDER in gameinfo.columns:
+        chosen &= F.col(SEASON_FOLDER) == F.lit(f"y{year}")
     return high_water_marks(gameinfo.where(chosen))
 
 
+def season_of(key: Column) -> Column:
+    """The folder of a game key: the year that it begins with. The letter keeps it text."""
+    return F.concat(F.lit("y"), F.left(key.cast("string"), F.lit(4)))
+
+
+def landing_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table without the column of its season folders."""
+    return read_table(spark, path).drop(SEASON_FOLDER)
+
+
+def same_seasons(stored: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Stored rows of the seasons that arrived rows belong to.
+
+    The seasons of an arrival are a handful of rows, one for each year, so they are sent to all
+    tasks, and the scan of the stored table leaves out every other season's folder.
+    """
+    # The comparison tells the planner that the list is short: any folder name passes it.
+    seasons = arrived.select(SEASON_FOLDER).where(F.col(SEASON_FOLDER) >= "y").distinct()
+    return stored.join(F.broadcast(seasons), SEASON_FOLDER, "left_semi")
+
+
 def incremental_rows(
     arrived: DataFrame, stored: DataFrame, keys: Sequence[str] = ("game_pk",)
 ) -> DataFrame:
     """Arrived rows whose key is not stored yet, once each.
 
-    Running it twice adds nothing the second time, so an interrupted load is simply repeated.
+    Running it twice adds nothing the second time, so an interrupted load is simply repeated. Where
+    both have season folders (see ``same_seasons``), only those of the arrived rows are read.
     """
+    if SEASON_FOLDER in arrived.columns and SEASON_FOLDER in stored.columns:
+        stored = same_seasons(stored, arrived)
     return arrived.dropDuplicates(list(keys)).join(
         stored.select(*keys).distinct(), list(keys), "left_anti"
     )
 
 
+def after_last(arrived: DataFrame, mark: DataFrame, key: str = "id") -> DataFrame:
+    """Arrived rows whose key is past the last one of a mark (one row, or none: all rows). The key is
+    compared as a constant, which reaches the scan."""
+    last = mark.agg(F.max("last_pk")).first()[0]
+    return arrived if last is None else arrived.where(F.col(key) > F.lit(last))
+
+
 def after_mark(arrived: DataFrame, marks: DataFrame) -> DataFrame:
     """Arrived games past the last stored key of their season and type; all games of new seasons."""
     known = marks.select("season", "game_type", "last_pk")

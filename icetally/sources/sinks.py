@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import MISSING
+from .readers import SEASON_FOLDER, season_of
 
 NO_ARENA = -999  # fixed value: id of an arena without one
 BUCKETS = 50  # fixed value: buckets of the analysis inputs
@@ -21,6 +22,15 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def write_seasons(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
+    """Write one folder per season of the game key, which increments read selectively."""
+    rows = df.withColumn(SEASON_FOLDER, season_of(F.col(key)))
+    rows.hint("rebalance", F.col(SEASON_FOLDER)).write.mode(mode).partitionBy(SEASON_FOLDER).parquet(path)
+    if mode == "overwrite":
+        # A table without rows has no folder; an empty file keeps its columns readable.
+        df.limit(0).write.parquet(f"{path}/{SEASON_FOLDER}=y")
+
+
 def write_balanced(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write files of even, size-driven number: one for a small summary, many for a large table."""
     df.hint("rebalance").write.mode(mode).parquet(path)
@@ -81,6 +91,18 @@ def write_bucketed(
     spread.write.mode(mode).partitionBy(name).parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """A copy of ``df`` below ``path`` that the catalog knows to be bucketed and sorted by ``keys``.
+
+    Joins and groupings of such tables on their keys need no exchange and no sort. Rows go to their
+    bucket's task first, so each bucket is one file; ``buckets`` should follow the data's size.
+    """
+    dealt = df.repartition(buckets, *[F.col(k) for k in keys])
+    writer = dealt.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def pair_name(player_a: Column, player_b: Column) -> Column:
     """Last names of a pair, sorted and joined."""
     names = [F.element_at(F.split(p, " "), -1) for p in (player_a, player_b)]
@@ -119,6 +141,12 @@ def fill_arena(df: DataFrame, column: str = "arena_id") -> DataFrame:
     return df.fillna({column: NO_ARENA})
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shared_directory(spark: SparkSession) -> str:
     """The folder for intermediate tables that all executors share: the one that the session
     names, or its warehouse."""

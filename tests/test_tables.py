@@ -273,6 +273,64 @@ def test_feed_jobs_and_arrivals(spark, tmp_path):
     assert sorted(r["game_pk"] for r in spark.read.parquet(f"{root}/info").collect()) == ["1", "2"]
 
 
+def test_first_append_makes_every_table(spark, tmp_path):
+    root = str(tmp_path)
+    payloads(spark, feed(2021020001), ("9", "no json")).write.parquet(f"{root}/feeds")
+    payloads(spark, box_score(1)).write.parquet(f"{root}/box")
+    pages = spark.createDataFrame([play_page(1), play_page(7)], "game_id long, html string")
+    pages.write.parquet(f"{root}/pages")
+    for _ in range(2):
+        jobs.load_feeds(spark, f"{root}/feeds", f"{root}/landing", "append")
+        jobs.ingest_games(spark, f"{root}/box", f"{root}/pages", f"{root}/raw", "append")
+    count = lambda path: readers.landing_table(spark, f"{root}/{path}").count()
+    assert count("landing/gameinfo") == 1 and count("landing/officials") == 0 and count("landing/rejected") == 1
+    assert count("raw/plays_with_onice") == 2 and count("raw/raw_forwards") == 6
+    waiting = spark.read.parquet(f"{root}/raw/waiting_pages").collect()
+    assert [r["game_id"] for r in waiting] == [7]
+
+
+def test_season_update_reads_one_season(spark, tmp_path):
+    root = str(tmp_path)
+    games = [feed(f"{year}02000{n}") for year in (2019, 2020, 2021) for n in (1, 2, 3)]
+    payloads(spark, *games[:7]).write.parquet(f"{root}/feeds")
+    jobs.load_feeds(spark, f"{root}/feeds", f"{root}/landing")
+    payloads(spark, *games[6:], feed("2020029999")).write.mode("append").parquet(f"{root}/feeds")
+    jobs.update_feeds(spark, f"{root}/feeds", f"{root}/landing", "2021", "R")
+    jobs.update_feeds(spark, f"{root}/feeds", f"{root}/landing", "2021", "R")
+    found = sorted(r["game_pk"] for r in spark.read.parquet(f"{root}/landing/gameinfo").collect())
+    assert found == [json.loads(g[1])["gameData"]["game"]["pk"] for g in games]
+
+
+def test_increment_prunes_the_stored_seasons(spark, tmp_path):
+    rows = [(f"{year}02{n:04d}", n) for year in range(2001, 2021) for n in range(3)]
+    stored = spark.createDataFrame(rows, "game_pk string, v int")
+    sinks.write_seasons(stored, f"{tmp_path}/t", "game_pk")
+    more = [("2003020001", 9), ("2003020007", 9), ("2030020001", 9)]
+    arrived = spark.createDataFrame(more, "game_pk string, v int")
+    arrived = arrived.withColumn(readers.SEASON_FOLDER, readers.season_of(F.col("game_pk")))
+    fresh = readers.incremental_rows(arrived, spark.read.parquet(f"{tmp_path}/t"))
+    plan = fresh._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.split("PartitionFilters")[1]
+    assert sorted(r["game_pk"] for r in fresh.collect()) == ["2003020007", "2030020001"]
+    read = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression" in read
+    mark = readers.high_water_mark(
+        spark.read.parquet(f"{tmp_path}/t").selectExpr("*", "left(game_pk, 4) || 'x' season", "'R' game_type"), "2005", "R"
+    )
+    assert "= y2005" in mark._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert mark.first()["last_pk"] == "2005020002"
+
+
+def test_bucketed_copies_join_without_exchange(spark, tmp_path):
+    plays = spark.range(500).selectExpr("id % 40 game_id", "id v")
+    times = spark.range(40).selectExpr("id game_id", "id * 2 t")
+    kept = [sinks.save_bucketed(x, f"bucketed_{n}", f"{tmp_path}/{n}", ["game_id"], 4) for n, x in (("p", plays), ("t", times))]
+    joined = kept[0].hint("merge").join(kept[1], "game_id").groupBy("game_id").agg(F.sum("v").alias("v"), F.max("t").alias("t"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 40 and joined.agg(F.sum("v")).first()[0] == sum(range(500))
+
+
 def test_match_up_and_profile_jobs(spark, tmp_path):
     root = str(tmp_path)
     stats, games = match_queries.landing(spark, "/root/testdata/sf0.001")
