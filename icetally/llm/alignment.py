@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from icetally.llm.shared import Scratch, batched, rows, text_bytes
 from icetally.llm.tokens import byte_letters, vocabulary
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 """Text that a worker aligns at once, and at least one document."""
 
 WORK = 1 << 16
