@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from icetally.llm import decontaminate, lines, packing, shingles, simhash, toxicity
+from icetally.llm import decontaminate, lines, packing, simhash, toxicity
 from icetally.llm.shared import Scratch
 
 
@@ -24,9 +24,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints, and of those left one of each group that
-    shares four fifths of its five-word shingles."""
-    return shingles.one_of_each_group(simhash.one_of_each_group(docs))
+    """One document of each group of near fingerprints, with the shingle width and the radius of the
+    query op3."""
+    return simhash.one_of_each_group(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
