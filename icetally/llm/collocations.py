@@ -29,13 +29,13 @@ PIECE_END = bytes(ord(".") if c in STOPS else c for c in range(256))
 BURST = 1 << 14
 """Continuations that the container of a first word holds before it bursts."""
 
-FULL = 1_200_000
+FULL = 1_600_000
 """Entries of a worker's tries before it spills down to half of them."""
 
 CHUNK = 1 << 19
 """Words of one text that are taken at once."""
 
-SLOT_CHARS = 8 << 20
+SLOT_CHARS = 12 << 20
 """Text whose phrases make about one prefix partition."""
 
 CLASSES = 64
@@ -157,20 +157,24 @@ def runs(lang: str, words: list[bytes], keys: np.ndarray, counts: np.ndarray, sl
     deal += mark[ids[1]] * np.uint64(0xC2B2AE3D27D4EB4F)
     deal += mark[ids[2]] % np.uint64(CLASSES) * np.uint64(0x165667B19E3779F9)
     slot = (deal >> np.uint64(20)) % np.uint64(slots)
+    # Words in byte order within each slot: one sort of the three ranks together, one of the slots.
     ranks = rank[ids]
-    order_of = np.array([0, *order])
-    by_slot = np.lexsort((ranks[2], ranks[1], ranks[0], slot))
-    ranks, counts, slot = ranks[:, by_slot], counts[by_slot], slot[by_slot]
+    by_rank = np.argsort(ranks[0] << (2 * BITS) | ranks[1] << BITS | ranks[2])
+    slot = slot[by_rank]
+    by_slot = np.argsort(slot.astype(np.uint16) if slots < 1 << 16 else slot, kind="stable")
+    slot, by_rank = slot[by_slot], by_rank[by_slot]
+    ranks, counts = ranks[:, by_rank], counts[by_rank]
     cuts = np.flatnonzero(np.diff(slot)) + 1
-    zstd = zstandard.ZstdCompressor(3)
+    zstd = zstandard.ZstdCompressor(1)
+    place_of = np.zeros(len(order) + 1, dtype=np.int64)
     for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(slot)]):
         part = ranks[:, s:e]
-        own, place = np.unique(part, return_inverse=True)
-        if own[0] > 0:
-            place = place + 1
-        own = own[own > 0]
-        place = place.reshape(3, -1)
-        listed = b" ".join(words[i] for i in order_of[own].tolist())
+        there = np.zeros(len(order) + 1, dtype=bool)
+        there[part.ravel()] = True
+        own = np.flatnonzero(there[1:])
+        place_of[own + 1] = np.arange(1, len(own) + 1)
+        place = place_of[part]
+        listed = b" ".join([words[order[i]] for i in own.tolist()])
         place[0] = np.diff(place[0], prepend=0)
         columns = np.concatenate([place.ravel(), counts[s:e]]).astype("<u8")
         yield int(slot[s]), lang, zstd.compress(listed), zstd.compress(planes(columns))
