@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 # Coefficients of the Chebyshev fit of erfc (Press et al., Numerical Recipes,
 # section 6.2), relative error below 1.2e-7 everywhere, highest power first.
@@ -37,33 +35,39 @@ def normal_two_sided(z: Column) -> Column:
     return F.least(erfc_positive(positive / F.sqrt(F.lit(2.0))), F.lit(1.0))
 
 
-def _exact_p(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of U without ties, from the number of subsets with each rank sum.
+def exact_two_sided(u: Column, n1: Column, n2: Column) -> Column:
+    """Two-sided exact p of U without ties; null where ``u`` is, or a sample is empty.
 
-    The numbers are whole ones of any size, so far tails neither vanish nor turn negative.
+    Dynamic programming over the ranks in ascending order: row j of the table holds how many ways
+    there are to have placed j values of the first sample, by their U so far. Such a value adds the
+    number of values of the second sample below it. All terms are positive, so tails keep their
+    relative accuracy. Swapping the samples mirrors U, so the smaller one is placed: with n values
+    in it and m in the other one the work is some (n + m) * n * n * m steps, for small samples.
     """
-    small, size = min(n1, n2), n1 * n2 + 1
-    ways = np.zeros(size, dtype=object)
-    ways[0] = 1
-    # Gaussian binomial coefficient as a product of (1 - q^(n+i)) / (1 - q^i).
-    for i in range(1, small + 1):
-        top = max(n1, n2) + i
-        if top < size:
-            ways[top:] -= ways[:-top].copy()
-        padded = np.zeros(-(-size // i) * i, dtype=object)
-        padded[:size] = ways
-        ways = padded.reshape(-1, i).cumsum(axis=0).ravel()[:size]
-    upper = int(max(u, n1 * n2 - u))
-    return min(1.0, 2 * ways[upper:].sum() / ways.sum())
+    n1, n2 = F.least(n1, n2), F.greatest(n1, n2)
+    size = (n1 * n2).cast("int")
+    start = F.transform(
+        F.sequence(F.lit(0), n1.cast("int")),
+        lambda j: F.transform(
+            F.sequence(F.lit(0), size), lambda k: F.when((j == 0) & (k == 0), 1.0).otherwise(0.0)
+        ),
+    )
 
+    def place(table: Column, rank: Column) -> Column:
+        def row_of(row: Column, j: Column) -> Column:
+            shift = rank - j
+            fewer = F.get(table, j - 1)
+            moved = F.transform(
+                row, lambda x, k: x + F.when((shift >= 0) & (k >= shift), F.get(fewer, k - shift)).otherwise(0.0)
+            )
+            return F.when(j == 0, row).otherwise(moved)
 
-@F.pandas_udf(T.DoubleType())
-def exact_two_sided(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    """Exact p-value where ``u`` is given; null elsewhere. One value per tested statistic."""
-    return pd.Series(
-        [
-            _exact_p(a, int(b), int(c)) if pd.notna(a) and b > 0 and c > 0 else None
-            for a, b, c in zip(u, n1, n2)
-        ],
-        dtype="float64",
-    )
+        return F.transform(table, row_of)
+
+    ranks = F.sequence(F.lit(1), (n1 + n2).cast("int"))
+    ways = F.element_at(F.aggregate(ranks, start, place), -1)
+    upper = F.greatest(u, n1 * n2 - u).cast("int")
+    total = F.aggregate(ways, F.lit(0.0), lambda a, b: a + b)
+    tail = F.aggregate(F.slice(ways, upper + 1, size - upper + 1), F.lit(0.0), lambda a, b: a + b)
+    both = u.isNotNull() & (n1 > 0) & (n2 > 0)
+    return F.when(both, F.least(F.lit(1.0), 2 * tail / total))

@@ -262,3 +262,43 @@ def team_summary(detail: DataFrame, toi: DataFrame, team: str | None = None) ->
         "average_corsi_per_60",
         F.col("side").alias("team"),
     )
+
+
+# ---- summaries that new games are added to ---------------------------------------------------
+
+STATE_KEY = ["playerid", "side"]
+MEANS = [*AVERAGED, "corsi_per_es60"]
+
+
+def summary_state(detail: DataFrame, toi: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``team_summary`` needs of some games, in a form that adds up with that of other games:
+    sums and counts of the game metrics per player and team, and usage per player, team, position
+    and name."""
+    sums = [F.sum(c).alias(f"sum_{c}") for c in MEANS] + [F.count(c).alias(f"n_{c}") for c in MEANS]
+    metrics = detail.groupBy("playerid", F.col("team").alias("side")).agg(*sums, F.sum("plusminus").alias("plusminus"))
+    return metrics, players_key(toi).drop("toipg")
+
+
+def merged_state(metrics: DataFrame, usage: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per key from the states of any number of disjoint sets of games."""
+    added = [c for c in metrics.columns if c not in STATE_KEY]
+    games, seconds = F.sum("games_played"), F.sum("toi_s")
+    return (
+        metrics.groupBy(*STATE_KEY).agg(*[F.sum(c).alias(c) for c in added]),
+        usage.groupBy(*STATE_KEY, "position", "name").agg(
+            games.alias("games_played"), seconds.alias("toi_s"), F.try_divide(seconds, games).alias("toipg")
+        ),
+    )
+
+
+def summary_of_state(metrics: DataFrame, usage: DataFrame) -> DataFrame:
+    """The summary of all games in a merged state, with the columns of ``team_summary``."""
+    means = {c: F.try_divide(F.col(f"sum_{c}"), F.col(f"n_{c}")) for c in MEANS}
+    named = metrics.select(
+        *STATE_KEY, "plusminus", *[m.alias(c) for c, m in means.items() if c in AVERAGED],
+        means["corsi_per_es60"].alias("average_corsi_per_60"),
+    )
+    return usage.drop("toi_s").join(named, STATE_KEY, "left").select(
+        "playerid", "name", "position", "games_played", "toipg", *MEASURES, "average_corsi_per_60",
+        F.col("side").alias("team"),
+    )

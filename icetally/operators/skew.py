@@ -70,33 +70,44 @@ FAN = 1024
 
 
 def overall_positions(
-    df: DataFrame, name: str, block: str, order: Sequence[str | Column], levels: int = 4
+    df: DataFrame, name: str, block: str, order: Sequence[str | Column], folder: str, fan: int = FAN
 ) -> DataFrame:
     """``row_number()`` over all rows, for a whole-numbered ``block`` that keeps the order.
 
-    Rows are numbered within their block. The rows before a block are summed up level by level in
-    groups of ``FAN`` neighbours, so that no window has more than that many rows as long as blocks
-    stay below ``FAN`` to the power of ``levels``.
+    Rows are numbered within their block. The rows before each block are a prefix sum: the counts of
+    blocks are stored below ``folder``, then on the way up the sums of ``fan`` neighbours, until a
+    level has at most ``fan`` of them; on the way down each node adds what its earlier siblings hold
+    to what lies before its parent. Every level is written once and is a ``fan``-th of the one
+    below, and no window has more rows than ``fan``.
     """
-    blocks = df.groupBy(block).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = blocks.select(
-        block, F.col(block).alias("_node"), "_rows", F.lit(0).cast("bigint").alias("_before")
-    )
-    for _ in range(levels):
-        parent = F.floor(F.col("_node") / FAN)
-        nodes = offsets.groupBy("_node").agg(F.sum("_rows").alias("_held"))
-        earlier = Window.partitionBy("_parent").orderBy("_node")
-        earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-        ahead = nodes.withColumn("_parent", parent).select(
-            "_node", "_parent", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_ahead")
-        )
-        offsets = offsets.join(ahead, "_node").select(
-            block, F.col("_parent").alias("_node"), "_rows", (F.col("_before") + F.col("_ahead")).alias("_before")
-        )
+    session = df.sparkSession
+    counts = df.groupBy(F.col(block).cast("bigint").alias("node")).agg(F.count(F.lit(1)).alias("held"))
+    levels: list[DataFrame] = []
+    while True:
+        path = f"{folder}/level-{len(levels)}"
+        counts.withColumn("parent", F.floor(F.col("node") / fan)).write.parquet(path)
+        levels.append(session.read.schema("node bigint, held bigint, parent bigint").parquet(path))
+        if levels[-1].count() <= fan:
+            break
+        counts = levels[-1].groupBy(F.col("parent").alias("node")).agg(F.sum("held").alias("held"))
+    before = F.coalesce(F.sum("held").over(_earlier("parent")), F.lit(0)).alias("before")
+    # The topmost level has few nodes, whatever their parents are: it is one window.
+    top = levels[-1].withColumn("parent", F.lit(0).cast("bigint"))
+    offsets = top.select("node", before)
+    for level in reversed(levels[:-1]):
+        above = offsets.select(F.col("node").alias("parent"), F.col("before").alias("above"))
+        offsets = level.select("node", "parent", before).join(above, "parent")
+        offsets = offsets.select("node", (F.col("before") + F.col("above")).alias("before"))
     inside = Window.partitionBy(block).orderBy(*order)
     numbered = df.withColumn("_inside", F.row_number().over(inside))
-    placed = numbered.join(offsets.select(block, "_before"), block)
-    return placed.withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+    offsets = offsets.select(F.col("node").alias("_node"), F.col("before").alias("_before"))
+    placed = numbered.join(offsets, numbered[block] == F.col("_node"))
+    return placed.withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_node")
+
+
+def _earlier(parent: str):
+    window = Window.partitionBy(parent).orderBy("node")
+    return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
 CUTS = 255

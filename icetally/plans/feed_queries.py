@@ -580,6 +580,18 @@ BATCHES_SQL = """
 select page_id as id, cast((row_number() over (order by page_id) - 1) // 100 as int) as batch from pages"""
 
 
+def card_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the first three batches of 50 cards, and of the rest, which a later run takes."""
+    ids = a.view(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    first, later = readers.first_batches(readers.batches(ids, 50, block_width=32, fan=8), 3)
+    return first.withColumn("run", F.lit("now")).unionByName(later.withColumn("run", F.lit("later")))
+
+
+CARD_BATCHES_SQL = """
+select id, batch, case when batch < 3 then 'now' else 'later' end as run from (
+  select p_partkey as id, cast((row_number() over (order by p_partkey) - 1) // 50 as int) as batch from part)"""
+
+
 # ---- writers --------------------------------------------------------------------------------
 
 
@@ -588,6 +600,40 @@ def bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("hashmod").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _murmur_bucket_sql(key: str, buckets: int, source: str) -> str:
+    """The bucket of a long by 32-bit Murmur3 with seed 42, in whole-number arithmetic, one
+    projection for each step. Fixed values: the constants of the published hash."""
+    low = 4294967295
+
+    def times(x: str, constant: int) -> str:
+        return f"(({x})::hugeint * {constant} & {low})::bigint"
+
+    def turn(x: str, bits: int) -> str:
+        return f"((({x} << {bits}) & {low}) | ({x} >> {32 - bits}))"
+
+    steps = [("k", f"{key} & {low}"), ("h", "42::bigint")]
+    for word in (f"({key} >> 32) & {low}", None):
+        steps += [
+            ("k", times("k", 0xCC9E2D51)), ("k", turn("k", 15)), ("k", times("k", 0x1B873593)),
+            ("h", "xor(h, k)"), ("h", turn("h", 13)), ("h", f"(h * 5 + {0xE6546B64}) & {low}"),
+        ]
+        if word:
+            steps.append(("k", word))
+    steps += [
+        ("h", "xor(h, 8)"), ("h", "xor(h, h >> 16)"), ("h", times("h", 0x85EBCA6B)),
+        ("h", "xor(h, h >> 13)"), ("h", times("h", 0xC2B2AE35)), ("h", "xor(h, h >> 16)"),
+        ("h", f"case when h > {2**31 - 1} then h - {2**32} else h end"),
+    ]
+    sql = f"select {key}, 0::bigint as k, 0::bigint as h from {source}"
+    for name, value in steps:
+        sql = f"select {key}, {', '.join(f'{value} as {n}' if n == name else n for n in ('k', 'h'))} from ({sql})"
+    return f"select {key}, cast((h % {buckets} + {buckets}) % {buckets} as int) as hashmod from ({sql})"
+
+
+BUCKET_SIZES_SQL = f"""
+select hashmod, count(*) as rows from ({_murmur_bucket_sql("o_orderkey", sinks.BUCKETS, "orders")}) group by hashmod"""
+
+
 def bucket_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties of the buckets that hold for any good hash: all are used, and no key has two."""
     rows = sinks.with_bucket(a.view(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
@@ -692,7 +738,8 @@ QUERIES = {
     "incremental_rows": (incremental_rows, INCREMENTAL_SQL),
     "season_increment": (season_increment, SEASON_INCREMENT_SQL),
     "batches": (batches, BATCHES_SQL),
-    "bucket_sizes": (bucket_sizes, None),
+    "card_batches": (card_batches, CARD_BATCHES_SQL),
+    "bucket_sizes": (bucket_sizes, BUCKET_SIZES_SQL),
     "bucket_checks": (bucket_checks, BUCKET_CHECKS_SQL),
     "stringify_fill": (stringify_fill, STRINGIFY_SQL),
     "roundtrip_write": (roundtrip_write, ROUNDTRIP_SQL),

@@ -124,6 +124,48 @@ def attempt_metrics(
         summary.hint("rebalance", F.col("team")).write.mode(mode).partitionBy("team").parquet(summary_path)
 
 
+def add_attempt_games(spark: SparkSession, source: str, target: str) -> None:
+    """Detail and summary of all teams after new games: their detail is computed and appended, their
+    sums are stored beside those of earlier loads, and the summary is made from the sums alone.
+
+    A load counts once its list of games is written, which is the last step, so a load that broke
+    off is repeated as a whole.
+    """
+    state = f"{target}/summary_state"
+    plays_ = readers.read_table(spark, f"{source}/plays_sparse_detail")
+    toi = attempts.skater_toi(
+        readers.read_table(spark, f"{source}/raw_forwards"), readers.read_table(spark, f"{source}/raw_defense")
+    )
+    if _exists(spark, f"{state}/games"):
+        done = readers.read_table(spark, f"{state}/games").select("game_id")
+        plays_, toi = (rows.join(done, "game_id", "left_anti") for rows in (plays_, toi))
+    load = uuid.uuid4().hex
+    detail_path = f"{target}/team_player_game_detail"
+    detail = attempts.game_detail(plays_, toi)
+    if _exists(spark, detail_path):
+        keys = ["game_id", "team", "player_id"]
+        detail = readers.incremental_rows(detail, readers.read_table(spark, detail_path), keys)
+    sinks.write_bucketed(detail, detail_path, "player_id", name="hashed_player_id", mode="append")
+    games = toi.select("game_id").unionByName(plays_.select("game_id")).distinct()
+    sinks.write_table(games, f"{state}/pending-{load}")
+    games = readers.read_table(spark, f"{state}/pending-{load}")
+    written = readers.read_table(spark, detail_path).join(games, "game_id", "left_semi")
+    parts = attempts.summary_state(written, toi)
+    for rows, name in zip(parts, ("metrics", "usage")):
+        rows.withColumn("load", F.lit(load)).write.mode("append").parquet(f"{state}/{name}")
+    games.withColumn("load", F.lit(load)).write.mode("append").parquet(f"{state}/games")
+    sinks.remove(spark, f"{state}/pending-{load}")
+    loads = readers.read_table(spark, f"{state}/games").select("load").distinct()
+    kept = [
+        readers.read_table(spark, f"{state}/{name}").join(loads, "load", "left_semi").drop("load")
+        for name in ("metrics", "usage")
+    ]
+    summary = attempts.summary_of_state(*attempts.merged_state(*kept))
+    summary.hint("rebalance", F.col("team")).write.mode("overwrite").partitionBy("team").parquet(
+        f"{target}/team_player_summary"
+    )
+
+
 def load_feeds(
     spark: SparkSession,
     payload_path: str,

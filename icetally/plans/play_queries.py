@@ -8,6 +8,8 @@ from ..functions.arrays import on_ice_codes, players_on_ice, positions_of, split
 from ..functions.text import clock_seconds, elapsed_seconds
 from ..operators import attempts, onice, plays as play_ops, playtext
 from ..schemas import ATTEMPT_TYPES, PARSED_TYPES, SPARSE_EVENT_COLUMNS
+from ..sources import readers, sinks
+from ..sources.folders import new_folder
 from . import adapters as a
 
 PLAYS = f"with plays as ({a.plays_sql(a.DUCK)})"
@@ -197,6 +199,22 @@ def participant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in rounded})
 
 
+def append_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary from stored sums: those of the first two thirds of the games, and, added later,
+    those of the rest."""
+    root = new_folder(spark, "summary")
+    plays, ice_time = attempt_plays(spark, sf_dir), toi(spark, sf_dir)
+    for load, games in enumerate(("game_id % 3 < 2", "game_id % 3 = 2")):
+        times = ice_time.where(games)
+        parts = attempts.summary_state(attempts.game_detail(plays.where(games), times), times)
+        for rows, name in zip(parts, ("metrics", "usage")):
+            sinks.write_table(rows, f"{root}/{name}/load={load}")
+    stored = [readers.read_table(spark, f"{root}/{name}").drop("load") for name in ("metrics", "usage")]
+    rows = attempts.summary_of_state(*attempts.merged_state(*stored))
+    rounded = [*attempts.AVERAGED, "average_corsi_per_60", "toipg"]
+    return rows.withColumns({c: F.round(c, 6) for c in rounded})
+
+
 def _summary_sql() -> str:
     means = ", ".join(f"round(avg({c}), 6) as {c}" for c in attempts.AVERAGED)
     return f"""{DETAIL}, means as (
@@ -629,6 +647,7 @@ QUERIES = {
         corsi_for_per_es60 - corsi_against_per_es60 as corsi_per_es60 from detail""",
     ),
     "participant_summary": (participant_summary, _summary_sql()),
+    "append_summary": (append_summary, _summary_sql()),
     "clock_seconds": (clocks, CLOCKS_SQL),
     "split_participants": (split_participants, SPLIT_SQL),
     "participant_codes": (participant_codes, CODES_SQL),

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.skew import overall_positions
+from ..operators.skew import FAN, overall_positions
+from .folders import new_folder
 
 # Season types, and the number of match-ups in each playoff round.
 SEASON_TYPES = {"PR": "01", "R": "02", "P": "03"}
@@ -138,15 +139,16 @@ def after_mark(arrived: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def batches(
-    ids: DataFrame, batch_size: int, key: str = "id", block_width: int = 1_000_000
+    ids: DataFrame, batch_size: int, key: str = "id", block_width: int = 1_000_000, fan: int = FAN
 ) -> DataFrame:
     """Batch number of each unique id, in id order.
 
-    Positions are counted over id blocks of ``block_width`` and groups of blocks, so no task sorts
-    all ids or all blocks.
+    Positions are counted over id blocks of ``block_width`` and groups of ``fan`` blocks, so no task
+    sorts all ids or all blocks. The blocks' counts are stored in the shared folder.
     """
     blocked = ids.withColumn("_block", F.floor(F.col(key) / block_width))
-    placed = overall_positions(blocked, "_position", "_block", [key])
+    folder = new_folder(ids.sparkSession, "positions")
+    placed = overall_positions(blocked, "_position", "_block", [key], folder, fan)
     batch = F.floor((F.col("_position") - 1) / batch_size).cast("int")
     return placed.withColumn("batch", batch).drop("_block", "_position")
 

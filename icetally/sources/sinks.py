@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import MISSING
+from .folders import remove, shared_directory  # noqa: F401  (part of this module's interface)
 from .readers import SEASON_FOLDER, season_of
 
 NO_ARENA = -999  # fixed value: id of an arena without one
@@ -139,16 +140,3 @@ def stringify(df: DataFrame) -> DataFrame:
 
 def fill_arena(df: DataFrame, column: str = "arena_id") -> DataFrame:
     return df.fillna({column: NO_ARENA})
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that nothing reads any more."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def shared_directory(spark: SparkSession) -> str:
-    """The folder for intermediate tables that all executors share: the one that the session
-    names, or its warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

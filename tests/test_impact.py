@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from icetally.functions.significance import _exact_p, normal_two_sided
+from icetally.functions.significance import exact_two_sided, normal_two_sided
 from icetally.operators import impact, skew
 
 
@@ -50,8 +50,17 @@ def test_exact_p_matches_enumeration(spark, x, y):
     assert row["mann_whitney_u"] + back["mann_whitney_u"] == len(x) * len(y)
 
 
-def test_exact_far_tail_is_not_negative():
-    assert _exact_p(8000, 8, 1000) == pytest.approx(2 / math.comb(1008, 8))
+def test_exact_far_tails_and_edges(spark):
+    rows = [(480.0, 6, 80), (480.0, 80, 6), (0.0, 6, 80), (3.0, 2, 3), (None, 2, 3), (0.0, 0, 3)]
+    frame = spark.createDataFrame(rows, "u double, n1 long, n2 long")
+    got = [r[0] for r in frame.select(exact_two_sided(F.col("u"), F.col("n1"), F.col("n2"))).collect()]
+    assert got[:3] == [pytest.approx(2 / math.comb(86, 6), rel=1e-12)] * 3
+    assert got[3:] == [1.0, None, None]
+
+
+def test_exact_test_stays_in_the_engine(spark):
+    tested = impact.rank_test(counts(spark, [1, 5], [2, 3, 9]), ["statistic"], method="exact")
+    assert "Python" not in tested._jdf.queryExecution().executedPlan().toString()
 
 
 def test_one_outlier_leaves_the_ranges_even(spark):

@@ -1,6 +1,8 @@
 """Outcomes, payloads, ids, writers and whole jobs."""
 
+import html
 import json
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -160,6 +162,49 @@ def test_character_references(spark):
     assert row["t"].strip() == "Café éé © &eacute; &bogus; a&b <i>" and row["l"] == ["yes"]
 
 
+REFERENCES = [
+    "&#38;lt;b&#38;gt;", "&#150;&#x96;", "&copy 2020 &copyright; &notit; &amp;amp; R&D a&b & c &", "&#0;&#xD800;&#99999999999999999999;&#1114112;",
+    "&#9;x&#1;y&#127;z&#x1F600;", "&#233 &#xe9 &#; &#x; &#xg", "&bogus; &AMP;&AMP &Aacute&eacute;", "no reference", "&&&#65;&lt", "&fjlig;&NotEqualTilde;",
+]
+
+
+def test_references_are_decoded_once(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(REFERENCES)], "i int, t string")
+    got = dict(frame.select("i", text.html_text(F.col("t"))).collect())
+    assert [got[i] for i in range(len(REFERENCES))] == [html.unescape(t) for t in REFERENCES]
+
+
+def test_text_and_links_as_a_parser_reads_them(spark):
+    page = """<html><head><style>a {}</style><script>var a = "<a href='s'>"; // <!-- </script></head>
+    <!-- <a href="c"> --><a class=x href=foo>F &amp; G</a> <A HREF='b?x=1&amp;y=2'>B</a><a data-href="n" href="q">Q</a>
+    <a name="n">N</a> 1 < 2 <br/>end</html>"""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.links, self.words, self.raw = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style")
+            if tag == "a" and dict(attrs).get("href"):
+                self.links.append(dict(attrs)["href"])
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.words += data.split()
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    row = spark.createDataFrame([(page,)], "v string").select(
+        text.html_text(F.col("v")).alias("t"), text.html_links(F.col("v")).alias("l")
+    ).first()
+    assert "".join(row["t"].split()) == "".join(reader.words) and row["l"] == reader.links == ["foo", "b?x=1&y=2", "q"]
+
+
 def test_unreadable_feeds_are_kept(spark):
     good, cut = feed(1), feed(2)
     rows = payloads(spark, good, ("2", cut[1][:60]), feed(3, coaches=2), ("4", '{"gameData": 7}'), ("5", None), feed(6, message=2))
@@ -250,6 +295,25 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert summary["TAB", 21]["corsi_for"] is None  # never off the ice
 
 
+def test_summaries_from_sums_equal_the_whole(spark, tmp_path):
+    root = str(tmp_path)
+    payloads(spark, box_score(1), box_score(2), box_score(3)).write.parquet(f"{root}/box")
+    pages = spark.createDataFrame([play_page(n) for n in (1, 2, 3)], "game_id long, html string")
+    pages.write.parquet(f"{root}/pages")
+    jobs.ingest_games(spark, f"{root}/box", f"{root}/pages", f"{root}/raw")
+    jobs.format_plays(spark, f"{root}/raw")
+    for name in ("plays_sparse_detail", "raw_forwards", "raw_defense"):
+        spark.read.parquet(f"{root}/raw/{name}").where("game_id < 3").write.parquet(f"{root}/part/{name}")
+    jobs.add_attempt_games(spark, f"{root}/part", f"{root}/out")
+    jobs.add_attempt_games(spark, f"{root}/raw", f"{root}/out")
+    jobs.add_attempt_games(spark, f"{root}/raw", f"{root}/out")
+    jobs.attempt_metrics(spark, f"{root}/raw", f"{root}/whole")
+    read = lambda path: sorted(map(str, spark.read.parquet(f"{root}/{path}/team_player_summary").collect()))
+    assert read("out") == read("whole") and len(read("out")) == 10
+    count = lambda path: spark.read.parquet(f"{root}/{path}/team_player_game_detail").count()
+    assert count("out") == count("whole") == 30
+
+
 def test_feed_jobs_and_arrivals(spark, tmp_path):
     root = str(tmp_path)
     payloads(spark, feed(2021020001), feed(2021020002)).write.parquet(f"{root}/feeds")
