@@ -211,14 +211,32 @@ def game_detail(
     player_toi = toi.withColumns(
         {"player_id": F.col("playerid").cast("string"), "team": F.col("side")}
     )
+    return _with_rates(metrics.join(player_toi, ["game_id", "team", "player_id"]))
+
+
+def game_detail_in_place(plays: DataFrame, toi: DataFrame, status: str | None = None) -> DataFrame:
+    """``game_detail`` for tables that are bucketed by game: nothing is exchanged.
+
+    Counts are grouped within games, which the buckets allow. A join on game, team and player would
+    deal both sides anew, so the join is on the game alone: a game's ice time is one list of some
+    forty skaters, in which each player looks up their own.
+    """
+    metrics = player_attempts_by_game(plays, status)
+    times = toi.groupBy("game_id").agg(
+        F.collect_list(F.struct(*[c for c in toi.columns if c != "game_id"])).alias("times")
+    )
+    own = F.filter(
+        "times", lambda t: (t["side"] == F.col("team")) & (t["playerid"].cast("string") == F.col("player_id"))
+    )
+    joined = metrics.hint("merge").join(times, "game_id").select(*metrics.columns, F.inline(own))
+    return _with_rates(joined)
+
+
+def _with_rates(rows: DataFrame) -> DataFrame:
     per_hour = F.try_divide(F.lit(3600.0), F.col("evenstrengthtoi_s").cast("double"))
-    rates = {
-        f"corsi_{way}_per_es60": F.col(f"corsi_{way}") * per_hour for way in DIRECTIONS
-    }
-    return (
-        metrics.join(player_toi, ["game_id", "team", "player_id"])
-        .withColumns(rates)
-        .withColumn("corsi_per_es60", F.col("corsi_for_per_es60") - F.col("corsi_against_per_es60"))
+    rates = {f"corsi_{way}_per_es60": F.col(f"corsi_{way}") * per_hour for way in DIRECTIONS}
+    return rows.withColumns(rates).withColumn(
+        "corsi_per_es60", F.col("corsi_for_per_es60") - F.col("corsi_against_per_es60")
     )
 
 

@@ -156,6 +156,36 @@ def discovered_keys(entries: DataFrame, attributes: str = "attributes") -> DataF
     return entries.select(F.explode(F.map_keys(attributes)).alias("key")).groupBy("key").count()
 
 
+def variant_entries(payloads: DataFrame, group: str) -> DataFrame:
+    """``game_id``, ``side``, ``key``, ``value``: every key of every player entry of a ``group``
+    (``forwards``, ``defense`` or ``goalies``) with its value as a variant, whatever its type.
+
+    The payload is parsed once, without a schema. Unreadable payloads and other shapes give no rows.
+    """
+    docs = payloads.select(F.try_parse_json("payload").alias("v"))
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("side"),
+                F.try_variant_get("v", f"$.boxscore.playerByGameStats.{s}Team.{group}", "array<variant>").alias("players"),
+            )
+            for s in SIDES
+        ]
+    )
+    game = F.try_variant_get("v", "$.id", "bigint").alias("game_id")
+    entries = docs.select(game, F.inline(sides)).select("game_id", "side", F.explode("players").alias("p"))
+    fields = F.explode(F.try_variant_get("p", "$", "map<string,variant>")).alias("key", "value")
+    return entries.select("game_id", "side", fields)
+
+
+def discovered_types(entries: DataFrame) -> DataFrame:
+    """Every key of ``variant_entries`` with the number of entries that have it and the narrowest type
+    that holds all of its values."""
+    return entries.groupBy("key").agg(
+        F.count(F.lit(1)).alias("count"), F.schema_of_variant_agg("value").alias("type")
+    )
+
+
 def widen(entries: DataFrame, keys: list[str], attributes: str = "attributes") -> DataFrame:
     """Map column to one column per key, keys in sorted order."""
     wide = [F.try_element_at(F.col(attributes), F.lit(k)).alias(k) for k in sorted(keys)]
@@ -246,6 +276,7 @@ def _period(kind: str, number: int, side: str, key: str) -> Column:
     return F.try_element_at(periods, F.lit(-1))[side][key]
 
 
+# Period values by their published suffix.
 PERIOD_KEYS = {"goals": "goals", "shots": "shotsOnGoal", "rink_side": "rinkSide"}
 
 
@@ -274,7 +305,7 @@ def overtime_goals() -> list[Column]:
         overtimes = F.filter(
             F.col("doc.liveData.linescore.periods"), lambda p: p["periodType"] == "OVERTIME"
         )
-        goals = F.transform(overtimes, lambda p: F.coalesce(p[side]["goals"].cast("int"), F.lit(0)))
+        goals = F.transform(overtimes, lambda p: F.coalesce(p[side]["goals"].try_cast("int"), F.lit(0)))
         total = F.aggregate(goals, F.lit(0), lambda a, b: a + b)
         return F.when(F.size(overtimes) > 0, total).alias(f"overtime_{side}_goals")
 
@@ -334,7 +365,7 @@ def game_info(feeds: DataFrame) -> DataFrame:
     )
 
 
-# Published name -> path within a player's entry.
+# Published name -> path within a player's entry.
 PLAYER_INFO = {
     "player_id_num": "id",
     "fullName": "fullName",

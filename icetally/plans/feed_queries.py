@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import cards, feeds
-from ..schemas import GOALIE_STATS, LIVE_FEED, SKATER_STATS
+from ..schemas import GOALIE_BOX, GOALIE_STATS, LIVE_FEED, SKATER_BOX, SKATER_STATS
 from ..sources import readers, sinks
 from . import adapters as a
 
@@ -54,10 +54,7 @@ def box_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def box_skaters(spark: SparkSession, sf_dir: str) -> DataFrame:
     forwards, defense, _ = feeds.box_score_tables(box_payloads(spark, sf_dir))
     rows = forwards.unionByName(defense)
-    return rows.withColumn("name", F.try_element_at("name", F.lit("default"))).select(
-        "game_id", "side", "playerId", "sweaterNumber", "name", "position", "goals", "assists",
-        "plusMinus", "faceoffWinningPctg", "toi", "powerPlayToi",
-    )
+    return rows.withColumn("name", F.try_element_at("name", F.lit("default")))
 
 
 BOX_PLAYERS = """box as (
@@ -65,34 +62,57 @@ BOX_PLAYERS = """box as (
     else 'H' || cast(o_custkey % 31 as varchar) end as side,
     case k % 4 when 0 then 'C' when 1 then 'L' when 2 then 'D' else 'G' end as position
   from orders, lateral (select unnest(range(0, 8)) as k) x)"""
+def _all_columns(fields, known: dict[str, str]) -> str:
+    """Every field of a schema in SQL: its value if the payloads have it, else a null of its type."""
+    kinds = {"bigint": "bigint", "double": "double"}
+    return ", ".join(
+        f"{known.get(f.name, f'cast(null as {kinds.get(f.dataType.simpleString(), NOTHING_TYPE)})')} as {f.name}"
+        for f in fields
+    )
+
+
+NOTHING_TYPE = "varchar"
+BOX_NAME = "'A. P' || cast(playerId as varchar)"
+SKATER_VALUES = {
+    "playerId": "playerId", "sweaterNumber": "playerId % 99", "name": BOX_NAME, "position": "position",
+    "goals": "o_custkey % 3", "faceoffWinningPctg": "0.5::double",
+    "plusMinus": "case when o_custkey % 4 = 0 then null else o_custkey % 5 - 2 end",
+    "toi": "'12:' || lpad(cast(o_custkey % 60 as varchar), 2, '0')",
+}
 BOX_SKATERS_SQL = f"""with {BOX_PLAYERS}
-select o_orderkey as game_id, side, playerId, playerId % 99 as sweaterNumber,
-  'A. P' || cast(playerId as varchar) as name, position, o_custkey % 3 as goals,
-  cast(null as bigint) as assists,
-  case when o_custkey % 4 = 0 then null else o_custkey % 5 - 2 end as plusMinus,
-  0.5::double as faceoffWinningPctg, '12:' || lpad(cast(o_custkey % 60 as varchar), 2, '0') as toi,
-  cast(null as varchar) as powerPlayToi
-from box where position <> 'G'"""
+select o_orderkey as game_id, side, {_all_columns(SKATER_BOX, SKATER_VALUES)} from box where position <> 'G'"""
 
 
 def box_goalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     goalies = feeds.box_score_tables(box_payloads(spark, sf_dir))[2]
-    return goalies.select(
-        "game_id", "side", "playerId", F.try_element_at("name", F.lit("default")).alias("name"),
-        "saveShotsAgainst", "savePctg", "pim", "toi",
-        F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("keys"),
-    )
+    keys = F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("keys")
+    named = goalies.withColumn("name", F.try_element_at("name", F.lit("default")))
+    return named.select("*", keys).drop("attributes")
 
 
+GOALIE_VALUES = {
+    "playerId": "playerId", "sweaterNumber": "playerId % 99", "name": BOX_NAME, "position": "position",
+    "saveShotsAgainst": "case when o_custkey % 2 = 0 then '20/22' end", "toi": "'60:00'",
+}
 BOX_GOALIES_SQL = f"""with {BOX_PLAYERS}
-select o_orderkey as game_id, side, playerId, 'A. P' || cast(playerId as varchar) as name,
-  case when o_custkey % 2 = 0 then '20/22' end as saveShotsAgainst, cast(null as varchar) as savePctg,
-  cast(null as bigint) as pim, '60:00' as toi,
+select o_orderkey as game_id, side, {_all_columns(GOALIE_BOX, GOALIE_VALUES)},
   case when o_custkey % 2 = 0 then 'name,playerId,position,saveShotsAgainst,sweaterNumber,toi'
     else 'name,playerId,position,sweaterNumber,toi' end as keys
 from box where position = 'G'"""
 
 
+def discovered_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys found in the goalie entries with their frequency and type, from payloads parsed as
+    variants."""
+    return feeds.discovered_types(feeds.variant_entries(box_payloads(spark, sf_dir), "goalies"))
+
+
+DISCOVERED_TYPES_SQL = f"""with {BOX_PLAYERS}, g as (select * from box where position = 'G')
+select t.key, (select count(*) from g) as count, t.type from (values ('name', 'OBJECT<default: STRING>'),
+  ('playerId', 'BIGINT'), ('position', 'STRING'), ('sweaterNumber', 'BIGINT'), ('toi', 'STRING')) t(key, type)
+union all select 'saveShotsAgainst', count(*), 'STRING' from g where o_custkey % 2 = 0"""
+
+
 def discovered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys found in the goalie entries, with their frequency."""
     goalies = feeds.box_score_tables(box_payloads(spark, sf_dir))[2]
@@ -224,74 +244,78 @@ def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.parse(feed_payloads(spark, sf_dir), LIVE_FEED)
 
 
-INFO_COLUMNS = [
-    "game_pk", "season", "game_type", "game_start", "game_end", "game_state", "game_time_tbd",
-    "team_away_id", "team_away_name", "team_away_shortname", "team_home_id", "team_home_name",
-    "winning_goaltender_id", "losing_goaltender_id", "first_star_id", "second_star_name", "arena_id",
-    "name", "away_goals", "away_shots", "away_hits", "home_goals", "home_pp_pct", "head_coach_away",
-    "head_coach_home",
-]
-
-
 def game_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.game_info(_finished(spark, sf_dir)).select(*INFO_COLUMNS)
+    return feeds.game_info(_finished(spark, sf_dir))
 
 
 GAMES = f"""with games as (select o_custkey, o_orderkey, g.* from orders
   join ({a.gameinfo_sql(a.DUCK)}) g on g.game_pk = {a.GAME_PK})"""
 NOTHING = "cast(null as varchar)"
-GAME_INFO_SQL = f"""{GAMES}
-select game_pk, season, game_type, game_start, {NOTHING} as game_end, 'Final' as game_state,
-  case when o_custkey % 2 = 1 then 'True' else 'False' end as game_time_tbd,
-  cast(o_custkey % 30 as varchar) as team_away_id, team_away_name, {NOTHING} as team_away_shortname,
-  cast(o_custkey % 31 as varchar) as team_home_id, team_home_name, winning_goaltender_id,
-  {NOTHING} as losing_goaltender_id, first_star_id, {NOTHING} as second_star_name,
-  case when o_custkey % 8 = 0 then '-999' else cast(o_custkey % 40 as varchar) end as arena_id, name,
-  away_goals, cast(o_custkey % 40 as varchar) as away_shots,
-  cast(o_custkey % 20 as varchar) as away_hits, home_goals, {NOTHING} as home_pp_pct,
-  case when o_custkey % 10 = 0 then null else head_coach_away end as head_coach_away,
-  case when o_custkey % 10 = 0 then null else head_coach_home end as head_coach_home
-from games"""
-
-
 def periods_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.period_stats(_finished(spark, sf_dir))
 
 
-def _periods_sql() -> str:
-    columns = []
+def _period_values() -> dict[str, str]:
+    columns = {}
     for n, prefix in [(1, "p1"), (2, "p2"), (3, "p3"), (4, "ot4")]:
         for side in feeds.SIDES:
-            rink = "'left'" if side == "home" else "'right'"
             values = {
                 "goals": f"{prefix}_{side}_goals",
                 "shots": f"cast(o_custkey % {7 + n} as varchar)",
-                "rink_side": rink,
+                "rink_side": "'left'" if side == "home" else "'right'",
             }
             for name, value in values.items():
-                if n == 4:
-                    value = f"case when o_custkey % 4 = 0 then {value} end"
-                columns.append(f"{value} as {prefix}_{side}_{name}")
+                columns[f"{prefix}_{side}_{name}"] = (
+                    f"case when o_custkey % 4 = 0 then {value} end" if n == 4 else value
+                )
     for side in feeds.SIDES:
-        columns += [f"'3' as so_attempts_{side}", f"so_goals_{side}"]
-    return f"{GAMES} select game_pk, {', '.join(columns)} from games"
+        columns |= {f"so_attempts_{side}": "'3'", f"so_goals_{side}": f"so_goals_{side}"}
+    return columns
+
+
+def _periods_sql() -> str:
+    return f"{GAMES} select game_pk, {', '.join(f'{v} as {c}' for c, v in _period_values().items())} from games"
+
+
+def _game_info_sql() -> str:
+    """All columns; those that the payloads don't have are null."""
+    values = dict.fromkeys(["game_end"], NOTHING)
+    values |= {c: c for c in ("game_pk", "season", "game_type", "game_start", "name")}
+    values["game_state"] = "'Final'"
+    values["game_time_tbd"] = "case when o_custkey % 2 = 1 then 'True' else 'False' end"
+    values["arena_id"] = "case when o_custkey % 8 = 0 then '-999' else cast(o_custkey % 40 as varchar) end"
+    for side, teams in (("away", 30), ("home", 31)):
+        values[f"team_{side}_id"] = f"cast(o_custkey % {teams} as varchar)"
+        values |= {f"team_{side}_name": f"team_{side}_name", f"team_{side}_shortname": NOTHING}
+        values |= {f"{side}_{stat}": NOTHING for stat in feeds.TEAM_STAT_NAMES}
+        values[f"{side}_goals"] = f"{side}_goals"
+        values[f"{side}_shots"] = "cast(o_custkey % 40 as varchar)"
+        values[f"{side}_hits"] = "cast(o_custkey % 20 as varchar)"
+        values[f"head_coach_{side}"] = f"case when o_custkey % 10 = 0 then null else head_coach_{side} end"
+        values[f"overtime_{side}_goals"] = (
+            f"case when o_custkey % 4 = 0 then coalesce(try_cast(ot4_{side}_goals as int), 0) end"
+        )
+    for who in feeds.DECISIONS:
+        values |= {f"{who}_id": NOTHING, f"{who}_name": NOTHING}
+    values |= {f"{who}_id": f"{who}_id" for who in ("winning_goaltender", "first_star")}
+    values |= _period_values()
+    return f"{GAMES} select {', '.join(f'{v} as {c}' for c, v in values.items())} from games"
 
 
 def player_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.player_info(_finished(spark, sf_dir)).select(
-        "player_id", "player_id_num", "fullName", "birthCity", "active", "alternateCaptain",
-        "rosterStatus", "currentTeamId", "primaryPositionCode", "index_val",
-    )
+    return feeds.player_info(_finished(spark, sf_dir))
 
 
 FOUR = "orders, lateral (select unnest(range(0, 4)) as k) x"
+PLAYER_VALUES = dict.fromkeys(feeds.PLAYER_INFO, NOTHING) | {
+    "player_id_num": "cast(o_orderkey * 10 + k as varchar)",
+    "fullName": "'Player ' || cast(o_orderkey * 10 + k as varchar)",
+    "active": "case when o_custkey % 2 = 0 then 'True' else 'False' end", "rosterStatus": "'Y'",
+    "currentTeamId": "cast(k as varchar)", "primaryPositionCode": "case when k % 2 = 1 then 'G' else 'C' end",
+}
 PLAYER_INFO_SQL = f"""
 select 'ID' || cast(o_orderkey * 10 + k as varchar) as player_id,
-  cast(o_orderkey * 10 + k as varchar) as player_id_num,
-  'Player ' || cast(o_orderkey * 10 + k as varchar) as fullName, {NOTHING} as birthCity,
-  case when o_custkey % 2 = 0 then 'True' else 'False' end as active,
-  {NOTHING} as alternateCaptain, 'Y' as rosterStatus, cast(k as varchar) as currentTeamId,
-  case when k % 2 = 1 then 'G' else 'C' end as primaryPositionCode,
+  {", ".join(f"{v} as {c}" for c, v in PLAYER_VALUES.items())},
   cast(o_orderkey as varchar) || 'ID' || cast(o_orderkey * 10 + k as varchar) as index_val
 from {FOUR}"""
 
@@ -340,15 +364,14 @@ from orders, lateral (select unnest(range(0, 2 + o_custkey % 2)) as i) x"""
 
 
 def array_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.feed_plays(_finished(spark, sf_dir)).select(
-        "game_id", "place", "event", "eventCode", "eventTypeId", "eventIdx", "period", "periodTime",
-        "x", "y", "index_val",
-    )
+    return feeds.feed_plays(_finished(spark, sf_dir))
 
 
+NO_PLAY_VALUES = ["description", "eventId", "periodType", "ordinalNum", "periodTimeRemaining", "dateTime", "goals"]
 ARRAY_ROWS_SQL = f"""
 select cast(o_orderkey as varchar) as game_id, cast(i as int) as place, 'Shot' as event,
   {NOTHING} as eventCode, 'SHOT' as eventTypeId, cast(i as varchar) as eventIdx,
+  {", ".join(f"{NOTHING} as {c}" for c in NO_PLAY_VALUES)},
   cast(1 + i as varchar) as period, '0' || cast(i as varchar) || ':30' as periodTime,
   cast(o_custkey % 90 as varchar) as x, case when i = 0 then null else cast(-i as varchar) end as y,
   cast(o_orderkey as varchar) || '_' || cast(i as varchar) as index_val
@@ -715,6 +738,7 @@ QUERIES = {
     "box_skaters": (box_skaters, BOX_SKATERS_SQL),
     "box_goalies": (box_goalies, BOX_GOALIES_SQL),
     "discovered_columns": (discovered_columns, DISCOVERED_SQL),
+    "discovered_types": (discovered_types, DISCOVERED_TYPES_SQL),
     "game_header": (game_header, GAME_HEADER_SQL),
     "game_teams": (game_teams, GAME_TEAMS_SQL),
     "complete_feeds": (
@@ -722,7 +746,7 @@ QUERIES = {
         """select cast(o_orderkey as varchar) as id, 'Final' as game_state from orders
         where o_orderstatus = 'F'""",
     ),
-    "game_info": (game_info, GAME_INFO_SQL),
+    "game_info": (game_info, _game_info_sql()),
     "periods_wide": (periods_wide, _periods_sql()),
     "player_info": (player_info, PLAYER_INFO_SQL),
     "player_stats": (player_stats, _player_stats_sql()),

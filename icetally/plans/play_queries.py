@@ -178,17 +178,13 @@ DETAIL = f"""{SHARES}, {TOI}, detail as (
 
 def game_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attempts.game_detail(attempt_plays(spark, sf_dir), toi(spark, sf_dir))
-    return rows.withColumn("name", F.try_element_at("name", F.lit("default"))).select(
-        *SHARE_COLUMNS.replace(" ", "").split(","),
-        "name",
-        "position",
-        "plusminus",
-        "toi_s",
-        "evenstrengthtoi_s",
-        "corsi_for_per_es60",
-        "corsi_against_per_es60",
-        "corsi_per_es60",
-    )
+    return rows.withColumn("name", F.try_element_at("name", F.lit("default"))).select(*DETAIL_COLUMNS)
+
+
+DETAIL_COLUMNS = [
+    *SHARE_COLUMNS.replace(" ", "").split(","), "name", "position", "plusminus", "toi_s", "evenstrengthtoi_s",
+    "corsi_for_per_es60", "corsi_against_per_es60", "corsi_per_es60",
+]
 
 
 def participant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +195,18 @@ def participant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in rounded})
 
 
+def bucketed_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``game_detail`` over copies of plays and ice time that are bucketed by game."""
+    root = new_folder(spark, "buckets")
+    tables = {"plays": attempt_plays(spark, sf_dir), "times": toi(spark, sf_dir)}
+    plays, times = (
+        sinks.save_bucketed(rows, f"{name}_{root.rsplit('-', 1)[1]}", f"{root}/{name}", ["game_id"], 8)
+        for name, rows in tables.items()
+    )
+    rows = attempts.game_detail_in_place(plays, times)
+    return rows.withColumn("name", F.try_element_at("name", F.lit("default"))).select(*DETAIL_COLUMNS)
+
+
 def append_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary from stored sums: those of the first two thirds of the games, and, added later,
     those of the rest."""
@@ -647,6 +655,12 @@ QUERIES = {
         corsi_for_per_es60 - corsi_against_per_es60 as corsi_per_es60 from detail""",
     ),
     "participant_summary": (participant_summary, _summary_sql()),
+    "bucketed_detail": (
+        bucketed_detail,
+        f"""{DETAIL} select {SHARE_COLUMNS}, full_name as name, position, plusminus, toi_s,
+        evenstrengthtoi_s, corsi_for_per_es60, corsi_against_per_es60,
+        corsi_for_per_es60 - corsi_against_per_es60 as corsi_per_es60 from detail""",
+    ),
     "append_summary": (append_summary, _summary_sql()),
     "clock_seconds": (clocks, CLOCKS_SQL),
     "split_participants": (split_participants, SPLIT_SQL),

@@ -22,3 +22,26 @@ def test_attempts_read_only_their_columns(spark):
     schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema: " in line]
     assert schemas and all("value" not in s and "props" not in s for s in schemas)
     assert frame.columns[:3] == ["game_id", "team", "player_id"]
+
+
+def plan_of(spark, name):
+    return REGISTERED[name][0](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_tables_are_joined_in_place(spark):
+    plan = plan_of(spark, "bucketed_detail")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_season_increment_prunes_the_stored_side(spark):
+    plan = plan_of(spark, "season_increment")
+    assert "dynamicpruningexpression(load_season" in plan
+
+
+# Planned scans of a query at most.
+SCANS = {"batches": 3, "card_batches": 6, "append_summary": 2}
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_number_of_scans(spark, name):
+    assert plan_of(spark, name).count("FileScan") <= SCANS[name]
