@@ -29,7 +29,7 @@ PIECE_END = bytes(ord(".") if c in STOPS else c for c in range(256))
 BURST = 1 << 14
 """Continuations that the container of a first word holds before it bursts."""
 
-FULL = 1_600_000
+FULL = 1_300_000
 """Entries of a worker's tries before it spills down to half of them."""
 
 CHUNK = 1 << 19
