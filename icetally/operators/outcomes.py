@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clock_seconds, flag, known, stat
-from .skew import ordered_positions
+from .skew import ordered_positions, stored
 
 # Column names of the landing and the published tables.
 SKATER_NUMBERS = [
@@ -304,7 +304,12 @@ def skater_vs_goaltender(skaters: DataFrame, goaltending: DataFrame) -> DataFram
 
 
 def match_up_table(playerstats: DataFrame, gameinfo: DataFrame) -> DataFrame:
-    """The whole chain from the two landing tables."""
+    """The whole chain from the two landing tables.
+
+    The typed rows of skaters and the goaltending of each game are stored once: running game numbers
+    read the former twice, and the landing tables are as wide as they are deep.
+    """
     stats, games = distinct_rows(playerstats), distinct_rows(gameinfo)
-    skaters = skater_game_final(skater_game_stats(stats, games))
-    return skater_vs_goaltender(skaters, game_goaltending(goalie_game_stats(stats), games))
+    skaters = stored(skater_game_stats(stats, games), "skaters")
+    goaltending = stored(game_goaltending(goalie_game_stats(stats), games), "goaltending")
+    return skater_vs_goaltender(skater_game_final(skaters), goaltending)

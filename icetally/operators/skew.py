@@ -10,11 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from ..sources.folders import new_folder
 
 SALTS = 8
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once below the shared folder: what follows reads them as often as it likes,
+    and a lost executor costs no recomputation."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -117,15 +127,21 @@ PER_RANGE = 4096
 def value_ranges(
     counts: DataFrame, keys: Sequence[str], value: str, tallies: Sequence[str]
 ) -> DataFrame:
-    """Adds ``_range`` and ``<tally>_all``: ranges of each key's distinct values, cut at measured
-    quantiles, as many as the number of values needs."""
+    """Adds ``_range`` and ``<tally>_all``: ranges of each key's distinct values, cut at quantiles of
+    a mergeable sketch, as many as the number of values needs. Cuts only spread the work, so their
+    error changes no result."""
+    whole_numbers = isinstance(counts.schema[value].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    kind, cast = ("bigint", "bigint") if whole_numbers else ("double", "double")
+    sketch = getattr(F, f"kll_sketch_agg_{kind}")(F.col(value).cast(cast))
+    quantiles = getattr(F, f"kll_sketch_get_quantile_{kind}")
     ranges = counts.groupBy(*keys).agg(
-        F.percentile_approx(
-            value, F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), F.lit(20 * CUTS)
-        ).alias("_cuts"),
+        sketch.alias("_sketch"),
         F.least(F.ceil(F.count(F.lit(1)) / PER_RANGE), F.lit(CUTS + 1)).alias("_parts"),
         *[F.sum(t).alias(f"{t}_all") for t in tallies],
     )
+    steps = F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)])
+    # The sketch draws at random: its cuts are stored, so that every reader has the same ones.
+    ranges = stored(ranges.withColumn("_cuts", quantiles("_sketch", steps)).drop("_sketch"), "cuts")
     passed = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
     return counts.join(ranges, list(keys)).withColumn(
         "_range", F.floor(passed * F.col("_parts") / (CUTS + 1)).cast("int")
@@ -143,7 +159,12 @@ def running_counts(
     don't leave all others in one range and no task sorts all distinct values of a key.
     """
     whole = Window.partitionBy(*keys)
-    placed = value_ranges(counts, keys, value, tallies)
+    most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= PER_RANGE:
+        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        below = {f"{t}_below": F.coalesce(F.sum(t).over(before), F.lit(0)) for t in tallies}
+        return counts.withColumns(below | {f"{t}_all": F.sum(t).over(whole) for t in tallies})
+    placed = stored(value_ranges(counts, keys, value, tallies), "ranges")
     per_range = placed.groupBy(*keys, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in tallies])
     earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(

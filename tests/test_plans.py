@@ -39,7 +39,10 @@ def test_season_increment_prunes_the_stored_side(spark):
 
 
 # Planned scans of a query at most.
-SCANS = {"batches": 3, "card_batches": 6, "append_summary": 2}
+SCANS = {
+    "batches": 3, "card_batches": 6, "append_summary": 2, "versus_opponent": 4, "tenure_games": 6, "impact_report": 8,
+    "rank_test": 2, "box_stats": 2, "profile": 2,
+}
 
 
 @pytest.mark.parametrize("name", SCANS)
