@@ -25,24 +25,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HEAVY_SHARE = 1 / 64
+"""A key with more of the rows than this is heavy, so there are fewer than 64 of them."""
+
+
+def heavy_salts(facts: DataFrame, on: Sequence[str], share: float = HEAVY_SHARE) -> dict[int, int]:
+    """How many parts each heavy key's rows should be dealt over, by the hash of the key.
+
+    One aggregate: a frequent-items sketch of the keys' hashes, whose size doesn't grow with the
+    data and whose counts are never too low for a key with that share. ``facts`` are read once more,
+    so they should be stored.
+    """
+    sizes = F.lit(int(2 / share)), F.lit(int(64 / share))
+    most = F.call_function("approx_top_k", F.xxhash64(*on), *sizes).alias("top")
+    row = facts.agg(F.count(F.lit(1)).alias("n"), most).first()
+    limit = max(1.0, row["n"] * share)
+    return {t["item"]: -int(-t["count"] // limit) + 1 for t in row["top"] or [] if t["count"] > limit}
+
+
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int | dict[int, int] = SALTS,
 ) -> DataFrame:
     """Join many ``facts`` per key to few ``lookup`` rows per key.
 
     The rows of one key are spread over ``salts`` partitions by the columns ``spread``, which should
-    vary within a key; the lookup side is repeated once per salt. ``how`` must keep the fact side
+    vary within a key; the lookup side is repeated once per salt. With ``heavy_salts`` only heavy
+    keys are spread, and no other key's lookup rows are repeated. ``how`` must keep the fact side
     (inner, left, left_semi).
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"a salted join cannot keep unmatched lookup rows: {how}")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if isinstance(salts, dict):
+        listed = [F.lit(x) for pair in salts.items() for x in pair]
+        parts = F.coalesce(F.try_element_at(F.create_map(*listed), F.xxhash64(*on)), F.lit(1)) if salts else F.lit(1)
+    else:
+        parts = F.lit(salts)
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 

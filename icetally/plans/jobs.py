@@ -239,12 +239,13 @@ def teammate_profiles(
     rows = readers.read_table(spark, f"{source}/skater_vs_goaltender")
     wanted = impact.player_pairs(spark, pairs)
     tenure_path = f"{target}/tenures"
-    sinks.write_table(impact.tenure(impact.teammate_games(rows, wanted)), tenure_path)
+    salts = impact.player_salts(rows)
+    sinks.write_table(impact.tenure(impact.teammate_games(rows, wanted, salts)), tenure_path)
     # The chain of match-ups is read once for the tenures and once for the games.
     tenures = readers.read_table(spark, tenure_path)
     impact.check_tenure(tenures)
     games_path = f"{target}/tenure_games"
-    games = impact.tenure_games(rows, wanted, full_careers, tenures)
+    games = impact.tenure_games(rows, wanted, full_careers, tenures, salts)
     sinks.write_table(games, games_path)
     report = impact.impact_report(readers.read_table(spark, games_path), alpha)
     sinks.write_reports(report, tenures, f"{target}/reports")

@@ -176,3 +176,26 @@ def test_positions_and_running_counts(spark):
     running = skew.running_counts(tallies, ["key"], "value", ["rows"]).collect()
     assert all(r["rows_below"] == r["value"] for r in running if r["key"] == "hot")
     assert {r["rows_all"] for r in running if r["key"] == "hot"} == {400}
+
+
+def test_only_heavy_keys_are_repeated(spark):
+    """One key has half of the rows, one a thirtieth, and the rest have one row each."""
+    rows = [("hot", i) for i in range(3000)] + [("warm", i) for i in range(200)] + [(f"k{i}", i) for i in range(2800)]
+    facts = spark.createDataFrame(rows, "key string, v int")
+    salts = skew.heavy_salts(facts, ["key"])
+    hashes = {r["key"]: r["h"] for r in facts.select("key", F.xxhash64("key").alias("h")).distinct().collect()}
+    assert set(salts) == {hashes["hot"], hashes["warm"]} and salts[hashes["hot"]] >= 32
+    lookup = spark.createDataFrame([(k, n) for n, k in enumerate(hashes)], "key string, n int")
+    joined = skew.salted_join(facts, lookup, ["key"], ["v"], salts=salts)
+    assert sorted(map(tuple, joined.collect())) == sorted((k, v, list(hashes).index(k)) for k, v in rows)
+    plain = skew.salted_join(facts, lookup, ["key"], ["v"], salts={})
+    assert plain.count() == len(rows)
+    plan = made_parts(lookup, salts)
+    assert plan == len(hashes) + sum(salts.values()) - len(salts)
+
+
+def made_parts(lookup, salts):
+    """Rows of the lookup side once each key is repeated for its salts."""
+    listed = [F.lit(x) for pair in salts.items() for x in pair]
+    parts = F.coalesce(F.try_element_at(F.create_map(*listed), F.xxhash64("key")), F.lit(1))
+    return lookup.agg(F.sum(parts)).first()[0]
