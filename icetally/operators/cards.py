@@ -74,7 +74,16 @@ def edition_year(gameyear: str) -> int:
 
 def card_table(pages: DataFrame, gameyear: str, position: str) -> tuple[DataFrame, DataFrame]:
     """Readable cards of one edition, and the ids of pages that are not cards."""
-    header_by = "class" if edition_year(gameyear) >= 23 else "id"
-    cards = card_rows(pages, position, header_by).withColumn("gameyear", F.lit(gameyear))
+    cards = edition_cards(pages, gameyear, position)
     readable = F.col("player_full_name").isNotNull()
     return cards.where(readable), cards.where(~readable).select("player_id", "gameyear")
+
+
+def edition_cards(pages: DataFrame, gameyear: str, position: str) -> DataFrame:
+    """All pages of one edition, read once; those that are not cards have neither name nor
+    attributes."""
+    header_by = "class" if edition_year(gameyear) >= 23 else "id"
+    cards = card_rows(pages, position, header_by).withColumn("gameyear", F.lit(gameyear))
+    card = F.col("player_full_name").isNotNull()
+    only = ["player_first_name", "player_last_name", "attributes"]
+    return cards.withColumns({c: F.when(card, F.col(c)) for c in only})

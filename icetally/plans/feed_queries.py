@@ -488,10 +488,9 @@ def page_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         for position in ("skater", "goalie"):
             header_by = "class" if gameyear == "E23" else "id"
             pages = card_pages(spark, sf_dir, position, header_by)
-            found, other = cards.card_table(pages, gameyear, position)
-            rows = found.select("*", F.explode("attributes").alias("attribute", "value"))
-            parts.append(rows.drop("attributes").withColumn("kind", F.lit(position)))
-            parts.append(other.withColumn("kind", F.lit(position)))
+            rows = cards.edition_cards(pages, gameyear, position)
+            listed = rows.select("*", F.explode_outer("attributes").alias("attribute", "value"))
+            parts.append(listed.drop("attributes").withColumn("kind", F.lit(position)))
     return feeds.align_by_name(parts)
 
 
@@ -734,7 +733,34 @@ select t.target, o.n, o.keys from
   (select count(*) as n, cast(sum(n_nationkey) as bigint) as keys from nation) o,
   (values ('manifest/nation'), ('raw/nation.csv')) t(target)"""
 
+def report_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written under pair, player and range of games, as their folders read back."""
+    root = scratch(spark)
+    suppliers = a.view(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("no "), F.col("s_suppkey").cast("string")).alias("player_a"),
+        F.concat(F.lit("no "), (F.col("s_suppkey") + 2).cast("string")).alias("player_b"),
+        "s_nationkey", F.col("s_suppkey").cast("string").alias("first_game"),
+        (F.col("s_suppkey") + F.col("s_nationkey")).cast("string").alias("last_game"),
+    )
+    tenures = suppliers.select("player_a", "player_b", "first_game", "last_game")
+    players = F.explode(F.array("player_a", "player_b")).alias("player_last_name")
+    report = suppliers.select("player_a", "player_b", players, F.col("s_nationkey").alias("value"))
+    sinks.write_reports(report, tenures, root)
+    # Folder names are text, whatever they look like.
+    schema = f"{report.schema.simpleString()[7:-1].replace(':', ' ')}, pair string, player string, games string"
+    read = spark.read.schema(schema).parquet(root)
+    return read.select("pair", "player", "games", "player_a", "value")
+
+
+REPORT_PATHS_SQL = """
+with pairs as (select 'no ' || cast(s_suppkey as varchar) as player_a, 'no ' || cast(s_suppkey + 2 as varchar) as player_b,
+  cast(s_suppkey as varchar) as x, cast(s_suppkey + 2 as varchar) as y, s_nationkey,
+  cast(s_suppkey as varchar) || '-' || cast(s_suppkey + s_nationkey as varchar) as games from supplier)
+select least(x, y) || '_' || greatest(x, y) as pair, unnest([player_a, player_b]) as player, games, player_a,
+  s_nationkey as value from pairs"""
+
 QUERIES = {
+    "report_paths": (report_paths, REPORT_PATHS_SQL),
     "box_skaters": (box_skaters, BOX_SKATERS_SQL),
     "box_goalies": (box_goalies, BOX_GOALIES_SQL),
     "discovered_columns": (discovered_columns, DISCOVERED_SQL),

@@ -5,7 +5,7 @@ import pytest
 from icetally.plans.registry import REGISTERED
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITES = {"roundtrip_write"}
+WRITES = {"roundtrip_write", "report_paths"}
 
 
 @pytest.mark.parametrize("name", [n for n in REGISTERED if n not in WRITES])
@@ -42,6 +42,7 @@ def test_season_increment_prunes_the_stored_side(spark):
 SCANS = {
     "batches": 3, "card_batches": 6, "append_summary": 2, "versus_opponent": 4, "tenure_games": 6, "impact_report": 8,
     "rank_test": 2, "box_stats": 2, "profile": 2,
+    "outcome_flags": 2, "page_attributes": 4,
 }
 
 
