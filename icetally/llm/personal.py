@@ -4,7 +4,8 @@ The fixed patterns give the seeds. The words around seeds are lexical patterns;
 mentions, seeds and look-alikes that the fixed patterns miss, joins instances with the patterns
 that they occur in. Confidence goes back and forth in Spark: a pattern is as good as its instances
 and an instance as good as its patterns together, and look-alikes that confident patterns
-agree on are added. The fixed matches always stay.
+agree on are added. Those are seeds of the next generation, whose patterns find more, until a
+generation adds nothing. The fixed matches always stay.
 """
 
 from __future__ import annotations
@@ -177,30 +178,17 @@ def found_rows(docs: DataFrame) -> DataFrame:
     return numbered.mapInArrow(find, FOUND)
 
 
-def confident_instances(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(``instance``, ``kind``) of look-alikes that the patterns agree on.
-
-    Copies of a text add nothing: the graph has each pair of context and instance once.
-    """
-    mention = found.select(F.explode("mentions").alias("m"))
-    edges = mention.select(
-        F.explode("m.contexts").alias("context"), F.col("m.instance").alias("instance"),
-        F.explode("m.could_be").alias("kind"), (F.col("m.seed") >= 0).alias("seed"),
-    )
-    edges = edges.groupBy("context", "instance", "kind").agg(F.max("seed").alias("seed"))
-    edges = scratch.write(edges, "edges")
-    # Contexts are patterns for a kind once enough seeds of it have been seen there; all instances
-    # of the context, of any kind, count against it.
+def generation(edges: DataFrame, known: DataFrame, scratch: Scratch, number: int, rounds: int) -> DataFrame:
+    """(``instance``, ``kind``) that the patterns of the ``known`` ones agree on, without those."""
+    # Contexts are patterns for a kind once enough known instances of it have been seen there; all
+    # instances of the context, of any kind, count against it.
     totals = edges.groupBy("context").agg(F.countDistinct("instance").alias("total"))
-    seeds = edges.where("seed").groupBy("context", "kind").agg(F.count("*").alias("seeds"))
-    patterns = scratch.write(
-        seeds.where(F.col("seeds") >= SUPPORT).join(totals, "context"), "patterns"
-    )
-    open_edges = edges.where("not seed").join(
-        edges.where("seed").select("instance", "kind").distinct(), ["instance", "kind"], "left_anti"
-    )
+    seeds = edges.join(known, ["instance", "kind"], "left_semi").groupBy("context", "kind")
+    seeds = seeds.agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+    patterns = scratch.write(seeds.join(totals, "context"), f"patterns-{number}")
+    open_edges = edges.join(known, ["instance", "kind"], "left_anti")
     open_edges = scratch.write(
-        open_edges.join(patterns.select("context", "kind"), ["context", "kind"]), "open-edges"
+        open_edges.join(patterns.select("context", "kind"), ["context", "kind"]), f"open-{number}"
     )
     score = None
     for n in range(rounds):
@@ -218,8 +206,40 @@ def confident_instances(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS
         )
         votes = open_edges.join(confidence, ["context", "kind"]).groupBy("instance", "kind")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))
-        score = scratch.write(votes.agg((1 - doubt).alias("score")), f"score-{n}")
-    return score.where(F.col("score") >= CONFIDENCE).select("instance", "kind")
+        score = scratch.write(votes.agg((1 - doubt).alias("score")), f"score-{number}-{n}")
+    fresh = score.where(F.col("score") >= CONFIDENCE).select("instance", "kind")
+    fresh = scratch.write(fresh, f"fresh-{number}")
+    scratch.drop(f"patterns-{number}", f"open-{number}", *(f"score-{number}-{n}" for n in range(rounds)))
+    return fresh
+
+
+def confident_instances(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """(``instance``, ``kind``) of look-alikes that the patterns agree on.
+
+    Copies of a text add nothing: the graph has each pair of context and instance once. What a
+    generation accepts is known to the next one and makes patterns there, until nothing is added;
+    each generation but the last adds an instance, so it ends.
+    """
+    mention = found.select(F.explode("mentions").alias("m"))
+    edges = mention.select(
+        F.explode("m.contexts").alias("context"), F.col("m.instance").alias("instance"),
+        F.explode("m.could_be").alias("kind"), (F.col("m.seed") >= 0).alias("seed"),
+    )
+    edges = edges.groupBy("context", "instance", "kind").agg(F.max("seed").alias("seed"))
+    edges = scratch.write(edges, "edges")
+    known = edges.where("seed").select("instance", "kind").distinct()
+    known = scratch.write(known, "known-0")
+    accepted, number = known.limit(0), 0
+    while True:
+        fresh = generation(edges, known, scratch, number, rounds)
+        if fresh.isEmpty():
+            return accepted
+        number += 1
+        accepted = scratch.write(accepted.unionByName(fresh), f"accepted-{number}")
+        known = scratch.write(known.unionByName(fresh), f"known-{number}")
+        scratch.drop(f"known-{number - 1}", f"fresh-{number - 1}")
+        if number > 1:
+            scratch.drop(f"accepted-{number - 1}")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -89,6 +89,29 @@ def test_contexts_find_unseen_numbers(spark):
     assert added == {d: [x] for d, x in hidden.items()}
 
 
+def test_found_numbers_make_the_next_generations_patterns(spark):
+    """Only numbers of the first generation stand in the second context."""
+    rnd = random.Random(9)
+    words = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    fill = lambda n: " ".join(rnd.sample(words, n))
+    data = [(i, f"{fill(4)} please call +1 (555) 555-{1000 + i} any time {fill(3)}") for i in range(60)]
+    first = [str(2_000_000_000 + 7919 * i) for i in range(30)]
+    for i, number in enumerate(first):
+        data.append((100 + i, f"{fill(3)} please call {number} any time {fill(2)}"))
+        data.append((200 + i, f"{fill(3)} my mobile {number} after lunch {fill(2)}"))
+    data.append((300, f"{fill(3)} my mobile 3123456789 after lunch {fill(2)}"))
+    data.append((301, f"{fill(3)} other thing 3987654321 entirely different {fill(2)}"))
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    texts = dict(data)
+    added = {
+        r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["stop"]] for s in r["added"]]
+        for r in personal.personal_data(frame).collect()
+        if r["added"]
+    }
+    want = {100 + i: [n] for i, n in enumerate(first)} | {200 + i: [n] for i, n in enumerate(first)}
+    assert added == want | {300: ["3123456789"]}
+
+
 def test_query_columns(spark, tmp_path):
     data, _ = make()
     spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
