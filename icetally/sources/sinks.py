@@ -111,8 +111,13 @@ def pair_name(player_a: Column, player_b: Column) -> Column:
 
 
 def write_pairs(df: DataFrame, path: str, parts: list[str]) -> None:
-    """Replace the folders of the pairs in ``df`` and leave those of other pairs."""
-    spread = df.repartition(*[F.col(p) for p in parts])
+    """Replace the folders of the pairs in ``df`` and leave those of other pairs.
+
+    A folder costs far more than its rows, so folders are dealt over a fixed number of tasks, which
+    adaptive execution doesn't join by size.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(tasks, *[F.col(p) for p in parts])
     writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*parts).parquet(path)
 
