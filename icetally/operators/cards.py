@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import bound
+
 # Patterns of the card pages.
 HEADER = {
     "id": r'(?s)<div id="player_header">(.*?)</div>',
@@ -30,17 +32,40 @@ def _area(pattern: str) -> Column:
     return F.array_join(_all(F.col("html"), pattern, 0), "\n")
 
 
+def _named(names: Column, values: Column) -> Column:
+    """Names with the values at their places."""
+    return bound(
+        values, lambda found: F.transform(names, lambda n, i: F.struct(n.alias("name"), F.get(found, i).alias("value")))
+    )
+
+
 def _bio(html_area: Column) -> Column:
-    titles = F.transform(_all(html_area, BIO_TITLE, 1), F.lower)
-    results = F.transform(_all(html_area, BIO_RESULT, 1), F.lower)
-    return F.transform(titles, lambda t, i: F.struct(t.alias("name"), F.get(results, i).alias("value")))
+    def listed(area: Column) -> Column:
+        titles = F.transform(_all(area, BIO_TITLE, 1), F.lower)
+        return _named(titles, F.transform(_all(area, BIO_RESULT, 1), F.lower))
+
+    return bound(html_area, listed)
 
 
 def _stats(position: str) -> Column:
     pattern = GOALIE_STAT if position == "goalie" else SKATER_STAT
     area = _area(GOALIE_AREA if position == "goalie" else SKATER_AREA)
-    names, values = _all(area, pattern, 1), _all(area, pattern, 2)
-    return F.transform(names, lambda n, i: F.struct(n.alias("name"), F.get(values, i).alias("value")))
+    return bound(area, lambda text: _named(_all(text, pattern, 1), _all(text, pattern, 2)))
+
+
+def _last_of_each(entries: Column) -> Column:
+    """The last entry of each name. Its first position in the reversed list; all lists are made once."""
+
+    def picked(backwards: Column, names: Column) -> Column:
+        return F.transform(
+            F.array_distinct(names),
+            lambda name: F.get(backwards, (F.array_position(names, name) - 1).cast("int")),
+        )
+
+    def named(backwards: Column) -> Column:
+        return bound(F.transform(backwards, lambda e: e["name"]), lambda names: picked(backwards, names))
+
+    return bound(F.reverse(entries), named)
 
 
 def card_rows(pages: DataFrame, position: str, header_by: str) -> DataFrame:
@@ -51,19 +76,12 @@ def card_rows(pages: DataFrame, position: str, header_by: str) -> DataFrame:
     """
     full = F.nullif(F.regexp_extract("html", HEADER[header_by], 1), F.lit(""))
     entries = F.concat(_bio(_area(BIO_TABLE)), _stats(position))
-    # The first position of a name in the reversed list is its last one; one scan per attribute.
-    backwards = F.reverse(entries)
-    names = F.transform(backwards, lambda e: e["name"])
-    last = F.transform(
-        F.array_distinct(names),
-        lambda name: F.get(backwards, (F.array_position(names, name) - 1).cast("int")),
-    )
     return pages.select(
         F.col("id").alias("player_id"),
         full.alias("player_full_name"),
         F.split_part(full, F.lit(" "), F.lit(1)).alias("player_first_name"),
         F.regexp_replace(full, "^[^ ]* ?", "").alias("player_last_name"),
-        F.map_from_entries(last).alias("attributes"),
+        F.map_from_entries(_last_of_each(entries)).alias("attributes"),
     )
 
 
