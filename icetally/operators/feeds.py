@@ -6,9 +6,10 @@ document can fan out to are its own.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schemas import (
     BOX_SCORE,
@@ -22,9 +23,24 @@ from ..schemas import (
 SIDES = ("away", "home")
 
 
-def parse(payloads: DataFrame, schema: str) -> DataFrame:
-    """Read the JSON payload with a declared schema; absent keys are null."""
-    return payloads.withColumn("doc", F.from_json("payload", schema))
+def parse(payloads: DataFrame, schema: str, paths: Sequence[str] = ()) -> DataFrame:
+    """Read the JSON payload with a declared schema, or what of it lies at ``paths``; absent keys are
+    null.
+
+    The document is generated, a row for each row: what filters or explodes it later cannot be moved
+    below the parsing, which would repeat it, and the writing of the payload, for each condition.
+    """
+    kind = narrowed(T.StructType.fromDDL(schema), paths) if paths else schema
+    return payloads.select("*", F.explode(F.array(F.from_json("payload", kind))).alias("doc"))
+
+
+def narrowed(kind: T.DataType, paths: Sequence[str]) -> T.DataType:
+    """The fields of a structure that lead to the dotted ``paths``, and all that lies there."""
+    if "" in paths:
+        return kind
+    steps = [path.partition(".") for path in paths]
+    below = {f.name: [rest for first, _, rest in steps if first == f.name] for f in kind.fields}
+    return T.StructType([T.StructField(f.name, narrowed(f.dataType, below[f.name])) for f in kind.fields if below[f.name]])
 
 
 # ---- box score payloads --------------------------------------------------------------------
@@ -104,9 +120,9 @@ def readable_rows(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def parsed(rows: DataFrame, schema: str) -> DataFrame:
+def parsed(rows: DataFrame, schema: str, paths: Sequence[str] = ()) -> DataFrame:
     """The rows if they hold parsed documents already, else parsed here."""
-    return rows if "doc" in rows.columns else parse(rows, schema)
+    return rows if "doc" in rows.columns else parse(rows, schema, paths)
 
 
 def game_header(payloads: DataFrame) -> DataFrame:
@@ -221,9 +237,10 @@ def finished(docs: DataFrame) -> DataFrame:
     return docs.where(~no_data & (F.col("doc.gameData.status.detailedState") == "Final"))
 
 
-def complete_feeds(payloads: DataFrame) -> DataFrame:
-    """Payloads of finished games, parsed."""
-    return finished(parsed(payloads, LIVE_FEED))
+def complete_feeds(payloads: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
+    """Payloads of finished games, parsed, or what lies at ``paths`` of them beside the state."""
+    read = ["messageNumber", "gameData.status", *paths] if paths else ()
+    return finished(parsed(payloads, LIVE_FEED, read))
 
 
 def _truth(text: Column) -> Column:

@@ -6,6 +6,7 @@ the checking SQL reads the same rows directly.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -176,8 +177,9 @@ def feed_payloads(spark: SparkSession, sf_dir: str, all_final: bool = True) -> D
       'stats', named_struct('skaterStats', {skater}, 'goalieStats', {goalie}))"""
 
     def by_key(value: str, first: int, last: int) -> str:
-        entry = f"struct('ID' || cast({number} as string), {value})"
-        return f"map_from_entries(transform(sequence({first}, {last}), k -> {entry}))"
+        # Listed, not transformed: a lambda's structures are built field by field without compiled code.
+        entry = f"'ID' || cast({number} as string), {value}"
+        return f"map({', '.join(re.sub(r'\bk\b', str(k), entry) for k in range(first, last + 1))})"
 
     def side(name: str, first: int, last: int) -> str:
         return f"""named_struct('teamStats', named_struct('teamSkaterStats',
@@ -234,14 +236,15 @@ def feed_payloads(spark: SparkSession, sf_dir: str, all_final: bool = True) -> D
 
 
 def complete_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.complete_feeds(feed_payloads(spark, sf_dir, all_final=False)).select(
+    payloads = feed_payloads(spark, sf_dir, all_final=False)
+    return feeds.complete_feeds(payloads, ["gameData.status"]).select(
         "id", F.col("doc.gameData.status.detailedState").alias("game_state")
     )
 
 
-def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed feeds, all of finished games."""
-    return feeds.parse(feed_payloads(spark, sf_dir), LIVE_FEED)
+def _finished(spark: SparkSession, sf_dir: str, *paths: str) -> DataFrame:
+    """Parsed feeds, all of finished games, or what lies at ``paths`` of them."""
+    return feeds.parse(feed_payloads(spark, sf_dir), LIVE_FEED, paths)
 
 
 def game_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +255,7 @@ GAMES = f"""with games as (select o_custkey, o_orderkey, g.* from orders
   join ({a.gameinfo_sql(a.DUCK)}) g on g.game_pk = {a.GAME_PK})"""
 NOTHING = "cast(null as varchar)"
 def periods_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.period_stats(_finished(spark, sf_dir))
+    return feeds.period_stats(_finished(spark, sf_dir, "gameData.game", "liveData.linescore"))
 
 
 def _period_values() -> dict[str, str]:
@@ -303,7 +306,7 @@ def _game_info_sql() -> str:
 
 
 def player_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.player_info(_finished(spark, sf_dir))
+    return feeds.player_info(_finished(spark, sf_dir, "gameData.players"))
 
 
 FOUR = "orders, lateral (select unnest(range(0, 4)) as k) x"
@@ -321,7 +324,7 @@ from {FOUR}"""
 
 
 def player_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.player_stats(_finished(spark, sf_dir))
+    return feeds.player_stats(_finished(spark, sf_dir, *[f"liveData.boxscore.teams.{side}.players" for side in feeds.SIDES]))
 
 
 def _player_stats_sql() -> str:
@@ -353,7 +356,7 @@ def _player_stats_sql() -> str:
 
 
 def officials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.officials(_finished(spark, sf_dir))
+    return feeds.officials(_finished(spark, sf_dir, "liveData.boxscore.officials"))
 
 
 OFFICIALS_SQL = """
@@ -364,7 +367,7 @@ from orders, lateral (select unnest(range(0, 2 + o_custkey % 2)) as i) x"""
 
 
 def array_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.feed_plays(_finished(spark, sf_dir))
+    return feeds.feed_plays(_finished(spark, sf_dir, "liveData.plays"))
 
 
 NO_PLAY_VALUES = ["description", "eventId", "periodType", "ordinalNum", "periodTimeRemaining", "dateTime", "goals"]
