@@ -47,6 +47,9 @@ MOST = 32
 """Customers of one dish in one restaurant that a sweep seats anew: all of them up to this number,
 beyond it that many, drawn at random."""
 
+CELLS = 1 << 20
+"""Tables, taken and free ones, that a sweep holds at once, and at least one dish."""
+
 MAIL = pa.schema(
     [("slot", pa.int64()), ("kind", pa.string()), ("sender", pa.int64()), ("data", pa.binary()),
      ("x", pa.list_(pa.float64()))]
@@ -108,7 +111,7 @@ class Pairs:
     def __init__(self, data: bytes):
         contexts, length, words, self.place, *self.numbers = unpack(data)
         self.contexts, self.words = np.cumsum(contexts), np.cumsum(words)
-        self.context = np.repeat(np.arange(len(length)), length)
+        self.context = np.repeat(np.arange(len(length), dtype="<u4"), length)
 
 
 class Seating:
@@ -163,19 +166,39 @@ class Seating:
             sizes = out
         return Seating(self.customers, keep_tables, sizes)
 
-    def sweep(self, strength: np.ndarray, discount: float, rng: np.random.Generator, most: int = MOST) -> "Seating":
+    def sweep(
+        self, strength: np.ndarray, discount: float, rng: np.random.Generator, most: int = MOST, cells: int = CELLS
+    ) -> "Seating":
         """Take customers from their tables and seat them anew. ``strength`` of a dish: the weight
-        of a new table, (concentration + discount * tables of the restaurant) * parent's probability."""
+        of a new table, (concentration + discount * tables of the restaurant) * parent's probability.
+        No dish's seats change another's odds, so they are taken some at a time, about ``cells``
+        tables together."""
         if not len(self.customers):
             return self
         order = np.argsort(-self.customers, kind="stable")
-        c, t, a = self.customers[order], self.tables[order].copy(), strength[order]
+        room = self.tables[order] + np.minimum(self.customers[order], most)
+        part = (np.cumsum(room) - room) // cells
+        tables, parts = np.empty(len(order), dtype=np.int64), []
+        firsts = self.firsts()
+        for _, s, e in ranges(part):
+            own = order[s:e]
+            tables[own], sizes = self.swept(own, firsts[own], strength[own], discount, rng, most)
+            parts.append(sizes)
+        sizes = np.concatenate(parts)
+        stops = np.cumsum(tables[order])
+        firsts[order] = stops - tables[order]
+        return Seating(self.customers, tables, sizes[np.repeat(firsts, tables) + ragged(tables)])
+
+    def swept(
+        self, own: np.ndarray, old_firsts: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator, most: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of tables and the sizes of some dishes, by falling customers, after a sweep."""
+        c, t = self.customers[own], self.tables[own]
         steps = np.minimum(c, most)
         room = t + steps
         first = np.cumsum(room) - room
         flat = np.zeros(room.sum(), dtype=np.int64)
-        old = np.repeat(self.firsts()[order], t) + ragged(t)
-        flat[np.repeat(first, t) + ragged(t)] = self.sizes[old]
+        flat[np.repeat(first, t) + ragged(t)] = self.sizes[np.repeat(old_firsts, t) + ragged(t)]
         free = first + t
         for k in range(int(steps[0])):
             n = int(np.searchsorted(-steps, -k, side="left"))  # dishes with more than k steps
@@ -204,14 +227,7 @@ class Seating:
             part[free[opened]] = 1
             free[opened] += 1
             t[opened] += 1
-        of = np.repeat(np.arange(len(c)), room)
-        there = flat > 0
-        sizes, of = flat[there], of[there]
-        back = np.argsort(order, kind="stable")
-        firsts = np.cumsum(t) - t
-        tables = t[back]
-        sizes = sizes[np.repeat(firsts[back], tables) + ragged(tables)]
-        return Seating(self.customers, tables, sizes)
+        return t, flat[flat > 0]
 
 
 def ragged(lengths: np.ndarray) -> np.ndarray:
@@ -282,6 +298,7 @@ def tokenised(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[
     def block(number: int) -> tuple:
         hashes = np.array([END, *(xxhash.xxh64_intdigest(w) for w in list(ids)[1:])], dtype="<u8")
         words, place = np.unique(hashes, return_inverse=True)
+        place = place.astype("<u4")
         # Frequent words come early, so numbers in order of appearance are small ones.
         seen = np.concatenate(parts)
         sizes = np.array(lengths, dtype="<i8")
@@ -290,7 +307,7 @@ def tokenised(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[
         names = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
         no_name = np.array([d is None for d in doc_ids], dtype="<u1")
         data = pack(
-            steps(words), known.astype("<u8"), place.astype("<u4"), seen.astype("<u4"), sizes, learned, names, no_name
+            steps(words), known.astype("<u8"), place, seen, sizes, learned, names, no_name
         )
         return number, "block", number, data, [float(len(seen)), float(known.sum()), float(learned.sum())]
 
@@ -299,8 +316,8 @@ def tokenised(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[
     for doc_id, text, learn in rows(batches, "doc_id", "text", "learn"):
         # bytes.split() takes 0x1C to 0x1F for no white space, and 0x0B and 0x0C for some.
         words = text.lower().split()
-        own = np.zeros(len(words) + 1, dtype=np.int64)
-        own[:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        own = np.zeros(len(words) + 1, dtype="<u4")
+        own[:-1] = np.fromiter(map(ids.__getitem__, words), "<u4", len(words))
         parts.append(own)
         lengths.append(len(own))
         learns.append(bool(learn))
@@ -319,19 +336,24 @@ class Block:
 
     def __init__(self, data: bytes, heavy: np.ndarray, slots: int):
         words, self.known, place, seen, self.sizes, self.learned, self.names, self.no_name = unpack(data)
-        self.words, self.tokens = np.cumsum(words), place[seen].astype(np.int64)
+        self.words, self.tokens = np.cumsum(words), place[seen]
         first = np.cumsum(self.sizes) - self.sizes
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[first] = len(self.words)  # the start of a text
-        hashes = np.append(self.words, np.uint64(START))
-        key, self.pair = np.unique(before << 32 | self.tokens, return_inverse=True)
-        u, w = hashes[key >> 32], self.words[key & 0xFFFFFFFF]
+        del seen, place
+        key = np.empty(len(self.tokens), dtype=np.int64)
+        key[1:] = self.tokens[:-1]
+        key[first] = len(self.words)  # the start of a text
+        key <<= 32
+        key |= self.tokens
+        key, pair = np.unique(key, return_inverse=True)
+        self.pair = pair.astype("<u4")
+        del pair
+        u, w = np.append(self.words, np.uint64(START))[key >> 32], self.words[key & 0xFFFFFFFF]
         counts = np.bincount(self.pair[np.repeat(self.learned, self.sizes) > 0], minlength=len(key))
         slot = pair_slots(u, w, heavy, slots)
+        del key
         # Keys are in the order of (u, w) already, so slots are brought together, and stay sorted.
         order = np.argsort(slot.astype(np.uint16) if slots < 1 << 16 else slot, kind="stable")
-        self.place = np.empty(len(order), dtype=np.int64)
+        self.place = np.empty(len(order), dtype="<u4")
         self.place[order] = np.arange(len(order))
         self.u, self.w, self.counts, self.slot = u[order], w[order], counts[order], slot[order]
 
@@ -361,8 +383,10 @@ def each_slot(make: Callable[[int, dict], Iterator[tuple]], schema: pa.Schema =
     """A function of a slot's mail for ``applyInArrow``; ``make`` gets the rows by kind, by sender."""
 
     def take(table: pa.Table) -> pa.Table:
-        mail: dict[str, list[tuple[int, bytes]]] = {}
-        for kind, sender, data in zip(*(table[c].to_pylist() for c in ("kind", "sender", "data"))):
+        mail: dict[str, list[tuple[int, memoryview]]] = {}
+        # Letters are read where Arrow holds them, not copied.
+        letters = (memoryview(d.as_buffer()) for d in table["data"])
+        for kind, sender, data in zip(*(table[c].to_pylist() for c in ("kind", "sender")), letters):
             mail.setdefault(kind, []).append((sender, data))
         for letters in mail.values():
             letters.sort(key=lambda x: x[0])
@@ -410,29 +434,33 @@ def merge_pairs(slot: int, mail: dict, slots: int, heavy: np.ndarray) -> Iterato
     the parent the tables of each word: of pairs that occur once, which never change, and of others."""
     parts = [(number, Pairs(d)) for number, d in mail["ask"]]
     contexts, words = (np.unique(np.concatenate(x)) for x in zip(*((p.contexts, p.words) for _, p in parts)))
-    key = np.concatenate(
-        [
-            np.searchsorted(contexts, p.contexts)[p.context] << 32 | np.searchsorted(words, p.words)[p.place]
-            for _, p in parts
-        ]
-    )
-    n = np.concatenate([p.numbers[0] for _, p in parts]).astype(np.int64)
+    key, stop = np.empty(sum(len(p.place) for _, p in parts), dtype=np.int64), 0
+    for _, p in parts:
+        own = key[stop : stop + len(p.place)]
+        own[:] = np.searchsorted(contexts, p.contexts)[p.context]
+        own <<= 32
+        own |= np.searchsorted(words, p.words)[p.place]
+        stop += len(own)
+        p.words = p.place = None
+    n = np.concatenate([p.numbers.pop(0) for _, p in parts])
     order = np.argsort(key, kind="stable")  # a merge: each block's pairs are sorted
     key = key[order]
     first = np.diff(key, prepend=-1) != 0
     new = np.flatnonzero(first)
-    n = np.add.reduceat(n[order], new) if len(new) else n
+    n = np.add.reduceat(n[order], new, dtype=np.int64) if len(new) else n.astype(np.int64)
+    key = key[new]
     # Where each asked pair is among those that were learned, past their end if it was not.
     kept = n > 0
-    place_of = np.where(kept, np.cumsum(kept) - 1, kept.sum())
-    where = np.empty(len(key), dtype=np.int64)
-    where[order] = place_of[np.cumsum(first) - 1]
-    new, n = new[kept], n[kept]
-    u, w = contexts[key[new] >> 32], words[key[new] & 0xFFFFFFFF]
+    place_of = np.where(kept, np.cumsum(kept) - 1, kept.sum()).astype("<u4")
+    where = np.empty(len(order), dtype="<u4")
+    where[order] = np.repeat(place_of, np.diff(np.append(new, len(order))))
+    del order, first, new, place_of
+    key, n = key[kept], n[kept]
+    u, w = contexts[key >> 32], words[key & 0xFFFFFFFF]
     listed = np.unique(u)
     stop = 0
     for number, p in parts:
-        start, stop = stop, stop + len(p.place)
+        start, stop = stop, stop + len(p.context)
         # Places ascend but for the unknown ones, which are listed on their own.
         own = where[start:stop]
         unknown = np.flatnonzero(own == kept.sum())
@@ -443,9 +471,10 @@ def merge_pairs(slot: int, mail: dict, slots: int, heavy: np.ndarray) -> Iterato
             find(heavy, p.contexts).astype("<u4"),
         )
         yield slot, "places", number, places, None
-    yield slot, "pairs", slot, pack_pairs(u, w, n.astype("<u8")), None
+    names, context = np.unique(key >> 32, return_inverse=True)
+    # Answers go by places, so they need the numbers of the pairs, not their names.
+    yield slot, "pairs", slot, pack(np.bincount(context, minlength=len(names)).astype("<u4"), n.astype("<u8")), None
     # The rounds need the pairs that occur several times, and of the others how many there are.
-    names, context = np.unique(key[new] >> 32, return_inverse=True)
     often = n > 1
     asked, place = np.unique(w[often], return_inverse=True)
     once = np.bincount(context[~often], minlength=len(names))
@@ -461,7 +490,7 @@ def merge_pairs(slot: int, mail: dict, slots: int, heavy: np.ndarray) -> Iterato
     yield slot, "seats", slot, pack(seats.tables.astype("<u4"), seats.sizes.astype("<u8")), None
     is_heavy = np.isin(u, heavy)
     light = ~is_heavy
-    _, place, tables = np.unique(key[new][light] >> 32, return_inverse=True, return_counts=True)
+    _, place, tables = np.unique(key[light] >> 32, return_inverse=True, return_counts=True)
     customers = np.bincount(place, weights=n[light], minlength=len(tables)).astype(np.int64)
     yield from shape_letters(slot, customers, tables, n[light])
     at = np.searchsorted(heavy, u[is_heavy])
@@ -566,15 +595,16 @@ def seat_pairs(
 def answer_pairs(slot: int, mail: dict, heavy: np.ndarray, heavy_state: np.ndarray) -> Iterator[tuple]:
     """For each block its pairs' counts and tables, and its preceding words' totals, per sample.
     ``heavy_state``: customers of the heavy restaurants, and below their tables per sample."""
-    pairs = Pairs(mail["pairs"][0][1])
-    count, kinds = pairs.numbers[0].astype(np.int64), len(pairs.contexts)
-    per_context = [np.bincount(pairs.context, weights=count, minlength=kinds).astype(np.int64)]
+    length, count = unpack(mail["pairs"][0][1])
+    count, kinds = count.astype(np.int64), len(length)
+    context = np.repeat(np.arange(kinds, dtype="<u4"), length)
+    per_context = [np.bincount(context, weights=count, minlength=kinds).astype(np.int64)]
     per_pair = [count]
     for _, data in mail["sample"]:
         tables = np.ones(len(count), dtype=np.int64)
         tables[count > 1] = unpack(data)[0]
         per_pair.append(tables)
-        per_context.append(np.bincount(pairs.context, weights=tables, minlength=kinds).astype(np.int64))
+        per_context.append(np.bincount(context, weights=tables, minlength=kinds).astype(np.int64))
     # Past the end: a pair or a preceding word that isn't known.
     per_pair = [np.append(x, 0) for x in per_pair]
     per_context = [np.append(x, 0) for x in per_context]
@@ -621,7 +651,7 @@ def score_block(
     letters = [unpack(d) for _, d in mail["pair"]]
     pair_count, *rest = (np.concatenate(x) for x in zip(*letters))
     tables, length, customers, own = rest[:n], rest[n], rest[n + 1], rest[n + 2 :]
-    context = np.repeat(np.arange(len(length)), length)
+    context = np.repeat(np.arange(len(length), dtype="<u4"), length)
     word = np.searchsorted(block.words, block.w)
     chance = np.zeros(len(context))
     for k, (discount, strength) in enumerate(levels):
@@ -632,7 +662,7 @@ def score_block(
     learned, kinds = totals
     base = np.log10((count.astype(float) + 1) / (learned + kinds + 1))[block.tokens]
     first = np.cumsum(block.sizes) - block.sizes
-    known = np.add.reduceat((count > 0)[block.tokens].astype(np.int64), first)
+    known = np.add.reduceat((count > 0)[block.tokens], first, dtype=np.int64)
     names = [None if no else d for d, no in zip(block.names.tolist(), block.no_name.tolist())]
     yield from zip(
         names, (block.learned > 0).tolist(), block.sizes.tolist(), known.tolist(),

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -153,6 +154,53 @@ def test_mixed_dishes_keep_their_customers():
         assert (np.add.reduceat(seats.sizes, seats.firsts()) == customers).all() and (seats.sizes > 0).all()
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_a_sweep_holds_some_dishes_at_a_time():
+    rng = np.random.default_rng(1)
+    customers = np.minimum(1 + rng.zipf(1.5, 300_000), 5000)
+    strength = rng.random(len(customers)) * 3
+    seats = py.Seating.at_one_table(customers).opened(strength, 0.7)
+    assert peak_mb(lambda: seats.sweep(strength, 0.7, rng)) < 80
+    swept = seats.sweep(strength, 0.7, rng)
+    assert (np.add.reduceat(swept.sizes, swept.firsts()) == customers).all() and (swept.sizes > 0).all()
+
+
+def test_parts_of_a_sweep_reach_the_exact_odds():
+    customers = np.tile([2, 5, 9], 1500)
+    seats, rng, seen = py.Seating.at_one_table(customers), np.random.default_rng(8), [Counter() for _ in range(3)]
+    for k in range(60):
+        seats = seats.sweep(np.full(len(customers), 1.3), 0.6, rng, cells=700)
+        assert (np.add.reduceat(seats.sizes, seats.firsts()) == customers).all()
+        for i in range(3) if k >= 20 else ():
+            seen[i].update(seats.tables[i::3].tolist())
+    for c, found in zip((2, 5, 9), seen):
+        for t, p in table_odds(c, 1.3, 0.6).items():
+            assert abs(found[t] / sum(found.values()) - p) < 0.02
+
+
+def test_merging_a_slot_takes_few_bytes_a_pair():
+    """20 blocks that ask for some 45,000 pairs each. What is kept of a pair to answer them is its count."""
+    rng = np.random.default_rng(1)
+    contexts, words = (np.sort(rng.integers(0, 2**63, n).astype("<u8")) for n in (20_000, 30_000))
+    asks, total = [], 0
+    for number in range(20):
+        key = np.unique(rng.integers(0, 20_000, 50_000) << 32 | np.minimum(rng.zipf(1.3, 50_000), 29_999))
+        counts = rng.integers(0, 3, len(key)).astype("<u4")
+        asks.append((number, py.pack_pairs(contexts[key >> 32], words[key & 0xFFFFFFFF], counts)))
+        total += len(key)
+    peak = peak_mb(lambda: list(py.merge_pairs(0, {"ask": asks}, 3, contexts[5:6])))
+    assert peak * 1e6 < 80 * total
+    stored = {kind: data for _, kind, _, data, _ in py.merge_pairs(0, {"ask": asks}, 3, contexts[5:6])}
+    assert len(stored["pairs"]) < total
+
+
 def test_arrays_come_back():
     rng = np.random.default_rng(0)
     arrays = [rng.integers(0, 2**63, 50).astype("<u8"), np.empty(0, "<u4"), rng.random(7).astype("<f4"), np.array([1, 0], "<u1")]
