@@ -1,7 +1,7 @@
 """Conversations in reply order, with quotations linked to what they quote.
 
 Quote marks give each line a level. Runs of one level are quoted passages; they are hashed, in
-normal form, as wholes, paragraphs and lines, and meet the messages' own passages in one pass over
+normal form, as wholes, paragraphs, lines and sentences, and meet the messages' own passages in one pass over
 each hash, where the latest earlier message with it is its source. A message answers the source of
 its outermost quotation and is placed right behind it. Quotations and the lines that introduce
 them are left out of the text.
@@ -22,7 +22,8 @@ from icetally.llm.shared import Scratch, batched, rows
 
 MARKS = re.compile(r"(?:[ \t]*>)+")
 INTRODUCTION = re.compile(r".*\b(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*")
-WHOLE, PARAGRAPH, LINE = 3, 2, 1
+SENTENCE_END = re.compile(r"""(?:(?<=[.!?])|(?<=[.!?]["')\]]))\s+|(?<=[。！？])""")
+WHOLE, PARAGRAPH, LINE, SENTENCE = 3, 2, 1, 0
 
 PARSED_ARROW = pa.schema(
     [("uid", pa.int64()), ("clean", pa.string()), ("n_quoted", pa.int64()),
@@ -56,19 +57,22 @@ def runs(lines: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
 
 
 def pieces(level: int, lines: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-    """A passage as a whole, by paragraphs and by lines, each piece once: case and spaces
-    don't count, so that other line breaks and indents give the same hash."""
+    """A passage as a whole, by paragraphs, by lines and by the sentences of its paragraphs, each
+    piece once: case and spaces don't count, so that other line breaks and indents give the same
+    hash."""
     paragraphs: list[list[str]] = [[]]
     for line in lines:
         if line.strip():
             paragraphs[-1].append(line)
         elif paragraphs[-1]:
             paragraphs.append([])
+    joined = [" ".join(p) for p in paragraphs]
     seen = set()
     for grain, parts in (
         (WHOLE, [" ".join(lines)]),
-        (PARAGRAPH, [" ".join(p) for p in paragraphs]),
+        (PARAGRAPH, joined),
         (LINE, lines),
+        (SENTENCE, [s for p in joined for s in SENTENCE_END.split(p)]),
     ):
         for part in parts:
             words = part.lower().split()
@@ -113,7 +117,8 @@ def parsed(messages: DataFrame) -> DataFrame:
 def quotations(messages: DataFrame, read: DataFrame, scratch: Scratch) -> DataFrame:
     """The source of each quoting message and level: ``uid``, ``level``, ``source``, ``source_turn``.
 
-    The best piece counts: wholes before paragraphs before lines, then the longest, then the latest.
+    The best piece counts: wholes before paragraphs before lines before sentences, then the
+    longest, then the latest.
     """
     place = messages.select("uid", "conv_id", "turn")
     piece = read.select("uid", F.explode("passages").alias("p")).select("uid", "p.*")

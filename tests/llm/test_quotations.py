@@ -44,6 +44,21 @@ def test_threads(spark):
     assert got[2, 1]["reply_to"] is None
 
 
+def test_sentences_of_a_paragraph_that_is_wrapped_anew(spark):
+    source = "Heat the oven first. Then knead the dough for ten minutes!\nLet it rest (in a bowl). Bake it."
+    rows = [
+        (1, 0, "user", source),
+        (1, 1, "user", "Let it rest, they said.\nNothing more."),
+        (1, 2, "user", "> Then knead the\n> dough for ten minutes! Let it\n> rest (in a bowl).\n\nTen?"),
+        (1, 3, "user", "> ten minutes! Let it\n\nNo whole sentence."),
+    ]
+    got = {r["turn"]: r for r in run(spark, rows)}
+    assert [got[t]["reply_to"] for t in range(4)] == [None, None, 0, None]
+    assert got[2]["text"] == "Ten?" and got[2]["depth"] == 1
+    levels = {(g, w) for _, g, w, _, _ in q.pieces(0, source.split("\n"))}
+    assert levels == {(q.WHOLE, 19), (q.LINE, 11), (q.LINE, 8), (q.SENTENCE, 4), (q.SENTENCE, 7), (q.SENTENCE, 6), (q.SENTENCE, 2)}
+
+
 def brute(rows):
     """Place of each message by walking the tree of whole-message quotations."""
     places = {}
