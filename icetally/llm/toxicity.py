@@ -3,7 +3,8 @@
 A bidirectional gated recurrent network reads windows of words; each word comes in as a hashed word
 vector, the mean vector of its character trigrams, and its hashed log-odds in the training
 rows. Attention pools the states of a window into one logit, and a document has that of its worst
-window; every overlapping window of the whole text is scored. Training uses a bounded sample of
+window; windows overlap by half, start at every 16th word and at the last place, and cover every
+word of the whole text. Training uses a bounded sample of
 the labelled rows: word statistics and windows are made by Spark, the weights on the driver.
 """
 
