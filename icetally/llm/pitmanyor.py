@@ -3,8 +3,8 @@
 Each preceding word is a restaurant, and all of them share one parent, the restaurant of single
 words, whose base is uniform over the known words and one unknown word. A word's tables in a
 restaurant are its customers in the parent. Gibbs sampling takes a customer from its table and
-seats it anew; discount and concentration of both levels are sampled too. Probabilities are
-averaged over the samples after the burn-in.
+seats it anew, or all customers of a frequent word together; discount and concentration of both
+levels are sampled too. Probabilities are averaged over the samples after the burn-in.
 
 Work is dealt by hashes: restaurants over *slots*, words of the parent over slots of their own, and
 the two send each other numbers of tables and probabilities once a round. Within a round each slot
@@ -37,15 +37,18 @@ END, START = xxhash.xxh64_intdigest(b" end"), 2**64 - 1
 BLOCK_TOKENS = 2 << 20
 """Tokens that a worker sends in one block, and at least one document."""
 
-SLOT_TOKENS = 3 << 20
+SLOT_TOKENS = 5 << 19
 """Tokens of the corpus for each slot."""
 
 ROUNDS, BURN_IN, SWEEPS = 3, 1, 1
 """Rounds in all, rounds that are not averaged, and sweeps of the pairs in each round."""
 
 MOST = 32
-"""Customers of one dish in one restaurant that a sweep seats anew: all of them up to this number,
-beyond it that many, drawn at random."""
+"""Customers of one dish in one restaurant that a sweep seats one by one. Those of larger dishes are
+dealt over the tables all at once."""
+
+DEALS, MARKS = 4, 10.0
+"""How often a sweep deals a large dish, and marks for each customer that a table's weight is worth."""
 
 CELLS = 1 << 20
 """Tables, taken and free ones, that a sweep holds at once, and at least one dish."""
@@ -143,28 +146,24 @@ class Seating:
         return Seating(customers, tables, sizes)
 
     def opened(self, strength: np.ndarray, discount: float, most: int = MOST) -> "Seating":
-        """As a start, dishes with more customers than a sweep seats get the tables that seating
-        them one after the other gives on average."""
+        """As a start, dishes with more customers than a sweep seats one by one get about the tables
+        that they have on average: their seats are a Poisson number of tables, strength / discount *
+        (1 - gap ** discount), and the gap is such that these have the dish's customers."""
         large = self.customers > most
         n, a = self.customers[large].astype(float), strength[large]
-        tables = np.minimum(1.0, n)
-        done = np.ones(len(n))
-        for k in range(1, 65):
-            upto = n ** (k / 64)
-            tables += (upto - done) * a / np.maximum(a + done - discount * tables, 1e-9)
-            done = upto
+        low, high = np.full(len(n), -700.0), np.zeros(len(n))  # of the gap's logarithm
+        for _ in range(50):
+            log_gap = (low + high) / 2
+            over = a * -np.expm1(log_gap) * np.exp((discount - 1) * log_gap) > n
+            low, high = np.where(over, log_gap, low), np.where(over, high, log_gap)
+        tables = 1 + a / discount * -np.expm1(discount * high)
         want = self.tables.copy()
-        want[large] = np.clip(np.rint(tables), 1, np.maximum(1, self.customers[large] // 2)).astype(np.int64)
+        want[large] = np.clip(np.rint(tables), 1, n).astype(np.int64)
         sizes = np.ones(want.sum(), dtype=np.int64)
         sizes[np.cumsum(want) - want] = self.customers - want + 1
-        keep_tables = np.where(large, want, self.tables)
         if not large.all():  # the others keep the tables that they have
-            of = np.repeat(~large, self.tables)
-            out = np.empty(keep_tables.sum(), dtype=np.int64)
-            kept = np.repeat(~large, keep_tables)
-            out[kept], out[~kept] = self.sizes[of], sizes[np.repeat(large, want)]
-            sizes = out
-        return Seating(self.customers, keep_tables, sizes)
+            sizes[np.repeat(~large, want)] = self.sizes[np.repeat(~large, self.tables)]
+        return Seating(self.customers, want, sizes)
 
     def sweep(
         self, strength: np.ndarray, discount: float, rng: np.random.Generator, most: int = MOST, cells: int = CELLS
@@ -172,17 +171,24 @@ class Seating:
         """Take customers from their tables and seat them anew. ``strength`` of a dish: the weight
         of a new table, (concentration + discount * tables of the restaurant) * parent's probability.
         No dish's seats change another's odds, so they are taken some at a time, about ``cells``
-        tables together."""
+        tables together: of up to ``most`` customers one by one, of more all at once."""
         if not len(self.customers):
             return self
         order = np.argsort(-self.customers, kind="stable")
-        room = self.tables[order] + np.minimum(self.customers[order], most)
-        part = (np.cumsum(room) - room) // cells
+        large = self.customers[order] > most
+        span = spans(self.customers[order], strength[order], discount, cells)
+        free = strength[order] / discount * span
+        # A deal has some more arrays of its tables.
+        room = np.where(large, 4 * (self.tables[order] + free.astype(np.int64)), self.tables[order] + self.customers[order])
+        part = (np.cumsum(room) - room) // cells * 2 + ~large
         tables, parts = np.empty(len(order), dtype=np.int64), []
         firsts = self.firsts()
         for _, s, e in ranges(part):
             own = order[s:e]
-            tables[own], sizes = self.swept(own, firsts[own], strength[own], discount, rng, most)
+            if large[s]:
+                tables[own], sizes = self.dealt(own, firsts[own], strength[own], discount, rng, span[s:e])
+            else:
+                tables[own], sizes = self.swept(own, firsts[own], strength[own], discount, rng)
             parts.append(sizes)
         sizes = np.concatenate(parts)
         stops = np.cumsum(tables[order])
@@ -190,18 +196,17 @@ class Seating:
         return Seating(self.customers, tables, sizes[np.repeat(firsts, tables) + ragged(tables)])
 
     def swept(
-        self, own: np.ndarray, old_firsts: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator, most: int
+        self, own: np.ndarray, old_firsts: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator
     ) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of tables and the sizes of some dishes, by falling customers, after a sweep."""
         c, t = self.customers[own], self.tables[own]
-        steps = np.minimum(c, most)
-        room = t + steps
+        room = t + c
         first = np.cumsum(room) - room
         flat = np.zeros(room.sum(), dtype=np.int64)
         flat[np.repeat(first, t) + ragged(t)] = self.sizes[np.repeat(old_firsts, t) + ragged(t)]
         free = first + t
-        for k in range(int(steps[0])):
-            n = int(np.searchsorted(-steps, -k, side="left"))  # dishes with more than k steps
+        for k in range(int(c[0])):
+            n = int(np.searchsorted(-c, -k, side="left"))  # dishes with more than k customers
             stop = first[n - 1] + room[n - 1]
             part = flat[:stop]
             left = np.cumsum(part)
@@ -229,6 +234,79 @@ class Seating:
             t[opened] += 1
         return t, flat[flat > 0]
 
+    def dealt(
+        self, own: np.ndarray, old_firsts: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator,
+        span: np.ndarray,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """As ``swept`` and with the same odds, but all customers of a dish move together.
+
+        The seats of a dish are those of customers who choose tables by weight, where weights are a
+        Poisson process of density a / gamma(1 - d) * x ** (-1 - d) * exp(-x). Given its customers a
+        taken table's weight is gamma(size - d). Tables get Poisson marks by their weights; those with
+        a mark, taken and free ones, deal their customers among each other by weight alone. The
+        customers of tables without one, mostly small ones, stay until the next time."""
+        dishes, t = len(own), self.tables[own]
+        sizes = self.sizes[np.repeat(old_firsts, t) + ragged(t)]
+        dish = np.repeat(np.arange(dishes), t)
+        marks = np.expm1(np.log1p(span) / discount)
+        for _ in range(DEALS):
+            weight = rng.standard_gamma(sizes - discount)
+            marked = rng.random(len(sizes)) < -np.expm1(-marks[dish] * weight)
+            free = rng.poisson(a / discount * span)
+            # A free table's weight: gamma(1 - d) / v, with v ** d uniform from 1 to 1 + span.
+            empty = rng.random(free.sum()) * np.repeat(span, free)
+            empty = rng.standard_gamma(1 - discount, len(empty)) / np.exp(np.log1p(empty) / discount)
+            stop = np.append(0.0, np.cumsum(empty))
+            last = np.cumsum(free)
+            low, high = stop[last - free], stop[last]
+            del empty
+            # The marked tables of a dish and, last, its free ones together.
+            length = np.bincount(dish[marked], minlength=dishes) + 1
+            end = np.cumsum(length) - 1
+            table = np.ones(end[-1] + 1, dtype=bool)
+            table[end] = False
+            weights = np.empty(len(table))
+            weights[table], weights[end] = weight[marked], high - low
+            moving = np.bincount(dish[marked], weights=sizes[marked], minlength=dishes).astype(np.int64)
+            got = divided(moving, weights, length, rng)
+            new = np.repeat(np.arange(dishes), got[end])
+            at = np.searchsorted(stop, low[new] + rng.random(len(new)) * (high - low)[new], side="right") - 1
+            at, new_sizes = np.unique(np.clip(at, (last - free)[new], last[new] - 1), return_counts=True)
+            sizes = np.concatenate((sizes[~marked], got[table], new_sizes))
+            dish = np.concatenate((dish[~marked], dish[marked], np.searchsorted(last, at, side="right")))
+            order = np.argsort(dish, kind="stable")
+            order = order[sizes[order] > 0]
+            sizes, dish = sizes[order], dish[order]
+        return np.bincount(dish, minlength=dishes), sizes
+
+
+def spans(customers: np.ndarray, a: np.ndarray, discount: float, cells: int) -> np.ndarray:
+    """(1 + marks) ** discount - 1 of each dish, by which ``a`` / discount grows to the mean number of
+    its free tables with a mark. Dishes with far fewer customers than these, or with more of them
+    than are held at once, get fewer marks, which changes no odds."""
+    most = np.minimum(8.0 * customers, cells)
+    return np.minimum((1 + MARKS) ** discount - 1, most * discount / np.maximum(a, 1e-300))
+
+
+def divided(n: np.ndarray, weights: np.ndarray, length: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """``n`` of each group dealt over its ``length`` places by weight: neighbours are taken together
+    until one place is left for each group, and what that gets is split again and again."""
+    if length.max() == 1:
+        return n
+    half = (length + 1) // 2
+    left = np.repeat(np.cumsum(length) - length, half) + 2 * ragged(half)
+    both = left + 1 < np.repeat(np.cumsum(length), half)
+    right = left[both] + 1
+    total = weights[left]
+    total[both] += weights[right]
+    upper = divided(n, total, half, rng)
+    out = np.empty(len(weights), dtype=np.int64)
+    out[left] = upper
+    share = np.divide(weights[right], total[both], out=np.zeros(len(right)), where=total[both] > 0)
+    out[right] = rng.binomial(upper[both], np.minimum(share, 1.0))
+    out[left[both]] -= out[right]
+    return out
+
 
 def ragged(lengths: np.ndarray) -> np.ndarray:
     """0, 1, ... for each length in turn."""

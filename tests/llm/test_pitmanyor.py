@@ -140,6 +140,51 @@ def test_gibbs_reaches_the_exact_odds(c, a, d):
         assert abs(seen[t] / total - p) < 0.02
 
 
+def mean_tables(c, a, d):
+    """As ``table_odds``, scaled at each customer."""
+    tables, odds = np.arange(c + 2), np.zeros(c + 2)
+    odds[1] = 1.0
+    for n in range(1, c):
+        odds = odds * np.maximum(n - d * tables, 0) + a * np.append(0.0, odds[:-1])
+        odds /= odds.sum()
+    return (odds * tables).sum()
+
+
+@pytest.mark.parametrize("c, a, d", [(100, 5.0, 0.8), (1000, 2.0, 0.8), (1000, 30.0, 0.8), (1000, 300.0, 0.8), (1000, 3000.0, 0.8)])
+def test_three_sweeps_seat_all_customers_of_large_dishes(c, a, d):
+    """As the rounds of the query do; with 32 customers a sweep and tables for half of them at most
+    these had 14, 16, 147, 486 and 531 tables instead of 7.5, 3.5, 39, 374 and 962."""
+    n, rng = 400, np.random.default_rng(5)
+    strength = np.full(n, a)
+    seats = py.Seating.at_one_table(np.full(n, c)).opened(strength, d)
+    for _ in range(3):
+        seats = seats.sweep(strength, d, rng)
+    assert abs(seats.tables.mean() / mean_tables(c, a, d) - 1) < 0.12
+
+
+@pytest.mark.parametrize("c, a, d", [(40, 0.5, 0.8), (60, 8.0, 0.7), (50, 200.0, 0.5), (5, 1.3, 0.8)])
+def test_deals_reach_the_exact_odds(c, a, d):
+    n, rng, seen = 800, np.random.default_rng(9), Counter()
+    seats = py.Seating.at_one_table(np.full(n, c))
+    for k in range(60):
+        seats = seats.sweep(np.full(n, a), d, rng, most=0, cells=5000)
+        assert (np.add.reduceat(seats.sizes, seats.firsts()) == c).all()
+        if k >= 20:
+            seen.update(seats.tables.tolist())
+    for t, p in table_odds(c, a, d).items():
+        assert abs(seen[t] / sum(seen.values()) - p) < 0.02
+
+
+def test_groups_are_divided_by_weight():
+    rng = np.random.default_rng(2)
+    length, n = np.array([1, 5, 2, 4]), np.array([7, 400_000, 0, 90_000])
+    weights = np.array([0.0, 1, 2, 3, 4, 0, 1, 1, 5, 0, 0, 4])
+    got = py.divided(n, weights, length, rng)
+    assert np.add.reduceat(got, np.cumsum(length) - length).tolist() == n.tolist()
+    assert got[0] == 7 and got[5] == got[9] == got[10] == 0
+    assert np.abs(got[1:5] / 400_000 - [0.1, 0.2, 0.3, 0.4]).max() < 0.005 and abs(got[8] / 90_000 - 5 / 9) < 0.01
+
+
 def test_mixed_dishes_keep_their_customers():
     rng = np.random.default_rng(3)
     customers = np.concatenate([rng.integers(1, 5, 300), [500, 70, 64, 65, 100_000]])
