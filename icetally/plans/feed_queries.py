@@ -752,6 +752,8 @@ def report_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Folder names are text, whatever they look like.
     schema = f"{report.schema.simpleString()[7:-1].replace(':', ' ')}, pair string, player string, games string"
     read = spark.read.schema(schema).parquet(root)
+    # A scan plans a handful of files a task, however small; a task for each costs more than reading.
+    read = read.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return read.select("pair", "player", "games", "player_a", "value")
 
 

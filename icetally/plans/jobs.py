@@ -20,7 +20,7 @@ def _write_new(
     """Write all rows, or in append mode those whose key is not stored; the first append makes the
     table. With ``seasons``, the first key begins with the year of the season and the table has a
     folder for each."""
-    if mode == "append" and _exists(spark, path):
+    if mode == "append" and sinks.exists(spark, path):
         stored = readers.read_table(spark, path)
         seasons = seasons and readers.SEASON_FOLDER in stored.columns
         if seasons:
@@ -34,11 +34,6 @@ def _write_new(
         sinks.write_table(rows, path, mode)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def ingest_games(
     spark: SparkSession, payload_path: str, page_path: str, out: str, mode: str = "overwrite"
 ) -> None:
@@ -74,7 +69,7 @@ def ingest_games(
     pending, *rosters = (readers.same_seasons(stored[name], games) for name in outputs)
     pending = pending.join(games.select("game_id"), "game_id", "left_semi")
     enriched_path = f"{out}/plays_with_onice"
-    if mode == "append" and _exists(spark, enriched_path):
+    if mode == "append" and sinks.exists(spark, enriched_path):
         pending = readers.incremental_rows(pending, readers.read_table(spark, enriched_path), ["game_id", "index"])
     rosters = [r.drop(readers.SEASON_FOLDER) for r in (rosters[0], rosters[1], rosters[2])]
     enriched = onice.attach_on_ice(pending.drop(readers.SEASON_FOLDER), *rosters)
@@ -107,7 +102,7 @@ def attempt_metrics(
     detail_path = f"{target}/team_player_game_detail"
     detail = attempts.game_detail(rows, toi, team)
     keys = ["game_id", "team", "player_id"]
-    if mode == "append" and _exists(spark, detail_path):
+    if mode == "append" and sinks.exists(spark, detail_path):
         # A team that was loaded before adds only its new games.
         detail = readers.incremental_rows(detail, readers.read_table(spark, detail_path), keys)
     sinks.write_bucketed(detail, detail_path, "player_id", name="hashed_player_id", mode=mode)
@@ -136,13 +131,13 @@ def add_attempt_games(spark: SparkSession, source: str, target: str) -> None:
     toi = attempts.skater_toi(
         readers.read_table(spark, f"{source}/raw_forwards"), readers.read_table(spark, f"{source}/raw_defense")
     )
-    if _exists(spark, f"{state}/games"):
+    if sinks.exists(spark, f"{state}/games"):
         done = readers.read_table(spark, f"{state}/games").select("game_id")
         plays_, toi = (rows.join(done, "game_id", "left_anti") for rows in (plays_, toi))
     load = uuid.uuid4().hex
     detail_path = f"{target}/team_player_game_detail"
     detail = attempts.game_detail(plays_, toi)
-    if _exists(spark, detail_path):
+    if sinks.exists(spark, detail_path):
         keys = ["game_id", "team", "player_id"]
         detail = readers.incremental_rows(detail, readers.read_table(spark, detail_path), keys)
     sinks.write_bucketed(detail, detail_path, "player_id", name="hashed_player_id", mode="append")
@@ -186,7 +181,7 @@ def update_feeds(
     Only that season's folder is read for the mark, and only payloads past it are parsed."""
     prefix = f"{year}{readers.SEASON_TYPES[game_type]}"
     landed = readers.read_table(spark, payload_path).where(F.col("id").startswith(prefix))
-    if _exists(spark, f"{out}/gameinfo"):
+    if sinks.exists(spark, f"{out}/gameinfo"):
         gameinfo = readers.read_table(spark, f"{out}/gameinfo")
         landed = readers.after_last(landed, readers.high_water_mark(gameinfo, year, game_type))
     load_feed_rows(spark, landed, out, "append", team_path)

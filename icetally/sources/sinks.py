@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import MISSING
-from .folders import remove, shared_directory  # noqa: F401  (part of this module's interface)
+from .folders import exists, remove, shared_directory  # noqa: F401  (part of this module's interface)
 from .readers import SEASON_FOLDER, season_of
 
 NO_ARENA = -999  # fixed value: id of an arena without one
@@ -113,13 +113,16 @@ def pair_name(player_a: Column, player_b: Column) -> Column:
 def write_pairs(df: DataFrame, path: str, parts: list[str]) -> None:
     """Replace the folders of the pairs in ``df`` and leave those of other pairs.
 
-    A folder costs far more than its rows, so folders are dealt over a fixed number of tasks, which
-    adaptive execution doesn't join by size.
+    A folder costs far more than its rows, so pairs are dealt over a fixed number of tasks, which
+    adaptive execution doesn't join by size. All folders of a pair are one task's: where there are
+    none yet, the driver moves a pair at a time and replaces nothing.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartition(tasks, *[F.col(p) for p in parts])
-    writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*parts).parquet(path)
+    writer = df.repartition(tasks, F.col(parts[0])).write.partitionBy(*parts)
+    if exists(df.sparkSession, path):
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("append").parquet(path)
 
 
 def write_reports(report: DataFrame, tenures: DataFrame, path: str) -> None:

@@ -77,6 +77,22 @@ def test_reports_are_dealt_over_tasks(spark, tmp_path):
     assert len(files) == 80 and len({name[:10] for name in files}) > 4
 
 
+def test_folders_of_a_pair_are_written_by_one_task(spark, tmp_path):
+    pairs = spark.range(40).select(F.concat(F.lit("p"), "id").alias("pair"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("player"))
+    sinks.write_pairs(pairs.withColumn("v", F.lit(1)), str(tmp_path / "r"), ["pair", "player"])
+    folders = list((tmp_path / "r").glob("pair=*"))
+    assert len(folders) == 40
+    assert all(len({p.name[:10] for p in f.rglob("part-*.parquet")}) == 1 for f in folders)
+    sinks.write_pairs(pairs.where("pair = 'p7' and player = 2").withColumn("v", F.lit(2)), str(tmp_path / "r"), ["pair", "player"])
+    found = spark.read.parquet(str(tmp_path / "r"))
+    assert (found.count(), found.where("v = 2").count()) == (240, 1)
+
+
+def test_report_folders_are_read_by_few_tasks(spark):
+    frame = REGISTERED["report_paths"][0](spark, SF_DIR)
+    assert frame.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_card_patterns_are_matched_once(spark):
     pages = spark.createDataFrame([(1, "x")], "id long, html string")
     plan = query_execution(cards.card_rows(pages, "skater", "id")).optimizedPlan().toString()
